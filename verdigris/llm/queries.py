@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from verdigris.llm.decontaminate import op8_decontaminate
 from verdigris.llm.langid import op10_language_id
 
 
 def queries() -> dict:
     return {
+        "op8_decontaminate": op8_decontaminate,
         "op10_language_id": op10_language_id,
     }
 
