@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from verdigris.llm.decontaminate import op8_decontaminate
 from verdigris.llm.langid import op10_language_id
+from verdigris.llm.pii import op1_pii
+from verdigris.llm.secrets import op4_secrets
 
 
 def queries() -> dict:
     return {
+        "op1_pii": op1_pii,
+        "op4_secrets": op4_secrets,
         "op8_decontaminate": op8_decontaminate,
         "op10_language_id": op10_language_id,
     }
