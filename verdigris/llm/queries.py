@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from verdigris.llm.ann import op2_nearest
 from verdigris.llm.decontaminate import op8_decontaminate
 from verdigris.llm.langid import op10_language_id
 from verdigris.llm.pii import op1_pii
@@ -11,6 +12,7 @@ from verdigris.llm.secrets import op4_secrets
 def queries() -> dict:
     return {
         "op1_pii": op1_pii,
+        "op2_nearest": op2_nearest,
         "op4_secrets": op4_secrets,
         "op8_decontaminate": op8_decontaminate,
         "op10_language_id": op10_language_id,
