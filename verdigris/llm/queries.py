@@ -7,6 +7,7 @@ from verdigris.llm.decontaminate import op8_decontaminate
 from verdigris.llm.langid import op10_language_id
 from verdigris.llm.pii import op1_pii
 from verdigris.llm.secrets import op4_secrets
+from verdigris.llm.tokenids import op7_token_ids
 
 
 def queries() -> dict:
@@ -14,6 +15,7 @@ def queries() -> dict:
         "op1_pii": op1_pii,
         "op2_nearest": op2_nearest,
         "op4_secrets": op4_secrets,
+        "op7_token_ids": op7_token_ids,
         "op8_decontaminate": op8_decontaminate,
         "op10_language_id": op10_language_id,
     }
