@@ -5,6 +5,7 @@ from __future__ import annotations
 from verdigris.llm.ann import op2_nearest
 from verdigris.llm.decontaminate import op8_decontaminate
 from verdigris.llm.langid import op10_language_id
+from verdigris.llm.pieces import op3_pieces
 from verdigris.llm.pii import op1_pii
 from verdigris.llm.secrets import op4_secrets
 from verdigris.llm.tokenids import op7_token_ids
@@ -14,6 +15,7 @@ def queries() -> dict:
     return {
         "op1_pii": op1_pii,
         "op2_nearest": op2_nearest,
+        "op3_pieces": op3_pieces,
         "op4_secrets": op4_secrets,
         "op7_token_ids": op7_token_ids,
         "op8_decontaminate": op8_decontaminate,
