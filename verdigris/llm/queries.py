@@ -8,6 +8,7 @@ from verdigris.llm.langid import op10_language_id
 from verdigris.llm.pieces import op3_pieces
 from verdigris.llm.pii import op1_pii
 from verdigris.llm.secrets import op4_secrets
+from verdigris.llm.sharding import op9_shards
 from verdigris.llm.tokenids import op7_token_ids
 
 
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op4_secrets": op4_secrets,
         "op7_token_ids": op7_token_ids,
         "op8_decontaminate": op8_decontaminate,
+        "op9_shards": op9_shards,
         "op10_language_id": op10_language_id,
     }
 
