@@ -5,6 +5,7 @@ from __future__ import annotations
 from verdigris.llm.ann import op2_nearest
 from verdigris.llm.decontaminate import op8_decontaminate
 from verdigris.llm.langid import op10_language_id
+from verdigris.llm.neardup import op6_near_duplicates
 from verdigris.llm.pieces import op3_pieces
 from verdigris.llm.pii import op1_pii
 from verdigris.llm.secrets import op4_secrets
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op2_nearest": op2_nearest,
         "op3_pieces": op3_pieces,
         "op4_secrets": op4_secrets,
+        "op6_near_duplicates": op6_near_duplicates,
         "op7_token_ids": op7_token_ids,
         "op8_decontaminate": op8_decontaminate,
         "op9_shards": op9_shards,
