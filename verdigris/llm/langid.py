@@ -113,18 +113,24 @@ def score_texts(texts: list[str | None], model: dict) -> tuple[list[str], np.nda
     return out, score
 
 
-def identify(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, lang_pred, score of every row of docs; only the text is looked at."""
+def label(docs: DataFrame, model: dict) -> DataFrame:
+    """docs with columns lang_pred and score for every row; only the text is looked at."""
     common.bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # langs x 2^BITS floats
+    cols = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, score = score_texts(b.column(1).to_pylist(), shared.value)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            lang, score = score_texts(b.column("text").to_pylist(), shared.value)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in cols], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*cols, "lang_pred", "score"])
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{ddl}, lang_pred string, score double")
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+
+def identify(docs: DataFrame, model: dict) -> DataFrame:
+    """doc_id, lang_pred, score of every row of docs."""
+    return label(docs.select("doc_id", "text"), model).drop("text")
 
 
 def held_out():

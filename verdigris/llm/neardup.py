@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from verdigris.llm import common
 from verdigris.llm.components import connected_components
+from verdigris.llm.hashing import ODD, Substrings, mix
 
 WORDS, PERCENT = 5, 75
 SLOTS, BANDS, ROWS, MIN_SLOTS = 128, 32, 4, 71
@@ -39,26 +40,6 @@ SLOTS, BANDS, ROWS, MIN_SLOTS = 128, 32, 4, 71
 SMALL, BLOCK, BITMAP_BITS = 6, 512, 1 << 24
 _SLICE = 1 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_powers_held: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n of an odd base and of its inverse, modulo 2^64."""
-    if not _powers_held or len(_powers_held[0]) <= n:
-        size = max(n + 1, 2 * _SLICE)
-        inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
-        _powers_held[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size, b)]) for b in (_ODD, inverse)]
-    return _powers_held[0], _powers_held[1]
 
 
 def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -79,14 +60,12 @@ def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     at = np.cumsum(lengths) - lengths
     keep = ~space
     keep[ends] = True
-    power, inverse = _powers(int(lengths.sum()))
-    running = np.r_[np.uint64(0), np.cumsum(_BYTE[raw[keep]] * power[: int(lengths.sum())])]
     n_words = np.bincount(doc, minlength=len(texts))
     first = np.cumsum(n_words) - n_words
     begin = np.flatnonzero((np.arange(len(doc)) - first[doc] <= n_words[doc] - WORDS) | (np.arange(len(doc)) == first[doc]))
     last = np.minimum(begin + WORDS, (first + n_words)[doc[begin]]) - 1
     a, b = at[begin], at[last] + lengths[last] - 1
-    h = _mix((running[b] - running[a]) * inverse[a] + (b - a).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    h = Substrings(raw[keep])(a, b)
     owner = doc[begin]
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
@@ -99,7 +78,7 @@ def signatures(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     slots = np.full(n * SLOTS, np.uint64(0xFFFFFFFFFFFFFFFF))
     live, perm = np.arange(len(h)), None
     for j in range(SLOTS):
-        x = _mix(h[live] + np.uint64(j + 1) * _ODD)
+        x = mix(h[live] + np.uint64(j + 1) * ODD)
         k = j + (((x >> np.uint64(40)) * np.uint64(SLOTS - j)) >> np.uint64(24)).astype(np.int64)
         if perm is None:
             slot = k
@@ -147,12 +126,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = np.flatnonzero(n)
             if len(some):
                 at = np.searchsorted(owner, some)
-                sums[0, some], sums[1, some] = np.add.reduceat(_mix(h ^ _ODD), at), np.add.reduceat(_mix(h + _ODD), at)
-            parts = _mix(slots.reshape(j - i, BANDS, ROWS))
-            bands = np.zeros((j - i, BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD
+                sums[0, some], sums[1, some] = np.add.reduceat(mix(h ^ ODD), at), np.add.reduceat(mix(h + ODD), at)
+            parts = mix(slots.reshape(j - i, BANDS, ROWS))
+            bands = np.zeros((j - i, BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * ODD
             for r in range(ROWS):
-                bands = _mix(bands * _ODD + parts[:, :, r])
-            small = (_mix(slots) & np.uint64(255)).astype(np.uint8)
+                bands = mix(bands * ODD + parts[:, :, r])
+            small = (mix(slots) & np.uint64(255)).astype(np.uint8)
             flat = pa.array(bands.view(np.int64).ravel(), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * (j - i) + 1, BANDS, dtype=np.int32)), flat), pa.array([x.tobytes() for x in small], pa.binary())],
@@ -304,7 +283,7 @@ def kept(component: str = "component_id") -> Column:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of docs for each group of near-duplicates, the one with the smallest doc_id; of rows with an equal doc_id, one."""
+    """docs without the rows whose document isn't the smallest doc_id of its group; rows with equal doc_id are one document and stay or go together."""
     groups = near_duplicates(docs)
     gone = groups.filter(~kept()).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from verdigris.llm.ann import op2_nearest
 from verdigris.llm.decontaminate import op8_decontaminate
 from verdigris.llm.langid import op10_language_id
 from verdigris.llm.neardup import op6_near_duplicates
 from verdigris.llm.pieces import op3_pieces
 from verdigris.llm.pii import op1_pii
+from verdigris.llm.repeats import op5_repeats
 from verdigris.llm.secrets import op4_secrets
 from verdigris.llm.sharding import op9_shards
 from verdigris.llm.tokenids import op7_token_ids
@@ -15,10 +18,12 @@ from verdigris.llm.tokenids import op7_token_ids
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_pii": op1_pii,
         "op2_nearest": op2_nearest,
         "op3_pieces": op3_pieces,
         "op4_secrets": op4_secrets,
+        "op5_repeats": op5_repeats,
         "op6_near_duplicates": op6_near_duplicates,
         "op7_token_ids": op7_token_ids,
         "op8_decontaminate": op8_decontaminate,
@@ -28,4 +33,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
