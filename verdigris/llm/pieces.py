@@ -33,7 +33,7 @@ from verdigris.llm import common
 
 THETA, UNIT_CHARS = 0.6, 40
 #: Bound of the units whose lattices a worker keeps, and characters of one vectorised slice.
-MEMO_UNITS, SLICE_CHARS = 200_000, 1 << 20
+MEMO_UNITS, SLICE_CHARS = 150_000, 1 << 19
 _UNIT = re.compile(rf" ?[^ \n]{{1,{UNIT_CHARS}}}| |\n")
 _MARKER = "▁"
 #: What the marker itself becomes when it stands in a text, and the base of the hash of a run of characters.
@@ -101,8 +101,8 @@ class Sampler:
         self.last_state: dict[str, int] = {}
         self.spellings, self.spelling_of = [], {}
         self.n_states = self.n_edges = 0
-        self.first_edge = np.empty(1 << 16, np.int64)
-        self.share, self.piece, self.came_from = np.empty(1 << 18), np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
+        self.first_edge = np.empty(1 << 16, np.int32)
+        self.share, self.piece, self.came_from = np.empty(1 << 18, np.float32), np.empty(1 << 18, np.int32), np.empty(1 << 18, np.int32)
 
     def _spelling(self, point: int) -> int:
         """A number beyond the vocabulary that stands for the byte pieces of a character."""
@@ -115,7 +115,7 @@ class Sampler:
     def _put(self, name: str, at: int, values: np.ndarray) -> None:
         held = getattr(self, name)
         if at + len(values) > len(held):
-            wider = np.empty(2 * (at + len(values)), held.dtype)
+            wider = np.empty((at + len(values)) * 5 // 4, held.dtype)
             wider[:at] = held[:at]
             setattr(self, name, held := wider)
         held[at : at + len(values)] = values
@@ -126,8 +126,9 @@ class Sampler:
         for u in units:
             by_length.setdefault(len(u), []).append(u)
         for n, same in by_length.items():
-            for at in range(0, len(same), 4096):
-                self._filter(same[at : at + 4096], n)
+            some = max(1, (1 << 19) // (n * min(n, self.v.longest)))
+            for at in range(0, len(same), some):
+                self._filter(same[at : at + some], n)
 
     def _filter(self, units: list[str], n: int) -> None:
         m, v, reach = len(units), self.v, min(n, self.v.longest)
@@ -186,7 +187,7 @@ class Sampler:
         length = np.zeros(len(state), np.int64)
         while len(alive):
             e = self.first_edge[state[alive]]
-            u = (_mix(seed[alive] + np.uint64(len(steps) + 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            u = (_mix(seed[alive] + np.uint64(len(steps) + 1)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
             look = np.flatnonzero(self.share[e] <= u)
             while len(look):
                 e[look] += 1
@@ -267,6 +268,12 @@ def encode(docs: DataFrame, model_path: str, theta: float = THETA, seed: int = 0
     return keyed.mapInArrow(run, f"{ddl}, ids array<int>")
 
 
+def _texts(ids: pa.ListArray, v: Vocabulary) -> list[str | None]:
+    flat, n = decode_flat(ids.flatten().to_numpy(zero_copy_only=False), v)
+    at = np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))]]
+    return [flat[x:y].tobytes().decode("utf-8", "surrogatepass") if ok else None for x, y, ok in zip(at[:-1], at[1:], ids.is_valid().to_pylist(), strict=True)]
+
+
 def decode(encoded: DataFrame, model_path: str, out: str = "decoded") -> DataFrame:
     """encoded with a column of the texts that its ids spell."""
     cols = encoded.columns
@@ -274,33 +281,27 @@ def decode(encoded: DataFrame, model_path: str, out: str = "decoded") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = sampler(model_path, THETA).v
         for b in batches:
-            ids = b.column("ids")
-            flat, n = decode_flat(ids.flatten().to_numpy(zero_copy_only=False), v)
-            ends = np.r_[0, np.cumsum(n)]
-            sizes = np.array([0 if x is None else x for x in pc.list_value_length(ids).to_pylist()], np.int64)
-            at = ends[np.r_[0, np.cumsum(sizes)]]
-            data = flat.tobytes()
-            texts = [data[x:y].decode("utf-8", "surrogatepass") if ok else None for x, y, ok in zip(at[:-1], at[1:], ids.is_valid().to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in cols], pa.array(texts, pa.string())], names=[*cols, out])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in cols], pa.array(_texts(b.column("ids"), v), pa.string())], names=[*cols, out])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{ddl}, `{out}` string")
 
 
-def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, sizes = b.column("ids").flatten().to_numpy(zero_copy_only=False).astype("<u4"), pc.list_value_length(b.column("ids")).fill_null(0).to_numpy(zero_copy_only=False)
-        at = np.r_[0, np.cumsum(sizes)]
-        crc = [zlib.crc32(ids[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), b.column("lossless")], names=["doc_id", "n_pieces", "ids_crc32", "lossless"])
-
-
 def round_trip(docs: DataFrame, model_path: str, theta: float = THETA, seed: int = 0) -> DataFrame:
     """For each row of docs: doc_id, n_pieces, ids_crc32 (of the ids as 32-bit little-endian), lossless (decoding gave the text back)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    back = decode(encode(docs.select("doc_id", "text"), model_path, theta, seed), model_path)
-    same = back.select("doc_id", "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
-    return same.mapInArrow(_crc, f"doc_id {kind}, n_pieces long, ids_crc32 long, lossless boolean")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = sampler(model_path, theta).v
+        for b in batches:
+            ids = b.column("ids")
+            flat, sizes = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"), pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False)
+            at = np.r_[0, np.cumsum(sizes)]
+            crc = [zlib.crc32(flat[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
+            same = [x == y for x, y in zip(_texts(ids, v), b.column("text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], names=["doc_id", "n_pieces", "ids_crc32", "lossless"])
+
+    return encode(docs.select("doc_id", "text"), model_path, theta, seed).mapInArrow(run, f"doc_id {kind}, n_pieces long, ids_crc32 long, lossless boolean")
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
