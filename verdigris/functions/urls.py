@@ -101,7 +101,6 @@ def section_of(url: Column, sections: dict[str, str] = SECTIONS) -> Column:
 
 
 def clean_filename(publish_id: Column, name: Column) -> Column:
-    """Id and name with only letters, digits and ._- kept, ending in a document suffix ('.pdf' if none)."""
-    kept = F.regexp_replace(name, r"[^\p{L}\p{N}._ -]", "")
-    full = F.concat_ws("_", publish_id, kept)
-    return F.when(F.lower(full).rlike(r"\.(pdf|docx?|xlsx?|zip|rar)$"), full).otherwise(F.concat(full, F.lit(".pdf")))
+    """Id and name with only letters, digits, blanks and ._- kept, ending in a document suffix ('.pdf' if none)."""
+    full = F.trim(F.regexp_replace(F.concat_ws("_", publish_id, name), r"[^\p{L}\p{N}._ -]", ""))
+    return F.when(full.rlike(r"\.(pdf|docx?|zip)$"), full).otherwise(F.concat(full, F.lit(".pdf")))

@@ -70,9 +70,9 @@ def mask_emails(spark, sf_dir):
 
 @query(f"""with g as (select doc_id, regexp_extract_all(text, '{_ALL}') h, regexp_split_to_array(text, '{_ALL}') s from documents),
 e as (select doc_id, h, s, unnest(generate_series(1, len(h))) i from g where len(h) > 0)
-select doc_id, (i - 1)::int as pos, h[i] as original, (list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i-1], lambda x: length(x))), 0))::int as "start" from e""")
+select doc_id, (i - 1)::int as pos, rtrim(h[i]) as original, (list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i-1], lambda x: length(x))), 0))::int as "start" from e""")
 def mask_offsets(spark, sf_dir):
-    return masking.mask_audit(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "pos", "original", "start")
+    return masking.mask_audit(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "pos", F.rtrim("original").alias("original"), "start")
 
 
 @query(f"select doc_id, regexp_matches(text, '{_ALL}') as has_pii from documents")
