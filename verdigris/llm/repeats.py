@@ -353,7 +353,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     common.bound_batches(spark)
     keyed, names = _keyed(docs)
     size = keyed.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
-    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
     doc_parts = next(n for n in range(parts, 3 * parts + 3) if _is_prime(n))
     cut = keyed.select("key", "data").mapInArrow(_find_pieces(parts, doc_parts), _PACKED)
     known = common.materialize(cut.groupBy("part").applyInPandas(_sort_pieces(doc_parts), _PACKED), "repeats")
