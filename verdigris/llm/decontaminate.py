@@ -188,7 +188,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs that share no window with the benchmark (rows whose doc_id is null are matched by row, and kept if clean)."""
+    """The rows of docs that share no window with the benchmark (rows with equal doc_id, null ones too, are one document here)."""
     hit = match_benchmark(docs, benchmark, window, longest=False).filter("size(spans) > 0").select("doc_id").distinct()
     return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
 

@@ -113,8 +113,8 @@ def score_texts(texts: list[str | None], model: dict) -> tuple[list[str], np.nda
     return out, score
 
 
-def label(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with columns lang_pred and score for every row; only the text is looked at."""
+def label(docs: DataFrame, model: dict, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with columns for the predicted language and its score, under names that docs doesn't have; only the text is looked at."""
     common.bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # langs x 2^BITS floats
     cols = docs.columns
@@ -122,10 +122,10 @@ def label(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lang, score = score_texts(b.column("text").to_pylist(), shared.value)
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in cols], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*cols, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in cols], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*cols, *names])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{ddl}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{ddl}, `{names[0]}` string, `{names[1]}` double")
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:

@@ -76,7 +76,7 @@ def _linked(rows: DataFrame, keep: list[Column]) -> DataFrame:
             ok &= F.col(f"_has_{p}")
         fits |= ok
     spans = F.array_sort(F.collect_list(F.when(fits, F.col("_p"))))
-    return seen.groupBy("_row").agg(spans.alias("spans"), *[F.max(f"_keep{i}").alias(f"_keep{i}") for i in range(len(keep))])
+    return seen.groupBy("_row").agg(spans.alias("spans"), *[F.first(f"_keep{i}", ignorenulls=True).alias(f"_keep{i}") for i in range(len(keep))])
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -91,18 +91,19 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     Only rows with candidates are shuffled; the others pass straight through.
     """
     cols = docs.columns
-    rows = _parts(docs).withColumn("_row", F.monotonically_increasing_id())
-    rest = rows.filter(F.size("parts") == 0).select(*cols)
-    found = _linked(rows.filter(F.size("parts") > 0), [F.struct(*cols)]).select("_keep0.*", "spans")
+    rows = _parts(docs.select(F.struct(*cols).alias("_doc"), "text")).withColumn("_row", F.monotonically_increasing_id())
+    rest = rows.filter(F.size("parts") == 0).select("_doc.*")
+    found = _linked(rows.filter(F.size("parts") > 0), [F.col("_doc")]).select(F.col("_keep0").alias("_doc"), "spans")
     # Spans may overlap: each cuts from where the ones before it end.
-    text = F.col("text")
-    ends = F.transform("spans", lambda s, i: F.greatest(F.lit(0), F.array_max(F.concat(F.array(F.lit(0)), F.transform(F.slice("spans", F.lit(1), i), lambda x: x["end"])))))
+    text = F.col("_doc.text")
+    ends = F.transform("spans", lambda s, i: F.array_max(F.concat(F.array(F.lit(0)), F.transform(F.slice("spans", F.lit(1), i), lambda x: x["end"]))))
     cut = found.withColumn("_from", ends)
     piece = F.transform("spans", lambda s, i: F.when(s["start"] >= F.get("_from", i), F.concat(F.substr(text, F.get("_from", i) + 1, s["start"] - F.get("_from", i)), F.lit(mark))).otherwise(F.lit("")))
     tail = F.substr(text, F.array_max(F.transform("spans", lambda s: s["end"])) + 1, F.length(text))
     new = F.when(F.size("spans") > 0, F.concat(F.array_join(piece, ""), tail)).otherwise(text)
-    out = {"text": new} | ({"n_chars": F.length(new).cast(docs.schema["n_chars"].dataType)} if "n_chars" in cols else {})
-    return rest.unionByName(cut.withColumns(out).select(*cols))
+    done = cut.select("_doc", new.alias("_new"))
+    out = {"text": F.col("_new"), "n_chars": F.length("_new").cast(docs.schema["n_chars"].dataType) if "n_chars" in cols else None}
+    return rest.unionByName(done.select(*[out[c].alias(c) if c in out else F.col("_doc")[c].alias(c) for c in cols]))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
