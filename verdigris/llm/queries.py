@@ -32,5 +32,32 @@ def queries() -> dict:
     }
 
 
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP6_SQL = f"""
+with recursive w as (select doc_id, coalesce(regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+'), []) ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) sh from w),
+n as (select w.doc_id, count(s.sh) n from w left join s using (doc_id) group by 1),
+p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b using (sh) where a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r(node, other) as (select doc_id, doc_id from n union select r.node, e.b from r join e on r.other = e.a),
+m as (select node, min(other) c from r group by 1)
+select doc_id, n as n_shingles, c as component_id, doc_id = c as kept from n join m on node = doc_id"""
+
+OP8_SQL = f"""
+with w as (select doc_id, coalesce(regexp_extract_all({_LOW}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), []) ws from documents),
+i as (select item_id, coalesce(regexp_extract_all({_LOW}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), []) ws from benchmark),
+iw as (select distinct item_id, least(10, len(ws)) size, unnest(list_transform(range(1, greatest(1, len(ws) - 9) + 1), lambda p: array_to_string(ws[p:p + 9], ' '))) k from i where len(ws) > 0),
+z as (select distinct size from iw),
+dw as (select doc_id, size, unnest(range(1, len(ws) - size + 2)) p, ws from w, z where len(ws) >= size),
+h as (select doc_id, dw.size, p, item_id from dw join iw on iw.size = dw.size and iw.k = array_to_string(ws[p:p + dw.size - 1], ' ')),
+c as (select doc_id, count(distinct q) n_hit from (select doc_id, unnest(range(p, p + size)) q from h) group by 1),
+t as (select doc_id, count(*) n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) items from (select distinct doc_id, item_id from h) group by 1)
+select w.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+from w left join c using (doc_id) left join t using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    found = {"op6_near_duplicates": OP6_SQL, "op8_decontaminate": OP8_SQL}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
