@@ -59,3 +59,9 @@ def merge_stats(parts: list[DataFrame], key: str) -> DataFrame:
 def distinct_per_group(df: DataFrame, group: str, value: str) -> DataFrame:
     """group, names (sorted), n of the distinct values of each group."""
     return df.groupBy(group).agg(F.array_sort(F.collect_set(value)).alias("names")).withColumn("n", F.size("names"))
+
+
+def match_summary(matches: DataFrame, name: str) -> DataFrame:
+    """hits and enterprises of a match table: one row."""
+    per_name = matches.groupBy(name).agg(F.count("*").alias("n"))
+    return per_name.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("hits"), F.count("*").alias("enterprises"))

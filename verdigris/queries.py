@@ -193,6 +193,11 @@ def match_names(spark, sf_dir):
     return tables.match_enterprises(names, docs, "needle", "text", ()).select(F.col("n_name").alias("name"), "doc_id")
 
 
+@query("select count(*) as hits, count(distinct n_name) as enterprises from nation, documents where contains(lower(text), lower(left(n_name, 4)))")
+def match_summary(spark, sf_dir):
+    return aggregates.match_summary(match_names(spark, sf_dir), "name")
+
+
 @query("with r as (select c_nationkey, c_name, row_number() over (partition by c_nationkey order by c_name) k from customer) select c_nationkey, c_name, c_name || t as query from r, (values (' report'), (' review filetype:pdf')) v(t) where k <= 3")
 def search_tasks(spark, sf_dir):
     return tables.search_tasks(table(spark, sf_dir, "customer"), "c_nationkey", "c_name", ("%s report", "%s review filetype:pdf"))
@@ -372,6 +377,21 @@ def keyword_counts(spark, sf_dir):
     return entities.entity_counts(entities.keyword_entities(table(spark, sf_dir, "documents"), "doc_id", keywords=LATIN), "doc_id")
 
 
+_BIO = """with t as (select conv_id, turn, unnest(string_split(text, ' ')) word, generate_subscripts(string_split(text, ' '), 1) pos from conversations),
+l as (select *, case when regexp_matches(word, '^[A-Z]') then 'B-PER' when length(word) <= 3 then 'I-PER' else 'O' end label from t),
+g as (select *, count(*) filter (where label in ('B-PER', 'O')) over (partition by conv_id, turn order by pos) k from l),
+f as (select *, first_value(label) over (partition by conv_id, turn, k order by pos) h from g)
+select conv_id, turn, string_agg(word, '' order by pos) as text, (min(pos) - 1)::int as "start" from f where h = 'B-PER' group by conv_id, turn, k"""
+
+
+@query(_BIO)
+def labelled_tokens(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    label = F.when(F.col("word").rlike("^[A-Z]"), "B-PER").when(F.length("word") <= 3, "I-PER").otherwise("O")
+    tokens = t.select(F.struct("conv_id", "turn").alias("key"), "pos", "word", label.alias("label"), F.lit(1.0).alias("score"), F.col("pos").alias("start"))
+    return entities.bio_entities(tokens, "key").select("key.conv_id", "key.turn", "text", "start")
+
+
 @query()
 def document_entities(spark, sf_dir):
     return entities.extract_entities(table(spark, sf_dir, "documents"), "doc_id", keywords=LATIN)
