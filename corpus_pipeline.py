@@ -20,7 +20,8 @@ from verdigris.llm import common, decontaminate, langid, neardup, pieces, secret
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no learned language; lang becomes the predicted one. Learns from labelled documents outside the held-out fifth."""
     model = langid.fit(docs.filter(~langid.held_out()))
-    return langid.label(docs, model).filter(F.col("lang_pred") != langid.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    found = langid.label(docs, model, ("_lang", "_lang_score")).filter(F.col("_lang") != langid.UNKNOWN)
+    return found.withColumn("lang", F.col("_lang")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes the texts: doc_id, lang, source, ids, and the text decoded from them."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = pieces.decode(pieces.encode(docs.select("doc_id", "text", "lang", "source"), path), path, "decoded")
+    coded = pieces.encode(docs.select("doc_id", "text", "lang", "source"), path, decoded="decoded")
     return coded.select("doc_id", "lang", "source", F.col("decoded").alias("text"), "ids")
 
 

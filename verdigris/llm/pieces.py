@@ -244,34 +244,49 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def encode(docs: DataFrame, model_path: str, theta: float = THETA, seed: int = 0, key: str = "doc_id") -> DataFrame:
-    """docs with a column ids, array<int>: a segmentation of text sampled with the row's key and the seed."""
+def _sampled(s: Sampler, texts: list[str | None], keys: np.ndarray) -> pa.ListArray:
+    lists = []
+    for i, j in _slices([t or "" for t in texts]):
+        ids, n = s.sample([t or "" for t in texts[i:j]], keys[i:j])
+        lists.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(ids, pa.int32())))
+    out = pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32()))
+    if None in texts:
+        out = pa.array([None if t is None else x for t, x in zip(texts, out.to_pylist(), strict=True)], pa.list_(pa.int32()))
+    return out
+
+
+def _texts(ids: pa.ListArray, v: Vocabulary) -> list[str | None]:
+    flat, n = decode_flat(ids.flatten().to_numpy(zero_copy_only=False), v)
+    at = np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))]]
+    return [flat[x:y].tobytes().decode("utf-8", "surrogatepass") if ok else None for x, y, ok in zip(at[:-1], at[1:], ids.is_valid().to_pylist(), strict=True)]
+
+
+def _with_ids(docs: DataFrame, path: str, theta: float, seed: int, key: str, columns: list[tuple[str, str]], more) -> DataFrame:
+    """One pass over docs that samples ids; more(batch, ids, sampler) gives the arrays of the columns to return."""
     common.bound_batches(docs.sparkSession)
-    cols = docs.columns
     keyed = docs.withColumn("_key", F.xxhash64(F.col(key).cast("string"), F.lit(seed)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = sampler(model_path, theta)
+        s = sampler(path, theta)
         for b in batches:
-            texts = b.column("text").to_pylist()
             keys = b.column("_key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            lists = []
-            for i, j in _slices([t or "" for t in texts]):
-                ids, n = s.sample([t or "" for t in texts[i:j]], keys[i:j])
-                lists.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(ids, pa.int32())))
-            ids = pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32()))
-            if None in texts:
-                ids = pa.array([None if t is None else x for t, x in zip(texts, ids.to_pylist(), strict=True)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in cols], ids], names=[*cols, "ids"])
+            yield pa.RecordBatch.from_arrays(more(b, _sampled(s, b.column("text").to_pylist(), keys), s), names=[n for n, _ in columns])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return keyed.mapInArrow(run, f"{ddl}, ids array<int>")
+    return keyed.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in columns))
 
 
-def _texts(ids: pa.ListArray, v: Vocabulary) -> list[str | None]:
-    flat, n = decode_flat(ids.flatten().to_numpy(zero_copy_only=False), v)
-    at = np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))]]
-    return [flat[x:y].tobytes().decode("utf-8", "surrogatepass") if ok else None for x, y, ok in zip(at[:-1], at[1:], ids.is_valid().to_pylist(), strict=True)]
+def encode(docs: DataFrame, model_path: str, theta: float = THETA, seed: int = 0, key: str = "doc_id", decoded: str | None = None) -> DataFrame:
+    """docs with a column ids, array<int>: a segmentation of text sampled with the row's key and the seed.
+
+    decoded: the name of a further column for the text that the ids spell, made in the same pass.
+    """
+    cols = docs.columns
+    columns = [(f.name, f.dataType.simpleString()) for f in docs.schema] + [("ids", "array<int>")] + ([(decoded, "string")] if decoded else [])
+
+    def more(b: pa.RecordBatch, ids: pa.ListArray, s: Sampler) -> list:
+        return [*[b.column(c) for c in cols], ids, *([pa.array(_texts(ids, s.v), pa.string())] if decoded else [])]
+
+    return _with_ids(docs, model_path, theta, seed, key, columns, more)
 
 
 def decode(encoded: DataFrame, model_path: str, out: str = "decoded") -> DataFrame:
@@ -291,17 +306,15 @@ def round_trip(docs: DataFrame, model_path: str, theta: float = THETA, seed: int
     """For each row of docs: doc_id, n_pieces, ids_crc32 (of the ids as 32-bit little-endian), lossless (decoding gave the text back)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = sampler(model_path, theta).v
-        for b in batches:
-            ids = b.column("ids")
-            flat, sizes = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"), pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False)
-            at = np.r_[0, np.cumsum(sizes)]
-            crc = [zlib.crc32(flat[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
-            same = [x == y for x, y in zip(_texts(ids, v), b.column("text").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], names=["doc_id", "n_pieces", "ids_crc32", "lossless"])
-
-    return encode(docs.select("doc_id", "text"), model_path, theta, seed).mapInArrow(run, f"doc_id {kind}, n_pieces long, ids_crc32 long, lossless boolean")
+    def more(b: pa.RecordBatch, ids: pa.ListArray, s: Sampler) -> list:
+        flat, sizes = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"), pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.r_[0, np.cumsum(sizes)]
+        crc = [zlib.crc32(flat[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
+        same = [x == y for x, y in zip(_texts(ids, s.v), b.column("text").to_pylist(), strict=True)]
+        return [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)]
+
+    columns = [("doc_id", kind), ("n_pieces", "long"), ("ids_crc32", "long"), ("lossless", "boolean")]
+    return _with_ids(docs.select("doc_id", "text"), model_path, theta, seed, "doc_id", columns, more)
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
