@@ -7,24 +7,41 @@ from pyspark.sql import functions as F
 
 from verdigris.llm import common
 
+#: How often parents are followed within a round.
+_JUMPS = 3
 
-def connected_components(edges: DataFrame) -> DataFrame:
+
+def _contracted(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges between the components of their ends."""
+    a, b = labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    ends = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    return ends.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def connected_components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """edges: a, b. Returns node, component (the smallest node reachable) of every node that has an edge.
 
-    Each round takes the least label among a node's neighbours, then jumps to that label's own label,
-    so chains shrink by a power each round. Rounds are written to the shared folder.
+    known: the components of other edges, which are taken in.
+
+    Each round hooks every node to its least neighbour, follows parents a few times and contracts the
+    edges to what is still between different trees, so they shrink quickly. Rounds are written to the shared folder.
     """
-    both = common.materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = common.materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    labels = known
+    if known is not None:
+        edges = _contracted(edges, known)
     while True:
-        seen = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("_seen"))
-        near = labels.join(seen, labels["node"] == seen["a"]).select("node", F.col("component").alias("_old"), F.least("component", "_seen").alias("_near"))
-        at = labels.select(F.col("node").alias("_near"), F.col("component").alias("_jump"))
-        new = common.materialize(near.join(at, "_near", "left").select("node", F.least("_near", F.coalesce("_jump", "_near")).alias("component"), "_old"), "labels")
-        common.discard(labels)
-        changed = new.filter(F.col("component") != F.col("_old")).limit(1).count()
-        labels, path = new.select("node", "component"), new.scratch
-        labels.scratch = path
-        if not changed:
-            common.discard(both)
+        now = common.materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        if not now.limit(1).count() and labels is not None:
             return labels
+        both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        parents = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("component"))
+        for _ in range(_JUMPS):
+            up = parents.select(F.col("node").alias("component"), F.col("component").alias("up"))
+            parents = common.materialize(parents.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component")), "parents")
+        if labels is None:
+            labels = parents
+        else:
+            moved = parents.select(F.col("node").alias("component"), F.col("component").alias("to"))
+            old = labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+            labels = common.materialize(old.unionByName(parents.join(labels.select("node"), "node", "left_anti")), "labels")
+        edges = _contracted(now, parents)

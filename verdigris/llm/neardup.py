@@ -9,8 +9,7 @@ Class representatives meet in buckets by band. A small bucket offers all its pai
 each member with two pivots, the member that shares most buckets and a random one. Pairs whose signatures agree in
 too few slots are set aside, the rest is verified on full shingle sets: first the best pair of each document, then what
 still joins different components. What pivots can't decide is settled exactly: in a large bucket whose members ended in
-different components, members outside its main component are compared with all members in blocks, and what passes the
-signatures is verified too. So no link is lost to a pivot, and no step holds a whole bucket or makes all its pairs.
+different components, members outside its main component are compared with all members in blocks, on full sets too. So no link is lost to a pivot, and no step holds a whole bucket or makes all its pairs.
 
 With BANDS bands of ROWS slots a pair at the threshold shares no bucket with probability (1 - 0.75^4)^32, about 5e-6,
 and fails the slot count (MIN_SLOTS of SLOTS) with probability under 1e-6.
@@ -78,7 +77,7 @@ def signatures(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     slots = np.full(n * SLOTS, np.uint64(0xFFFFFFFFFFFFFFFF))
     live, perm = np.arange(len(h)), None
     for j in range(SLOTS):
-        x = mix(h[live] + np.uint64(j + 1) * ODD)
+        x = mix(h[live] + np.uint64((j + 1) * int(ODD) % (1 << 64)))
         k = j + (((x >> np.uint64(40)) * np.uint64(SLOTS - j)) >> np.uint64(24)).astype(np.int64)
         if perm is None:
             slot = k
@@ -201,24 +200,36 @@ def _ordered(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _blocked(rest: DataFrame, slots: DataFrame) -> DataFrame:
-    """Pairs across components within large buckets: rest has bucket, rep, component, n (rows of the bucket), main (its main component)."""
-    held = rest.join(slots.select("rep", "slots"), "rep").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+def _blocked(rest: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links across components within large buckets: rest has bucket, rep, component, n (rows of the bucket), main (its main component).
+
+    A pair is looked at in the bucket of the first band that it shares, and only what passes the signatures on full sets.
+    """
+    held = rest.join(classes.select("rep", "slots", "bands"), "rep").join(sets, "rep").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    cols = ["bucket", "i", "j", "rep", "component", "slots"]
+    cols = ["bucket", "i", "j", "rep", "component", "slots", "bands", "shingles"]
     members = held.withColumn("i", mine).withColumn("j", F.explode(every)).select(*cols, F.lit(True).alias("member"))
     others = held.filter(F.col("component") != F.col("main")).withColumn("j", mine).withColumn("i", F.explode(every)).select(*cols, F.lit(False).alias("member"))
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         x, y = block[block["member"]], block[~block["member"]]
-        out = [np.empty((0, 2), np.int64)]
+        out = []
         if len(x) and len(y):
-            left, lc, lr = np.stack([np.frombuffer(s, np.uint8) for s in x["slots"]]), x["component"].to_numpy(), x["rep"].to_numpy()
-            for s, c, r in zip(y["slots"], y["component"], y["rep"], strict=True):
-                ok = np.flatnonzero(((left == np.frombuffer(s, np.uint8)).sum(1) >= MIN_SLOTS) & (lc != c))
-                out.append(np.stack([np.minimum(lr[ok], r), np.maximum(lr[ok], r)], 1))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+            bucket, sets_ = block["bucket"].iloc[0], list(x["shingles"])
+            left, bands, lc, lr = np.stack([np.frombuffer(s, np.uint8) for s in x["slots"]]), np.stack(list(x["bands"])), x["component"].to_numpy(), x["rep"].to_numpy()
+            for s, k, own, c, r in zip(y["slots"], y["bands"], y["shingles"], y["component"], y["rep"], strict=True):
+                same = bands == k
+                first_here = k[same.argmax(1)] == bucket
+                linked = set()
+                for i in np.flatnonzero(first_here & (lc != c) & ((left == np.frombuffer(s, np.uint8)).sum(1) >= MIN_SLOTS)).tolist():
+                    if lc[i] in linked:
+                        continue
+                    common_ = len(np.intersect1d(sets_[i], own, assume_unique=True))
+                    if common_ * 100 >= (len(sets_[i]) + len(own) - common_) * PERCENT:
+                        linked.add(lc[i])
+                        out.append((min(lr[i], r), max(lr[i], r)))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return members.unionByName(others).groupBy("bucket", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
@@ -258,22 +269,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return p.join(ca, "a", "left").join(cb, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
     more = common.materialize(_confirmed(across(likely.select("a", "b").exceptAll(first)), sets), "links")
-    links = common.union_all([links, more])
-    labels = connected_components(links)
+    labels = connected_components(more, labels)
     # Large buckets whose members are in different components: compare exactly, in blocks.
     named = large.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
     groups = named.groupBy("bucket", "component").agg(F.count("*").alias("m"), F.first("n").alias("n"))
     mains = groups.groupBy("bucket").agg(F.max(F.struct("m", "component"))["component"].alias("main"), F.count("*").alias("k")).filter("k > 1").select("bucket", "main")
-    undecided = across(_blocked(named.join(mains, "bucket"), classes).join(likely.select("a", "b"), ["a", "b"], "left_anti"))
-    last = common.materialize(_confirmed(undecided, sets), "links")
-    if last.limit(1).count():
-        labels = connected_components(common.union_all([links, last]))
+    last = common.materialize(_blocked(named.join(mains, "bucket"), classes, sets), "links")
+    labels = connected_components(last, labels)
     of_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     # Rows of one doc_id are one node, whatever their texts.
     found = nodes.select("doc_id", "k1", "k2").join(of_class, ["k1", "k2"]).select("doc_id", "component")
     twice = nodes.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     if twice:
-        merged = connected_components(found.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).filter("a != b").union(found.select("doc_id", "doc_id")))
+        merged = connected_components(found.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).filter("a != b").union(found.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))))
         found = merged.select(F.col("node").alias("doc_id"), "component")
     return base.select("doc_id", "n_shingles").join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
