@@ -91,11 +91,9 @@ def test_repeats(spark, docs, rows, none):
     assert repeats.remove_repeats(none).count() == 0
 
 
-def test_repeats_of_hot_anchors(docs, rows, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", 2)
+def test_repeats_of_hot_anchors(docs, rows):
     want = brute.repeats([r[:2] for r in rows])
-    # The threshold is read in the workers' closures of the module, so it travels with them only within one process.
-    got = {r.doc_id: sum(s["last"] - s["first"] for s in r.spans) for r in repeats.remove_repeats(docs).collect()}
+    got = {r.doc_id: sum(s["last"] - s["first"] for s in r.spans) for r in repeats.remove_repeats(docs, hot=2).collect()}
     assert got == {k: v[1] for k, v in want.items()}
 
 

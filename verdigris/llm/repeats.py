@@ -152,7 +152,7 @@ def _find_pieces(parts: int, doc_parts: int):
     return run
 
 
-def _sort_pieces(doc_parts: int):
+def _sort_pieces(doc_parts: int, hot: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         first, gone = _split_known(_read(frame, _RECORDS, RECORD))
         gone = _merged(np.concatenate([gone, _read(frame, _RANGES, RANGE)]))
@@ -162,7 +162,7 @@ def _sort_pieces(doc_parts: int):
         v = np.empty(len(several), VARIANT)
         for c in ("key", "h1", "start", "more"):
             v[c] = several[c]
-        v["hot"] = count[count > 1] >= HOT
+        v["hot"] = count[count > 1] >= hot
         return _frame(_dealt(_RANGES, gone["key"] % doc_parts, gone) + _dealt(_VARIANTS, v["key"] % doc_parts, v))
 
     return run
@@ -347,7 +347,7 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return rows.join(ranked, "row").select("key", "data"), rows.select("row", "doc_id").join(ranked, "row").select("key", "doc_id")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, spans (removed runs, array<struct<first,last>> in bytes), kept (the remaining bytes)."""
     spark = docs.sparkSession
     common.bound_batches(spark)
@@ -356,7 +356,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
     doc_parts = next(n for n in range(parts, 3 * parts + 3) if _is_prime(n))
     cut = keyed.select("key", "data").mapInArrow(_find_pieces(parts, doc_parts), _PACKED)
-    known = common.materialize(cut.groupBy("part").applyInPandas(_sort_pieces(doc_parts), _PACKED), "repeats")
+    known = common.materialize(cut.groupBy("part").applyInPandas(_sort_pieces(doc_parts, hot), _PACKED), "repeats")
     common.free_shuffles(spark)
     texts = keyed.select(F.lit(_TEXT).alias("kind"), F.pmod("key", F.lit(doc_parts)).cast("int").alias("part"), "data", "key")
     no_key = F.lit(None).cast("long").alias("key")
