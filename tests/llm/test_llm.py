@@ -306,6 +306,22 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0 and ann.nearest(df.filter("vec_id = 0"), F.lit(True)).count() == 0
 
 
+def test_nearest_in_a_group_of_near_copies(spark):
+    """A third of the rows differs by less than the codes tell apart."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(3000, 16))
+    x[::3] = x[0] + 1e-3 * r.normal(size=(1000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for q in ann.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(q.query_id, []).append(q.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 3000, 50):
+        s = unit @ unit[q]
+        s[q] = -2
+        assert set(got[q]) == set(np.argsort(-s)[:5].tolist())
+
+
 def test_language_id(spark, docs, none):
     r = random.Random(9)
     en, fr = ["the", "of", "and", "that", "thing", "with"], ["le", "été", "que", "dans", "très", "où"]

@@ -4,8 +4,12 @@ Codebooks are fitted on a bounded sample with the score-aware loss: the residual
 the vector costs ETA times its orthogonal part, since it is the parallel part that shifts large inner
 products. Every vector is then indexed: shards hold packed codes (two per byte) and the vectors.
 Queries go in blocks of bounded size; a block scans every shard's codes with lookup tables, one table
-entry for each byte of codes, and reranks the best RERANK of the shard exactly in double precision.
-The shards' few best rows meet in one window by query.
+entry for each byte of codes, and scores the best SEED of the shard exactly in double precision. The
+worst of their k best is a threshold t: every row of the shard that can reach it is scored exactly, too.
+With code vector c and residual u - c = a u + o of a unit vector u (o orthogonal to u), the score s with
+a unit query is s (1 - a) = c.query + o.query <= c.query + |o| sqrt(1 - s^2), which bounds c.query from
+below for s >= t > 0. So no row is lost, and the window narrows as t nears 1, as in a group of near
+copies. The shards' few best rows meet in one window by query.
 
 Defined cases: vectors that are null, empty, zero, of another length than most rows of the index, or hold
 null or non-finite components take no part. Equal vectors share one code row, of which the smallest
@@ -25,8 +29,8 @@ from verdigris.llm import common
 
 #: Bound of the rows that codebooks are fitted on (expected number), dimensions of a codebook, weight of parallel error.
 SAMPLE, SUB, ETA = 8192, 2, 4.0
-#: Rows of a shard, queries of a block, rows reranked in each shard.
-SHARD_ROWS, BLOCK_QUERIES, RERANK = 16384, 4096, 256
+#: Rows of a shard, queries of a block, rows of a shard whose exact scores give the threshold, and rows scored at once.
+SHARD_ROWS, BLOCK_QUERIES, SEED, SCORED_ROWS = 16384, 4096, 256, 4096
 _CENTRES, _ROUNDS = 16, 8
 
 
@@ -95,24 +99,54 @@ def _search_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries
     _, first, group = np.unique(x.view(np.dtype((np.void, x.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
     by_group = np.argsort(group, kind="stable")
     begin = np.searchsorted(group[by_group], np.arange(len(first) + 1))
-    units = _units(x[first])
-    codes = _encode(_padded(units), books)
+    units = _padded(_units(x[first]))
+    codes = _encode(units, books)
     packed = codes[:, 0::2] | codes[:, 1::2] << 4  # what a scan reads: half a byte for each codebook
     columns = np.ascontiguousarray(packed.T)
-    norms = np.sqrt((x * x).sum(1))
-    top = min(RERANK, len(first))
+    coded = books[np.arange(len(books)), codes].reshape(units.shape)
+    along = ((units - coded) * units).sum(1)
+    across = np.sqrt((((units - coded) - along[:, None] * units) ** 2).sum(1))
+    # Bounds of what rounding adds to exact scores, and to a scan's sums in single precision.
+    rounding = 1e-14 * (units.shape[1] + 10)
+    slack = (len(columns) + 4) * 2.0**-23 * np.sqrt((coded**2).sum(1)) + rounding
+    norms = np.sqrt((x[first] ** 2).sum(1))
+    top = min(SEED, len(first))
     for q, (qid, v) in enumerate(zip(query_ids, queries, strict=True)):
         tables = (books * _padded(_units(v[None]))[0].reshape(-1, 1, SUB)).sum(-1).astype(np.float32)
         pairs = (tables[1::2, :, None] + tables[0::2, None, :]).reshape(len(columns), 256)
         approx = pairs[0][columns[0]]
         for t, c in zip(pairs[1:], columns[1:], strict=True):
             approx += t[c]
+        length = np.sqrt(v @ v)
+        most = k + int(np.searchsorted(ids, qid, "right") - np.searchsorted(ids, qid))  # the query's own rows are not reported
+
+        def scored(groups: np.ndarray, qid=qid, v=v, length=length, most=most) -> tuple[np.ndarray, np.ndarray]:
+            """Rows (as many of each group as can be reported) and scores of the k best of groups."""
+            near = x[first[groups]] @ v / (norms[groups] * length)
+            if len(near) > most:
+                some = near >= np.partition(near, -most)[-most]
+                groups, near = groups[some], near[some]
+            sizes = np.minimum(begin[groups + 1] - begin[groups], most)
+            rows = by_group[np.repeat(begin[groups] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+            score = np.repeat(near, sizes)
+            rows, score = rows[ids[rows] != qid], score[ids[rows] != qid]
+            keep = np.lexsort((ids[rows], -score))[:k]
+            return rows[keep], score[keep]
+
         best = np.argpartition(-approx, top - 1)[:top] if top < len(first) else np.arange(top)
-        rows = np.concatenate([by_group[a : min(b, a + k + 1)] for a, b in zip(begin[best], begin[best + 1], strict=True)])
-        rows = rows[ids[rows] != qid]
-        score = x[rows] @ v / (norms[rows] * np.sqrt(v @ v))
-        keep = np.lexsort((ids[rows], -score))[:k]
-        yield np.full(len(keep), q), ids[rows[keep]], score[keep]
+        rows, score = scored(best)
+        if top < len(first):
+            least = min(score[-1], 1.0) - rounding if len(score) == k else -1.0
+            reach = approx + slack + across * np.sqrt(1 - least**2) >= least * (1 - along) if least > 0 else np.ones(len(first), bool)
+            reach |= along >= 1
+            reach[best] = False
+            more = np.flatnonzero(reach)
+            for at in range(0, len(more), SCORED_ROWS):
+                r, s = scored(more[at : at + SCORED_ROWS])
+                rows, score = np.r_[rows, r], np.r_[score, s]
+                keep = np.lexsort((ids[rows], -score))[:k]
+                rows, score = rows[keep], score[keep]
+        yield np.full(len(rows), q), ids[rows], score
 
 
 def _searcher(shared, books, k: int):
