@@ -235,6 +235,31 @@ def test_sampling_follows_the_lattice():
     assert max(abs(seen.get(p, 0) / n - x / whole) for p, x in share.items()) < 0.02
 
 
+@pytest.mark.parametrize("text", ["if x:\n" + " " * 9 + "return", "the  " + " " * 17, "straightforwardrepresentationsofIllegalArgumentExceptionsinaddEventListener"])
+def test_sampling_across_spaces_and_long_runs(text, monkeypatch):
+    """Frequencies of cuts at each place against their exact shares in the lattice of the whole text."""
+    v, n = pieces.Vocabulary(MODEL), 10000
+    size, weight = len(text), {}
+    for i in range(size):
+        for j in range(i + 1, min(size, i + v.longest) + 1):
+            k, w = v.find(np.array([pieces._hash(text[i:j].replace(" ", "▁"))], np.uint64))
+            if k[0] >= 0 or j == i + 1:
+                weight[i, j] = float(np.exp(w[0] if k[0] >= 0 else v.by_bytes))
+    left, right = [1.0] + [0.0] * size, [0.0] * size + [1.0]
+    for j in range(1, size + 1):
+        left[j] = sum(left[i] * weight.get((i, j), 0.0) for i in range(j))
+    for i in range(size - 1, -1, -1):
+        right[i] = sum(right[j] * weight.get((i, j), 0.0) for j in range(i + 1, size + 1))
+    share = np.array(left) * np.array(right) / left[size]
+    keys = np.arange(n).astype(np.uint64)
+    ids, counts = pieces.Sampler(v).sample([text] * n, keys)
+    ends = np.cumsum(v.lengths[ids]) % size  # one byte for each character
+    seen = np.bincount(ends, minlength=size) / n
+    assert counts.sum() == len(ids) and abs(seen[1:] - share[1:size]).max() < 0.02
+    monkeypatch.setattr(pieces, "_CELLS", 100)
+    assert (pieces.Sampler(v).sample([text] * n, keys)[0] == ids).all()
+
+
 def test_long_units_and_full_tables(monkeypatch):
     v = pieces.Vocabulary(MODEL)
     r = random.Random(1)

@@ -1,15 +1,17 @@
 """Encoding into vocabulary pieces by forward filtering and backward sampling, and lossless decoding.
 
-A text is cut into units (a run of characters without space or line feed, with one space before it,
-at most UNIT_CHARS long; or a lone space or line feed). The lattice of a unit has an edge for every
-vocabulary piece that covers a stretch of it, and one for the bytes of any character that no piece
-spells. Forward filtering sums the weights of all paths to each place; sampling walks back from the
+A text is cut into units only where no piece can span the cut: a unit is a run of characters without
+space or line feed, however long, with all spaces before it; or spaces alone; or a line feed. If the
+vocabulary has a piece with a line feed or with a space behind another character, the text is one unit.
+So the lattice of a unit has an edge for every vocabulary piece that covers a stretch of the text, and
+one for the bytes of any character that no piece spells. Forward filtering sums the weights of all paths to each place; sampling walks back from the
 end, taking each edge with its exact share. The draws are a counter hash of the row's key, the unit's
 place and the step, so a row's segmentation does not depend on partitions, batches or retries.
 
 Weights: pieces have ranks, not probabilities, so a piece weighs rank^-THETA; larger THETA prefers
 long frequent pieces more. A worker keeps the lattices of the first units it meets, up to a bound; all
-others are built when met. Walking is vectorised over all units of a slice of texts.
+others, and all units of over MEMO_CHARS, are built when met. Long units of about one length are padded
+and filtered together, a block of places at a time. Walking is vectorised over all units of a slice of texts.
 
 Defined cases: a null text gives a null list and decodes to null; an empty one gives an empty list.
 The space marker in a text is spelled by its bytes, so decoding returns every text exactly. Equal
@@ -31,10 +33,12 @@ from pyspark.sql import functions as F
 
 from verdigris.llm import common
 
-THETA, UNIT_CHARS = 0.6, 40
-#: Bound of the units whose lattices a worker keeps, and characters of one vectorised slice.
-MEMO_UNITS, SLICE_CHARS = 150_000, 1 << 19
-_UNIT = re.compile(rf" ?[^ \n]{{1,{UNIT_CHARS}}}| |\n")
+THETA = 0.6
+#: Bounds of the units whose lattices a worker keeps (number, length of each), and characters of one vectorised slice.
+MEMO_UNITS, MEMO_CHARS, SLICE_CHARS = 150_000, 41, 1 << 19
+#: Cells (units x places x reach) that are filtered at once, and edges that a worker has room for between slices.
+_CELLS, _ROOM = 1 << 19, 1 << 23
+_UNIT, _WHOLE = re.compile(r" *[^ \n]+| +|\n"), re.compile(r"(?s).+")
 _MARKER = "▁"
 #: What the marker itself becomes when it stands in a text, and the base of the hash of a run of characters.
 _LITERAL, _BASE = 0x110000, np.uint64(0x9E3779B97F4A7C15)
@@ -74,6 +78,7 @@ class Vocabulary:
                 pieces.append((piece, i, p.get_score(i)))
         best = max((x[2] for x in pieces), default=0.0)
         self.longest = max((len(x[0]) for x in pieces), default=1)
+        self.unit = _WHOLE if any("\n" in x[0] or _MARKER in x[0].lstrip(_MARKER) for x in pieces) else _UNIT
         hashes = np.array([_hash(x[0]) for x in pieces], np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array([x[1] for x in pieces], np.int64)[order]
@@ -121,34 +126,59 @@ class Sampler:
         held[at : at + len(values)] = values
 
     def add(self, units: list[str]) -> None:
-        """Forward-filter the lattices of units, those of one length together."""
+        """Forward-filter the lattices of units, those of one length together; above MEMO_CHARS, of nearly one length."""
         by_length: dict[int, list[str]] = {}
         for u in units:
-            by_length.setdefault(len(u), []).append(u)
+            n = len(u)
+            step = 1 if n <= MEMO_CHARS else 1 << max(0, n.bit_length() - 4)
+            by_length.setdefault(-(-n // step) * step, []).append(u)
         for n, same in by_length.items():
-            some = max(1, (1 << 19) // (n * min(n, self.v.longest)))
+            some = max(1, _CELLS // (n * min(n, self.v.longest)))
             for at in range(0, len(same), some):
-                self._filter(same[at : at + some], n)
+                part = same[at : at + some]
+                self._filter(part, max(map(len, part)))
 
     def _filter(self, units: list[str], n: int) -> None:
         m, v, reach = len(units), self.v, min(n, self.v.longest)
-        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n).astype(np.uint64)
+        sizes = np.array([len(u) for u in units])
+        points = np.frombuffer("".join(u.ljust(n, "\0") for u in units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n)
+        base = self.n_states + np.cumsum(sizes) - sizes
+        self._put("first_edge", self.n_states, np.zeros(int(sizes.sum()), np.int32))
+        self.last_state.update(zip(units, (base + sizes - 1).tolist(), strict=True))
+        self.n_states += int(sizes.sum())
+        total = np.full((m, reach), -np.inf)  # of the places up to a block, as far back as a piece reaches
+        total[:, -1] = 0.0
+        block = max(reach, _CELLS // (m * reach))
+        for start in range(0, n, block):
+            total = self._block(points, sizes, base, total, start, min(n, start + block))
+
+    def _block(self, all_points: np.ndarray, sizes: np.ndarray, base: np.ndarray, before: np.ndarray, start: int, stop: int) -> np.ndarray:
+        """Put the edges into places start to stop; before has, and the result is, the totals of the last places before the block."""
+        (m, reach), v, n = before.shape, self.v, stop - start
+        back = min(start, reach - 1)  # characters before the block that a piece can begin with
+        points = all_points[:, start - back : stop].astype(np.uint64)
         points = np.where(points == ord(_MARKER), np.uint64(_LITERAL), np.where(points == 32, np.uint64(ord(_MARKER)), points))
-        prefix = np.zeros((m, n + 1), np.uint64)
-        for j in range(n):
+        prefix = np.zeros((m, back + n + 1), np.uint64)
+        for j in range(back + n):
             prefix[:, j + 1] = prefix[:, j] * _BASE + points[:, j]
         # Edge k of place j comes from place j - reach + k.
         weight, ids = np.full((m, n, reach), -np.inf), np.full((m, n, reach), -1, np.int64)
+        inside = np.arange(start, stop) < sizes[:, None]
         for length in range(1, reach + 1):
-            found, w = v.find(prefix[:, length:] - prefix[:, : n + 1 - length] * _POWERS[length])
-            if length == 1 and (found < 0).any():
-                lone = np.unique(points[found < 0])
+            skip = max(0, length - 1 - back)  # places that a piece of this length can't end at
+            if skip >= n:
+                break
+            ends = prefix[:, back + skip + 1 :]
+            found, w = v.find(ends - prefix[:, back + skip + 1 - length : back + n + 1 - length] * _POWERS[length])
+            if length == 1 and ((found < 0) & inside).any():
+                own = points[:, back:]
+                lone = np.unique(own[(found < 0) & inside])
                 names = np.array([self._spelling(int(x)) for x in lone])
-                found = np.where(found < 0, names[np.minimum(np.searchsorted(lone, points), len(lone) - 1)], found)
+                found = np.where(found < 0, names[np.minimum(np.searchsorted(lone, own), len(lone) - 1)], found)
                 w = np.where(np.isinf(w), v.by_bytes, w)
-            ids[:, length - 1 :, reach - length], weight[:, length - 1 :, reach - length] = found, w
-        total = np.full((m, n + reach), -np.inf)  # of places, shifted so that all reach back alike
-        total[:, reach - 1] = 0.0
+            ids[:, skip:, reach - length], weight[:, skip:, reach - length] = found, w
+        weight[:, :, -1] = np.where(inside, weight[:, :, -1], 0.0)  # padding, whose edges are left out
+        total = np.concatenate([before, np.full((m, n), -np.inf)], 1)  # shifted so that all places reach back alike
         for j in range(n):
             weight[:, j] += total[:, j : j + reach]
             top = weight[:, j].max(1)
@@ -156,51 +186,56 @@ class Sampler:
             sums = mass.cumsum(1)
             total[:, j + reach] = top + np.log(sums[:, -1])
             weight[:, j] = sums / sums[:, -1:]
-        unit, place, k = np.nonzero(ids >= 0)
-        base = self.n_states + unit * n
-        origin = place + 1 - reach + k
+        unit, place, k = np.nonzero((ids >= 0) & inside[:, :, None])
+        origin = start + place + 1 - reach + k
         last = np.r_[(unit[1:] != unit[:-1]) | (place[1:] != place[:-1]), True]
-        self._put("first_edge", self.n_states, self.n_edges + np.flatnonzero(np.r_[True, last[:-1]]))
+        first = np.flatnonzero(np.r_[True, last[:-1]])
+        self.first_edge[base[unit[first]] + start + place[first]] = self.n_edges + first
         self._put("share", self.n_edges, np.where(last, 2.0, weight[unit, place, k]))
         self._put("piece", self.n_edges, ids[unit, place, k])
-        self._put("came_from", self.n_edges, np.where(origin > 0, base + origin - 1, -1))
-        self.last_state.update(zip(units, range(self.n_states + n - 1, self.n_states + n * m, n), strict=True))
-        self.n_states, self.n_edges = self.n_states + n * m, self.n_edges + len(k)
+        self._put("came_from", self.n_edges, np.where(origin > 0, base[unit] + origin - 1, -1))
+        self.n_edges += len(k)
+        return total[:, n:]
 
     def sample(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, and how many each text has; keys: uint64, one for each text."""
-        units = [_UNIT.findall(t) for t in texts]
+        units = [self.v.unit.findall(t) for t in texts]
         used = set().union(*units)
         new = used.difference(self.last_state)
         if len(self.last_state) + len(new) > MEMO_UNITS and len(new) > len(used) / 2:
             self.clear()  # other text than before
             new = used
-        held, keep = (self.n_states, self.n_edges), len(self.last_state) + len(new) <= MEMO_UNITS
-        self.add(sorted(new))
+        lasting = sorted(u for u in new if len(u) <= MEMO_CHARS) if len(self.last_state) + len(new) <= MEMO_UNITS else []
+        self.add(lasting)
+        held, passing = (self.n_states, self.n_edges), new.difference(lasting)
+        self.add(sorted(passing))
         counts = np.array([len(u) for u in units], np.int64)
         where = self.last_state.__getitem__
         state = np.fromiter((where(u) for t in units for u in t), np.int64, int(counts.sum()))
         of = np.repeat(np.arange(len(texts)), counts)
         place = np.arange(len(state)) - np.repeat(np.cumsum(counts) - counts, counts)
         seed = _mix(keys[of] + _mix(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)))
-        alive, steps = np.arange(len(state)), []
+        alive, steps, walked, k = np.arange(len(state)), [], [], 0
         length = np.zeros(len(state), np.int64)
         while len(alive):
             e = self.first_edge[state[alive]]
-            u = (_mix(seed[alive] + np.uint64(len(steps) + 1)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+            u = (_mix(seed[alive] + np.uint64(k + 1)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
             look = np.flatnonzero(self.share[e] <= u)
             while len(look):
                 e[look] += 1
                 look = look[self.share[e[look]] <= u[look]]
-            steps.append((alive, self.piece[e]))
+            steps.append((alive, np.full(len(alive), k), self.piece[e]))
+            k += 1
+            if len(steps) == 1024:  # long units take many steps of few units
+                walked, steps = [*walked, tuple(map(np.concatenate, zip(*steps, strict=True)))], []
             length[alive] += 1
             back = self.came_from[e]
             state[alive] = back
             alive = alive[back >= 0]
         ends = np.cumsum(length)
         out = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
-        for k, (a, p) in enumerate(steps):
-            out[ends[a] - 1 - k] = p
+        for a, at, p in walked + steps:
+            out[ends[a] - 1 - at] = p
         owner = np.repeat(of, length)
         if len(out) and out.max() >= self.v.size:
             sizes = np.ones(self.v.size + len(self.spellings), np.int64)
@@ -210,10 +245,12 @@ class Sampler:
             n = sizes[out]
             at = np.repeat(starts[out] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             out, owner = flat[at], np.repeat(owner, n)
-        if not keep:
-            for u in new:
-                del self.last_state[u]
-            self.n_states, self.n_edges = held
+        for u in passing:
+            del self.last_state[u]
+        self.n_states, self.n_edges = held
+        for name, n in (("first_edge", held[0]), ("share", held[1]), ("piece", held[1]), ("came_from", held[1])):
+            if len(getattr(self, name)) > max(_ROOM, 2 * n):
+                setattr(self, name, getattr(self, name)[: max(n, _ROOM)].copy())
         return out.astype(np.int32), np.bincount(owner, minlength=len(texts))
 
 
