@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_BLOCK = 64
+_BLOCK, _CHUNK = 64, 64
 SPAN_TYPE = "array<struct<start:int,end:int,match:string,before:string>>"
 
 
@@ -31,6 +31,19 @@ def running_sums(lengths: Column) -> Column:
     return F.flatten(F.transform(with_base, lambda b: F.transform(b["x"], lambda _, i: b["base"] + total(F.slice(b["x"], F.lit(1), i + 1)))))
 
 
+def chunks(text: Column) -> Column:
+    """A text cut after every _CHUNK characters, in time linear in its length."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+
+
+def between(cut: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end of a text that chunks() has cut, without a walk from the text's first one."""
+    low = F.greatest(start, F.lit(0))
+    first = F.floor(low / _CHUNK).cast("int")
+    part = F.slice(cut, first + 1, F.greatest(F.ceil(end / _CHUNK).cast("int") - first, F.lit(0)))
+    return F.substr(F.array_join(part, ""), low - first * _CHUNK + 1, F.greatest(end - low, F.lit(0)))
+
+
 def with_matches(df: DataFrame, text: str, patterns: dict[str, str], guards: dict[str, Column] | None = None, context: int = 0) -> DataFrame:
     """df with one column for each name in patterns: its matches as array<struct<start,end,match,before>>.
 

@@ -1,5 +1,8 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words adjust scores.
 
+Context is the text up to CONTEXT_CHARS characters on both sides of a span; before it, back to the last
+confirmed span of the same kind at most, so a word in front of several spans counts for the first.
+
 Everything is built from Spark's own functions, one projection over whole texts. Patterns are written
 so that matching is linear: possessive runs, and starts only where a run begins or the last match ended.
 
@@ -9,10 +12,12 @@ different kinds may overlap. Offsets are code points, ends exclusive. Repeated r
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.functions.segments import with_matches
+from verdigris.functions.segments import between, chunks, with_matches
 from verdigris.llm import common
 
 # The kinds in their order, the base kinds first, and their patterns.
@@ -65,14 +70,25 @@ def find_pii(docs: DataFrame) -> DataFrame:
     digit, t = F.col("_digit"), F.col("text")
     own = docs.select("doc_id", common.text_or_empty().alias("text")).withColumn("_digit", t.rlike("[0-9]"))
     guards = {"email": t.contains("@"), "phone": t.contains("+"), **{k: digit for k in ("ip", "card", "iban", "ssn", "local_phone")}}
-    found = with_matches(own, "text", PATTERNS, guards, CONTEXT_CHARS)
+    found = with_matches(own, "text", PATTERNS, guards)
+    any_match = reduce(lambda a, b: a | b, (F.size(k) > 0 for k in PATTERNS))
+    found = found.withColumn("_cut", F.when(any_match, chunks(F.col("text"))).otherwise(F.array().cast("array<string>")))
+
+    def confirmed(kind: str) -> Column:
+        return F.filter(kind, lambda s: _VALID[kind](s["match"]))
+
+    found = found.withColumns({k: confirmed(k) for k in _VALID})
+
+    def context(kind: str, s: Column, i: Column) -> Column:
+        low = F.greatest(s["start"] - CONTEXT_CHARS, F.coalesce(F.get(kind, i - 1)["end"], F.lit(0)))
+        around = (between(F.col("_cut"), low, s["start"]), between(F.col("_cut"), s["end"], s["end"] + CONTEXT_CHARS))
+        return F.concat(around[0], F.lit("\n"), around[1])
 
     def kept(rank: int, kind: str) -> Column:
         plain, more = SCORES[kind]
-        valid = _VALID.get(kind, lambda m: F.lit(True))
         scored = F.transform(
-            F.filter(kind, lambda s: valid(s["match"])),
-            lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), F.when(s["before"].rlike(CONTEXT_WORDS[kind]), plain + more).otherwise(F.lit(plain)).alias("score"), s["match"].alias("match")),
+            kind,
+            lambda s, i: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), F.when(context(kind, s, i).rlike(CONTEXT_WORDS[kind]), plain + more).otherwise(F.lit(plain)).alias("score"), s["match"].alias("match")),
         )
         return scored if kind in BASE else F.filter(scored, lambda s: s["score"] >= MIN_SCORE)
 
