@@ -2,8 +2,9 @@
 
 Strong kinds (assign, access, hex) are always reported. Weak candidates (bare 40-character keys,
 account identifiers, endpoints) say little alone: they are reported only if the complementary parts
-of a credential lie within SCOPE characters. That interval join runs over the exploded parts as a
-range frame by row, so it makes no pairs, and a frame holds at most the parts that fit in its width.
+of a credential lie within SCOPE characters, counted from the end of one part to the start of the
+other. That interval join makes no pairs: running over the exploded parts of a row by start, it carries
+the greatest end of earlier complements, and running back, the least start of later ones.
 
 Defined cases: a null or empty text has no spans. Offsets are code points, ends exclusive. Repeated
 rows give repeated results, also if doc_id is null or repeated.
@@ -64,10 +65,17 @@ def _parts(docs: DataFrame) -> DataFrame:
 
 def _linked(rows: DataFrame, keep: list[Column]) -> DataFrame:
     """rows (_row, parts, more columns) with spans: the strong parts, and the weak ones whose complement is in scope."""
-    near = Window.partitionBy("_row").orderBy("_at").rangeBetween(-SCOPE, SCOPE)
+    # Running frames that include rows of the same start; both run forwards, since Spark recomputes shrinking frames.
+    upto = Window.partitionBy("_row").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    back = Window.partitionBy("_row").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     one = rows.select("*", F.posexplode_outer("parts").alias("_k", "_p")).withColumn("_at", F.col("_p.start"))
-    kind = F.col("_p.kind")
-    has = {p: F.max(kind.isin([k for k, v in PART.items() if v == p])).over(near) for p in ("id", "secret")}
+    kind, start, end = F.col("_p.kind"), F.col("_p.start"), F.col("_p.end")
+
+    def in_scope(part: str) -> Column:
+        such = kind.isin([k for k, v in PART.items() if v == part])
+        return (F.coalesce(F.max(F.when(such, end)).over(upto) >= start - SCOPE, F.lit(False))) | F.coalesce(F.min(F.when(such, start)).over(back) <= end + SCOPE, F.lit(False))
+
+    has = {p: in_scope(p) for p in ("id", "secret")}
     fits = kind.isin(*BASE)
     seen = one.select("_row", "_p", "_k", *[F.when(F.coalesce(F.col("_k"), F.lit(0)) == 0, c).alias(f"_keep{i}") for i, c in enumerate(keep)], *[x.alias(f"_has_{p}") for p, x in has.items()])
     for k, parts in NEEDS.items():
