@@ -29,6 +29,7 @@ class Substrings:
 
     def __init__(self, raw: np.ndarray) -> None:
         power, self.inverse = _powers(len(raw))
+        self.raw = raw
         self.running = np.r_[np.uint64(0), np.cumsum(_BYTE[raw] * power[: len(raw)])]
 
     def __call__(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -39,3 +40,14 @@ class Substrings:
         """Hashes of every substring of one size."""
         n = len(self.running) - size
         return mix((self.running[size:] - self.running[:n]) * self.inverse[:n])
+
+    def weighted(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """A second hash of raw[first:last], for short substrings, independent of the first one."""
+        n = last - first
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        value = mix((_BYTE[self.raw[np.repeat(first, n) + step]] ^ ODD) + step.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        out = np.zeros(len(n), np.uint64)
+        some = np.flatnonzero(n)
+        if len(some):
+            out[some] = np.add.reduceat(value, (np.cumsum(n) - n)[some])
+        return out
