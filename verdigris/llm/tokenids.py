@@ -35,6 +35,8 @@ from verdigris.llm import common
 from verdigris.llm.hashing import ODD, Substrings, mix
 
 END_ID, BLOCK_IDS = 0, 1 << 16
+#: Bytes of text in a shard.
+SHARD_BYTES = 128 << 20
 #: Bounds of a worker's table: pieces, and bytes of a piece in it. Characters that are encoded at once.
 MEMO_PIECES, MEMO_BYTES, SLICE_CHARS = 1 << 20, 40, 1 << 21
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -260,7 +262,8 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, n_shards: i
     spark = docs.sparkSession
     common.bound_batches(spark)
     bits = max(1, (Tokenizer.from_file(tokenizer_path).get_vocab_size() - 1).bit_length())
-    n = n_shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = n_shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
