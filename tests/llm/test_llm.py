@@ -397,6 +397,126 @@ def test_shards(spark, docs, rows, none, tmp_path):
     assert empty.compact()["version"] == 0
 
 
+def _lines(df):
+    return sorted(map(repr, df.collect()))
+
+
+def test_shards_keep_every_row(spark, docs, tmp_path):
+    """Contents before and after, with columns that clash with the store's own, and what located() says of each row."""
+    own = docs.withColumns({"run": F.lit("r"), "tier": F.lit(7), "shard": F.lit("s"), "row": F.lit(1), "_arrival": F.lit("mine"), "_ARRIVAL_": F.lit("x")})
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=1 << 20, tier_bytes=4096, fanout=2)
+    for _ in range(3):
+        store.append(own, F.col("source"))
+    three = own.union(own).union(own)
+    assert store.read().columns == own.columns and _lines(store.read()) == _lines(three)
+    last = store.compact()
+    assert _lines(store.read()) == _lines(three) == _lines(store.located().select("row.*"))
+    placed = {(r.run, r.tier) for r in store.located().collect()}
+    assert placed == {(r["id"], r["tier"]) for r in last["runs"] if r["bytes"]}
+    assert _lines(store.read(3)) == _lines(three)
+
+
+def test_shards_of_an_empty_table(spark, none, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s")
+    store.append(none, F.col("source"))
+    store.compact()
+    assert store.read().columns == none.columns and store.read().count() == store.located().count() == 0
+    store.vacuum()
+    with pytest.raises(ValueError):
+        sharding.ShardStore(spark, f"file://{tmp_path}/t").read()
+    none.select(*brute.SCHEMA.replace(",", "").split()[::2]).write.parquet(str(tmp_path / "documents.parquet"))
+    assert sharding.op9_shards(spark, str(tmp_path)).count() == 0
+
+
+def test_shards_lost_races_and_orphans(spark, docs, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/s"
+    one, two = (sharding.ShardStore(spark, root, tier_bytes=4096, fanout=2) for _ in range(2))
+    few = docs.filter("doc_id < 60")
+    commit, raced = one._commit, []
+
+    def late(base, runs, schema=None):
+        if not raced:
+            raced.append(two.append(few, F.lit("other")))  # another writer is first
+        return commit(base, runs, schema)
+
+    monkeypatch.setattr(one, "_commit", late)
+    one.append(docs, F.col("source"))
+    assert raced and _lines(one.read()) == _lines(docs.union(few))
+    raced.clear()
+    one.compact()
+    assert _lines(one.read()) == _lines(docs.union(few).union(few))
+    docs.write.parquet(f"{root}/runs/a-left-by-a-failed-writer")
+    one.vacuum(older_than_s=3600)
+    assert (tmp_path / "s/runs/a-left-by-a-failed-writer").exists()
+    one.vacuum()
+    assert not (tmp_path / "s/runs/a-left-by-a-failed-writer").exists() and _lines(one.read()) == _lines(docs.union(few).union(few))
+
+
+def test_shards_are_split_to_the_target(spark, tmp_path):
+    r = random.Random(1)
+    rows = spark.createDataFrame([(i, r.randbytes(200).hex()) for i in range(2000)], "doc_id long, text string").coalesce(1)
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=50_000)
+    assert store.append(rows, F.lit("a"))["runs"][0]["largest"] > 100_000
+    last = store.compact()
+    assert len(last["runs"]) == 1 and last["runs"][0]["largest"] <= 100_000 and last["runs"][0]["shards"] > 4
+    assert _lines(store.read()) == _lines(rows)
+
+
+def test_op9_places_every_document(spark):
+    sf = "/root/testdata/sf0.001"
+    got = sharding.op9_shards(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    runs = {r.run: r.tier for r in got}
+    assert all(list(runs.values()).count(t) < sharding.FANOUT for t in runs.values()) and all(r.shard.endswith(".parquet") for r in got)
+
+
+def test_names_that_clash(spark, rows):
+    """Columns with the helpers' names keep their values, or are replaced where the docstring says so."""
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").withColumns({c: F.lit("own") for c in ("_key", "ids", "_lang", "lang_pred", "score", "_gone", "doc", "lang")})
+    coded = pieces.encode(df, MODEL)
+    assert coded.schema["ids"].dataType.simpleString() == "array<int>" and coded.columns.count("ids") == 1 and coded.filter("_key != 'own'").count() == 0
+    model = langid.fit(spark.createDataFrame([(1, "the thing", "en"), (2, "le été", "fr")], "doc_id long, text string, lang string"))
+    named = langid.keep_known(df, model)
+    assert named.columns == df.columns and {r.lang for r in named.select("lang").distinct().collect()} <= {"en", "fr"} and named.filter("_lang != 'own'").count() == 0
+    assert neardup.deduplicate(df).columns == df.columns
+    items = spark.createDataFrame([(1, rows[0][1] or "x")], "item_id long, text string")
+    assert decontaminate.clean(df, items).columns == df.columns
+
+
+def test_clean_judges_rows_one_by_one(spark):
+    dirty, fine = "a b c d e f g h i j k", "some other words"
+    df = spark.createDataFrame([(None, dirty), (None, fine), (1, dirty), (1, fine)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, dirty)], "item_id long, text string")
+    assert sorted(map(repr, decontaminate.clean(df, items).collect())) == sorted(map(repr, df.filter(F.col("text") == fine).collect()))
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from verdigris.llm import common
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://h:7077")))
+
+
+def test_very_long_texts(spark, monkeypatch):
+    """A text of a million characters among short ones, in every operator that reads texts whole."""
+    r = random.Random(12)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(5000)]
+    long = " ".join(r.choice(vocab) for _ in range(180_000))
+    monkeypatch.setattr(tokenids, "SLICE_CHARS", 50_000)
+    df = spark.createDataFrame([(1, long), (2, "short"), (3, long[:-5]), (4, long[1000:1200])], "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(df).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4}
+    gone = {x.doc_id: x.n_bytes - len(x.kept) for x in repeats.remove_repeats(df).collect()}
+    assert gone == {1: 0, 2: 0, 3: len(long) - 5, 4: 200}
+    e = tokenids.Encoder(BPE)
+    assert e([long])[0].tolist() == e.tokenizer.encode(long, add_special_tokens=False).ids
+    assert pieces.round_trip(df, MODEL).filter("lossless").count() == 4
+    items = spark.createDataFrame([(1, " ".join(long.split()[170_000:170_012]))], "item_id long, text string")
+    assert {x.doc_id: sum(s["last"] - s["first"] for s in x.spans) for x in decontaminate.match_benchmark(df, items).collect()} == {1: 12, 2: 0, 3: 12, 4: 0}
+
+
 def test_pipeline_stages(spark, tmp_path, rows):
     import corpus_pipeline
 

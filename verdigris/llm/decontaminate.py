@@ -54,6 +54,12 @@ def _windows(items: list[tuple], window: int) -> dict:
     }
 
 
+def _word_ids(text: str | None, block: dict) -> np.ndarray:
+    """The block's number of each word, 0 for words it doesn't have."""
+    w = words_of(text)
+    return np.fromiter(map(block["vocab"].get, w, repeat(0)), np.uint32, len(w))
+
+
 def _as_bytes(keys: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(keys).view(f"S{keys.shape[1] * 4}").ravel()
 
@@ -162,9 +168,8 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                 ids.append(b.column(0))
                 rows.append(b.column(2))
                 for t in b.column(1).to_pylist():
-                    w = words_of(t)
-                    texts.append(np.fromiter(map(model["vocab"].get, w, repeat(0)), np.uint32, len(w)))
-                    total += len(w)
+                    texts.append(_word_ids(t, model))
+                    total += len(texts[-1])
                 if total >= SHARD_WORDS:
                     yield flush(ids, rows, texts)
                     ids, rows, texts, total = [], [], [], 0
@@ -188,9 +193,23 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs that share no window with the benchmark (rows with equal doc_id, null ones too, are one document here)."""
-    hit = match_benchmark(docs, benchmark, window, longest=False).filter("size(spans) > 0").select("doc_id").distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    """The rows of docs that share no window with the benchmark; each row is judged by its own text, and nothing is shuffled."""
+    spark, cols = docs.sparkSession, docs.columns
+    common.bound_batches(spark)
+    kept = docs
+    for block in _blocks(benchmark):
+        shared = spark.sparkContext.broadcast(_windows([tuple(r) for r in block.collect()], window))  # at most BLOCK_CHARS of text
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            model = shared.value
+            for b in batches:
+                texts = [_word_ids(t, model) for t in b.column("text").to_pylist()]
+                hit = np.zeros(len(texts), bool)
+                hit[search_shard(texts, model)[0]] = True
+                yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(~hit)) for c in cols], names=cols)
+
+        kept = kept.mapInArrow(run, docs.schema)
+    return kept
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,10 @@ Training counts n-grams on Spark (map-side sums, one row per language and bucket
 log-probability matrix, languages x buckets, has a fixed width and is broadcast. Scoring gathers
 matrix rows for a batch of texts at a time and sums them by document.
 
-Defined cases: a text that is null or has no letter is `und` with score 0. With no labelled rows
-everything is `und`. Equal scores go to the language first in alphabetical order. Repeated rows
-are scored alike; extra columns are ignored.
+Defined cases: a text that is null, empty or without a letter is `und` with score 0. With no labelled rows, as in
+an empty table, everything is `und`. Equal scores go to the language first in alphabetical order. Repeated rows
+are scored alike; extra columns are ignored, whatever their names. Very long texts are scored whole, with some 150 bytes of arrays
+for each character, one text at a time.
 """
 
 from __future__ import annotations
@@ -128,6 +129,22 @@ def label(docs: DataFrame, model: dict, names: tuple[str, str] = ("lang_pred", "
     return docs.mapInArrow(run, f"{ddl}, `{names[0]}` string, `{names[1]}` double")
 
 
+def keep_known(docs: DataFrame, model: dict, lang: str = "lang") -> DataFrame:
+    """The rows of docs whose text is in a learned language, with that language in the column lang; no other column is added or changed."""
+    common.bound_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # langs x 2^BITS floats
+    cols = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, _ = score_texts(b.column("text").to_pylist(), shared.value)
+            named = pa.array(found, pa.string())
+            known = pa.array([x != UNKNOWN for x in found])
+            yield pa.RecordBatch.from_arrays([(named if c == lang else b.column(c)).filter(known) for c in cols], names=cols)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred, score of every row of docs."""
     return label(docs.select("doc_id", "text"), model).drop("text")

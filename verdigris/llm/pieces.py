@@ -15,7 +15,7 @@ and filtered together, a block of places at a time. Walking is vectorised over a
 
 Defined cases: a null text gives a null list and decodes to null; an empty one gives an empty list.
 The space marker in a text is spelled by its bytes, so decoding returns every text exactly. Equal
-rows (key and text) give equal lists. Extra columns are ignored.
+rows (key and text) give equal lists. An empty table gives an empty one. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -301,12 +301,13 @@ def _texts(ids: pa.ListArray, v: Vocabulary) -> list[str | None]:
 def _with_ids(docs: DataFrame, path: str, theta: float, seed: int, key: str, columns: list[tuple[str, str]], more) -> DataFrame:
     """One pass over docs that samples ids; more(batch, ids, sampler) gives the arrays of the columns to return."""
     common.bound_batches(docs.sparkSession)
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(key).cast("string"), F.lit(seed)))
+    drawn = common.free_name("_key", docs.columns)
+    keyed = docs.withColumn(drawn, F.xxhash64(F.col(key).cast("string"), F.lit(seed)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sampler(path, theta)
         for b in batches:
-            keys = b.column("_key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            keys = b.column(drawn).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             yield pa.RecordBatch.from_arrays(more(b, _sampled(s, b.column("text").to_pylist(), keys), s), names=[n for n, _ in columns])
 
     return keyed.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in columns))
@@ -315,10 +316,10 @@ def _with_ids(docs: DataFrame, path: str, theta: float, seed: int, key: str, col
 def encode(docs: DataFrame, model_path: str, theta: float = THETA, seed: int = 0, key: str = "doc_id", decoded: str | None = None) -> DataFrame:
     """docs with a column ids, array<int>: a segmentation of text sampled with the row's key and the seed.
 
-    decoded: the name of a further column for the text that the ids spell, made in the same pass.
+    decoded: the name of a further column for the text that the ids spell, made in the same pass. Columns of docs with these names are replaced.
     """
-    cols = docs.columns
-    columns = [(f.name, f.dataType.simpleString()) for f in docs.schema] + [("ids", "array<int>")] + ([(decoded, "string")] if decoded else [])
+    cols = [c for c in docs.columns if c not in ("ids", decoded)]
+    columns = [(f.name, f.dataType.simpleString()) for f in docs.schema if f.name in cols] + [("ids", "array<int>")] + ([(decoded, "string")] if decoded else [])
 
     def more(b: pa.RecordBatch, ids: pa.ListArray, s: Sampler) -> list:
         return [*[b.column(c) for c in cols], ids, *([pa.array(_texts(ids, s.v), pa.string())] if decoded else [])]
@@ -327,15 +328,15 @@ def encode(docs: DataFrame, model_path: str, theta: float = THETA, seed: int = 0
 
 
 def decode(encoded: DataFrame, model_path: str, out: str = "decoded") -> DataFrame:
-    """encoded with a column of the texts that its ids spell."""
-    cols = encoded.columns
+    """encoded with a column of the texts that its ids spell, in place of one with that name."""
+    cols = [c for c in encoded.columns if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = sampler(model_path, THETA).v
         for b in batches:
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in cols], pa.array(_texts(b.column("ids"), v), pa.string())], names=[*cols, out])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name in cols)
     return encoded.mapInArrow(run, f"{ddl}, `{out}` string")
 
 
