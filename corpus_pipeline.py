@@ -4,8 +4,10 @@ STAGES lists (name, function); a function takes (spark, docs, sf_dir) and return
 columns of documents, the last one the encoded corpus. run() writes each stage's result as Parquet to the
 shared folder and reads it again as the next one's docs.
 
-Null and empty texts: language ID rejects them, as it does every text without a letter. Repeated rows stay
-until near-dedup, which keeps one document of each group. An empty table passes through all stages.
+Null and empty texts: language ID rejects them, as it does every text without a letter; every other text is given the likeliest
+learned language. Repeated rows stay until near-dedup, which keeps one document of each group (rows with equal doc_id are one
+document). Ties between languages go to the first in alphabetical order. Extra columns stay, whatever their names,
+until the last stage, which returns its own. Very long texts are worked on whole. An empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -18,10 +20,9 @@ from verdigris.llm import common, decontaminate, langid, neardup, pieces, secret
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no learned language; lang becomes the predicted one. Learns from labelled documents outside the held-out fifth."""
+    """Drops documents without letters or text, for which no language is predicted; lang becomes the predicted one. Learns from labelled documents outside the held-out fifth."""
     model = langid.fit(docs.filter(~langid.held_out()))
-    found = langid.label(docs, model, ("_lang", "_lang_score")).filter(F.col("_lang") != langid.UNKNOWN)
-    return found.withColumn("lang", F.col("_lang")).select(*docs.columns)
+    return langid.keep_known(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
