@@ -21,7 +21,7 @@ def running_sums(lengths: Column) -> Column:
         return F.aggregate(x, F.lit(0), lambda a, v: a + v)
 
     blocks = F.transform(
-        F.sequence(F.lit(0), F.ceil(F.size(lengths) / _BLOCK).cast("int") - 1),
+        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(lengths) / _BLOCK).cast("int") - 1, F.lit(0))),
         lambda b: F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)),
     )
     with_base = F.transform(
@@ -31,6 +31,28 @@ def running_sums(lengths: Column) -> Column:
     return F.flatten(F.transform(with_base, lambda b: F.transform(b["x"], lambda _, i: b["base"] + total(F.slice(b["x"], F.lit(1), i + 1)))))
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), with value worked out once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def each(df: DataFrame, keep: list[str | Column], array: Column, name: str, pos: str | None = None) -> DataFrame:
+    """keep with a row for each element of an array that holds no nulls, and its place if pos names it.
+
+    The outer form with a filter behind it, since Spark would filter for arrays with elements before the plain form, and so
+    work out a costly array twice.
+    """
+    rows = df.select(*keep, F.explode_outer(array).alias(name) if pos is None else F.posexplode_outer(array).alias(pos, name))
+    return rows.filter(F.col(name).isNotNull())
+
+
+def literal_starts(text: Column, word: Column) -> Column:
+    """Where a word stands in a text, left to right without overlaps: array<int>."""
+    gaps = F.split(text, F.concat(F.lit("\\Q"), word, F.lit("\\E")), -1)
+    ends = F.transform(F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda g: F.length(g) + F.length(word))
+    return F.transform(bound(ends, running_sums), lambda e: e - F.length(word))
+
+
 def chunks(text: Column) -> Column:
     """A text cut after every _CHUNK characters, in time linear in its length."""
     return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))

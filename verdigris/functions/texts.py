@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.functions.segments import each
+
 # Labels of fields in detail texts.
 FIELD_LABELS = {
     "company": "建设单位", "project_name": "建设项目名称", "construction_location": "建设地点", "construction_content": "建设内容",
@@ -36,7 +38,7 @@ def truncated(text: Column, n: int = 1_000_000) -> list[Column]:
 def chunk_text(df: DataFrame, text: str, n: int = 512) -> DataFrame:
     """df's rows with each chunk of n characters and its offset; blank chunks are left out."""
     starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / n).cast("int") - 1, F.lit(0)))
-    cut = df.select(*df.columns, F.explode(F.transform(starts, lambda i: F.struct((i * n).alias("offset"), F.substr(F.col(text), i * n + 1, F.lit(n)).alias("chunk")))).alias("_c"))
+    cut = each(df, df.columns, F.transform(starts, lambda i: F.struct((i * n).alias("offset"), F.substr(F.col(text), i * n + 1, F.lit(n)).alias("chunk"))), "_c")
     return cut.select(*df.columns, "_c.offset", "_c.chunk").filter(strip(F.col("chunk")) != "")
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.functions.segments import with_matches
+from verdigris.functions.segments import bound, each, literal_starts, with_matches
 
 # Rule patterns with type and score, dictionaries with score, and label types.
 RULES = {
-    "address_1": (r"(?:[一-鿿]{2,30}?(?:省|市|自治区|特别行政区|县|区|镇|乡|村|街道|路|街|道|巷|弄|号|楼|层|单元|室|座)){2,30}", "ADDRESS", 0.9),
+    "address_1": (r"(?:[一-鿿]{2,}(?:省|市|自治区|特别行政区|县|区|镇|乡|村|街道|路|街|道|巷|弄|号|楼|层|单元|室|座)){2,}", "ADDRESS", 0.9),
     "address_2": (r"[0-9]{6}[0-9A-Za-z一-鿿\-]+", "ADDRESS", 0.9),
     "phone": (r"(?:(?:\+?86)?[ -]?1[3-9][0-9]{9})|(?:[0-9]{3,4}[ -]?[0-9]{7,8})", "CONTACT", 0.95),
     "email": (r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", "CONTACT", 0.95),
@@ -26,45 +26,103 @@ KEYWORDS = {
 LABEL_TYPES = {"PER": "PERSON", "PERSON": "PERSON", "ORG": "ORG", "ORGANIZATION": "ORG", "LOC": "LOC", "LOCATION": "LOC", "GPE": "GPE"}
 
 
-def rule_entities(df: DataFrame, key: str, text: str = "text", rules: dict = RULES) -> DataFrame:
-    """key, type, text, start, end, score of every match of the rules; addresses have six characters or more."""
-    found = with_matches(df.select(key, text), text, {k: p for k, (p, _, _) in rules.items()})
+#: Where a rule's match can begin if it begins at all, so that long runs are read once: a run's start, or the end of the match before.
+_STARTS = {"address_1": r"(?:(?<![一-鿿])|\G)", "email": r"(?:(?<![A-Za-z0-9._%+\-])|\G)"}
+#: What a text must hold for a rule to be tried.
+_NEEDS = {"address_1": "[一-鿿]", "address_2": "[0-9]{6}", "phone": "[0-9]{5}", "email": "@", "date_1": "[0-9]{4}[年/\\-]", "date_2": r"[0-9]{4}\."}
+ENTITY = "struct<type:string,text:string,start:int,end:int,score:double>"
+
+
+def _entity(kind, text: Column, start: Column, end: Column, score) -> Column:
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(lit(kind).alias("type"), text.alias("text"), start.cast("int").alias("start"), end.cast("int").alias("end"), lit(score).cast("double").alias("score"))
+
+
+def with_rules(df: DataFrame, text: str = "text", rules: dict = RULES, out: str = "rule_entities") -> DataFrame:
+    """df with a column of the matches of all rules, array<struct<type,text,start,end,score>>; addresses have six characters or more."""
+    names = {f"_rule_{k}": k for k in rules}
+    patterns = {n: _STARTS.get(k, "") + f"(?:{rules[k][0]})" for n, k in names.items()}
+    found = with_matches(df, text, patterns, {n: F.col(text).rlike(_NEEDS[k]) for n, k in names.items() if k in _NEEDS})
 
     def typed(name: str) -> Column:
-        _, kind, score = rules[name]
-        return F.transform(name, lambda m: F.struct(F.lit(kind).alias("type"), m["match"].alias("text"), m["start"].alias("start"), m["end"].alias("end"), F.lit(score).alias("score")))
+        _, kind, score = rules[names[name]]
+        some = F.filter(name, lambda m: F.length(m["match"]) >= 6) if kind == "ADDRESS" else F.col(name)
+        return F.transform(some, lambda m: _entity(kind, m["match"], m["start"], m["end"], score))
 
-    each = F.concat(*[typed(k) for k in rules])
-    rows = found.select(key, F.explode(each).alias("e")).select(key, "e.*")
-    return rows.filter((F.col("type") != "ADDRESS") | (F.length("text") >= 6))
+    each = F.concat(*[typed(n) for n in names]) if names else F.array().cast(f"array<{ENTITY}>")
+    return found.select(*df.columns, each.alias(out))
 
 
-def keyword_entities(df: DataFrame, key: str, text: str = "text", keywords: dict = KEYWORDS, context: int = 0) -> DataFrame:
-    """Every occurrence of every keyword. context: up to so many Chinese characters on each side join the span."""
+def keyword_array(text: Column, keywords: dict = KEYWORDS, context: int = 0) -> Column:
+    """Every occurrence of every keyword in a text, array<struct<type,text,start,end,score>>. context: up to so many Chinese characters on each side join the span."""
     words = [(t, w, s) for t, (s, ws) in keywords.items() for w in ws]
-    entries = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(w).alias("word"), F.lit(s).alias("score")) for t, w, s in words])
-    hit = df.select(key, F.col(text).alias("_text"), F.explode(F.filter(entries, lambda e: F.col(text).contains(e["word"]))).alias("e"))
-    gaps = hit.withColumn("_gap", F.split(F.col("_text"), F.concat(F.lit("\\Q"), F.col("e.word"), F.lit("\\E")), -1))
-    n = F.length("e.word")
-    starts = F.transform(F.slice("_gap", F.lit(1), F.size("_gap") - 1), lambda _, i: F.aggregate(F.slice("_gap", F.lit(1), i + 1), F.lit(0), lambda a, g: a + F.length(g)) + i * n)
-    at = gaps.select(key, "_text", "e", F.explode(starts).alias("_s"))
-    if context:
-        before = F.length(F.regexp_extract(F.substr(F.col("_text"), F.greatest(F.col("_s") - context + 1, F.lit(1)), F.least(F.col("_s"), F.lit(context))), r"[一-鿿㐀-䶿]*$", 0))
-        after = F.length(F.regexp_extract(F.substr(F.col("_text"), F.col("_s") + n + 1, F.lit(context)), r"^[一-鿿㐀-䶿]*", 0))
-    else:
-        before = after = F.lit(0)
-    start, end = F.col("_s") - before, F.col("_s") + n + after
-    return at.select(key, F.col("e.type").alias("type"), F.substr(F.col("_text"), start + 1, end - start).alias("text"), start.alias("start"), end.alias("end"), F.col("e.score").alias("score"))
+    if not words:
+        return F.array().cast(f"array<{ENTITY}>")
+    entries = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(w).alias("word"), F.lit(s).cast("double").alias("score")) for t, w, s in words])
+
+    def span(e: Column, at: Column) -> Column:
+        n = F.length(e["word"])
+        if not context:
+            return _entity(e["type"], e["word"], at, at + n, e["score"])
+        before = F.length(F.regexp_extract(F.substr(text, F.greatest(at - context + 1, F.lit(1)), F.least(at, F.lit(context))), r"[一-鿿㐀-䶿]*$", 0))
+        after = F.length(F.regexp_extract(F.substr(text, at + n + 1, F.lit(context)), r"^[一-鿿㐀-䶿]*", 0))
+        return _entity(e["type"], F.substr(text, at - before + 1, before + n + after), at - before, at + n + after, e["score"])
+
+    some = F.filter(entries, lambda e: text.contains(e["word"]))
+    return F.coalesce(F.flatten(F.transform(some, lambda e: F.transform(literal_starts(text, e["word"]), lambda at: span(e, at)))), F.array().cast(f"array<{ENTITY}>"))
+
+
+def _exploded(df: DataFrame, key: str, entities: Column) -> DataFrame:
+    return each(df, [key], entities, "_e").select(key, "_e.*")
+
+
+def rule_entities(df: DataFrame, key: str, text: str = "text", rules: dict = RULES) -> DataFrame:
+    """key, type, text, start, end, score of every match of the rules; addresses have six characters or more."""
+    return _exploded(with_rules(df.select(key, text), text, rules, "_found"), key, F.col("_found"))
+
+
+def keyword_entities(df: DataFrame, key: str, text: str = "text", keywords: dict = KEYWORDS, context: int = 0) -> DataFrame:
+    """key, type, text, start, end, score of every occurrence of every keyword."""
+    return _exploded(df, key, keyword_array(F.col(text), keywords, context))
+
+
+def _greedy(touching: Column) -> Column:
+    """Of entities that touch each other, those that stay: best score first, earlier first on ties."""
+    none = F.array().cast(f"array<{ENTITY}>")
+    ranked = F.transform(F.array_sort(F.transform(touching, lambda e: F.struct((-e["score"]).alias("s"), e["start"].alias("at"), e.alias("e")))), lambda x: x["e"])
+    same = lambda e, k: (e["type"] == k["type"]) & (e["text"] == k["text"])
+    return F.aggregate(ranked, none, lambda a, e: F.when(F.exists(a, lambda k: same(e, k) & (e["start"] <= k["end"]) & (e["end"] >= k["start"])), a).otherwise(F.concat(a, F.array(e))))
+
+
+def dedup_array(entities: Column) -> Column:
+    """The entities of one text without those that overlap or touch a kept one of their type and text, in order.
+
+    Spans of one text have one length, so only neighbours in the order of type, text and start can touch; what touches nothing stays
+    without a further look.
+    """
+
+    def sorted_(a: Column) -> Column:
+        meets = lambda i: (F.get(a, i - 1)["type"] == F.get(a, i)["type"]) & (F.get(a, i - 1)["text"] == F.get(a, i)["text"]) & (F.get(a, i)["start"] <= F.get(a, i - 1)["end"])
+        touches = lambda i: F.coalesce(meets(i), F.lit(False)) | F.coalesce(meets(i + 1), F.lit(False))
+        alone, together = F.filter(a, lambda _, i: ~touches(i)), F.filter(a, lambda _, i: touches(i))
+        return F.concat(alone, F.when(F.size(together) > 0, _greedy(together)).otherwise(F.array().cast(f"array<{ENTITY}>")))
+
+    kept = bound(F.array_sort(entities), sorted_)
+    return F.transform(F.array_sort(F.transform(kept, lambda e: F.struct(e["start"].alias("at"), e.alias("e")))), lambda x: x["e"])
 
 
 def dedup_entities(entities: DataFrame, key: str) -> DataFrame:
-    """Of entities of one key, type and text that overlap or touch, those with the best scores (earlier first on ties); the order is greedy, not transitive."""
-    one = F.struct((-F.col("score")).alias("s"), "start", "end")
-    groups = entities.groupBy(key, "type", "text").agg(F.array_sort(F.collect_list(one)).alias("_all"))
-    none = F.expr("cast(array() as array<struct<s:double,start:int,end:int>>)")
-    cast = F.transform("_all", lambda e: F.struct(e["s"].cast("double").alias("s"), e["start"].cast("int").alias("start"), e["end"].cast("int").alias("end")))
-    kept = F.aggregate(cast, none, lambda a, e: F.when(F.exists(a, lambda k: (e["start"] <= k["end"]) & (e["end"] >= k["start"])), a).otherwise(F.concat(a, F.array(e))))
-    return groups.select(key, "type", "text", F.explode(kept).alias("e")).select(key, "type", "text", "e.start", "e.end", (-F.col("e.s")).alias("score"))
+    """Of entities of one key, type and text that overlap or touch, those with the best scores (earlier first on ties); the order is greedy, not transitive.
+
+    A window over the mentions of one key, type and text finds clusters of touching ones; only a cluster is gathered.
+    """
+    w = Window.partitionBy(key, "type", "text").orderBy("start", "end")
+    so_far = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = entities.select(key, "type", "text", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("score").cast("double").alias("score"))
+    marked = new.withColumn("_new", F.coalesce((F.col("start") > so_far).cast("int"), F.lit(1))).withColumn("_c", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    groups = marked.groupBy(key, "type", "text", "_c").agg(F.collect_list(F.struct("type", "text", "start", "end", "score")).alias("_all"))
+    kept = F.when(F.size("_all") > 1, _greedy(F.col("_all"))).otherwise(F.col("_all"))
+    return _exploded(groups.select(key, kept.alias("_kept")), key, F.col("_kept"))
 
 
 def bio_entities(tokens: DataFrame, key: str) -> DataFrame:
@@ -85,12 +143,20 @@ def bio_entities(tokens: DataFrame, key: str) -> DataFrame:
     return g.select(key, kind.alias("type"), "text", "start", (F.col("start") + F.length("text")).alias("end"), "score").filter("type is not null")
 
 
+def with_entities(df: DataFrame, text: str = "text", keywords: dict = KEYWORDS, out: str = "entities") -> DataFrame:
+    """df with a column of the de-duplicated rule and keyword entities of each text, in order; found within the row, nothing is shuffled."""
+    ruled = with_rules(df, text, out="_ruled")
+    found = F.when(F.trim(F.coalesce(F.col(text), F.lit(""))) != "", F.concat("_ruled", keyword_array(F.col(text), keywords)))
+    both = ruled.withColumn("_found", F.coalesce(found, F.array().cast(f"array<{ENTITY}>")))
+    return both.select(*df.columns, F.when(F.size("_found") > 0, dedup_array(F.col("_found"))).otherwise(F.col("_found")).alias(out))
+
+
 def extract_entities(df: DataFrame, key: str, text: str = "text", keywords: dict = KEYWORDS, tokens: DataFrame | None = None) -> DataFrame:
-    """Entities of all kinds of each text, de-duplicated."""
+    """Entities of all kinds of each text, de-duplicated; blank texts have none."""
+    if tokens is None:
+        return _exploded(with_entities(df.select(key, text), text, keywords, "_found"), key, F.col("_found"))
     some = df.filter(F.trim(F.coalesce(F.col(text), F.lit(""))) != "")
-    both = rule_entities(some, key, text).unionByName(keyword_entities(some, key, text, keywords))
-    if tokens is not None:
-        both = both.unionByName(bio_entities(tokens, key))
+    both = rule_entities(some, key, text).unionByName(keyword_entities(some, key, text, keywords)).unionByName(bio_entities(tokens, key))
     return dedup_entities(both, key)
 
 

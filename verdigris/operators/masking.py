@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.functions.segments import running_sums
+from verdigris.functions.segments import bound, each, running_sums
 
 # The patterns of the categories, in order of priority.
 PATTERNS = {
@@ -31,6 +31,14 @@ def alternation(categories: list[str] | None = None) -> str:
     return "|".join(f"(?:{PATTERNS[c]})" for c in _chosen(categories))
 
 
+def _search(categories: list[str] | None) -> tuple[str, str]:
+    """The alternation as it is searched, and what a text must hold for a match. An address can begin only where its run
+    of characters begins or the match before ended, so each run is read once."""
+    names = _chosen(categories)
+    starts = {"email": r"(?:(?<![A-Za-z0-9._%+\-])|\G)"}
+    return "|".join(f"(?:{starts.get(c, '')}(?:{PATTERNS[c]}))" for c in names), "|".join(["@"] * ("email" in names) + ["[0-9]"] * (set(names) != {"email"}))
+
+
 def _category(match: Column, names: list[str]) -> Column:
     # Word boundaries held in the text; a match alone may end in a blank.
     alone = {n: f"^(?:{PATTERNS[n]})$".replace(r"\b", "") for n in names}
@@ -60,21 +68,26 @@ def pii_present(text: Column, categories: list[str] | None = None) -> Column:
 def sanitize(df: DataFrame, text: str = "text", categories: list[str] | None = None) -> DataFrame:
     """df with sanitized and masks, array<struct<category, original, masked, start, end>>; the end is that of the mask. Null and empty texts become ''."""
     names, cols = _chosen(categories), df.columns
-    pattern, none = alternation(categories), F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
     t = F.coalesce(F.col(text), F.lit(""))
-    step = df.withColumn("_hit", F.regexp_extract_all(t, F.lit(pattern), F.lit(0)) if names else none)
+    if not names:
+        return df.select(*cols, t.alias("sanitized"), F.expr("cast(array() as array<struct<category:string,original:string,masked:string,start:int,end:int>>)").alias("masks"))
+    pattern, needs = _search(names)
+    step = df.withColumn("_hit", F.when(t.rlike(needs), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none))
     step = step.withColumn("_gap", F.when(F.size("_hit") > 0, F.split(t, pattern, -1)).otherwise(F.array(t)))
-    step = step.withColumn("_m", F.transform("_hit", lambda h: F.struct(_category(h, names).alias("category"), h.alias("original"))) if names else F.array())
-    step = step.withColumn("_x", F.transform("_m", lambda m: _masked(m["original"], m["category"])) if names else none)
+    step = step.withColumn("_m", F.transform("_hit", lambda h: bound(_category(h, names), lambda c: F.struct(c.alias("category"), h.alias("original"), _masked(h, c).alias("masked")))))
     step = step.withColumn("_end", F.when(F.size("_hit") > 0, running_sums(F.zip_with(F.slice("_gap", F.lit(1), F.size("_hit")), "_hit", lambda g, h: F.length(g) + F.length(h)))).otherwise(F.array().cast("array<int>")))
-    pieces = F.zip_with("_gap", F.concat("_x", F.array(F.lit(""))), lambda g, x: F.concat(g, F.coalesce(x, F.lit(""))))
-    if not names:
-        return step.select(*cols, t.alias("sanitized"), F.expr("cast(array() as array<struct<category:string,original:string,masked:string,start:int,end:int>>)").alias("masks"))
-    masks = F.transform("_m", lambda m, i: F.struct(m["category"].alias("category"), m["original"].alias("original"), F.get("_x", i).alias("masked"), (F.get("_end", i) - F.length(m["original"])).alias("start"), (F.get("_end", i) - F.length(m["original"]) + F.length(F.get("_x", i))).alias("end")))
-    return step.select(*cols, F.array_join(pieces, "").alias("sanitized"), masks.alias("masks"))
+    pieces = F.zip_with("_gap", F.concat(F.transform("_m", lambda m: m["masked"]), F.array(F.lit(""))), lambda g, x: F.concat(g, F.coalesce(x, F.lit(""))))
+
+    def mask(m: Column, i: Column) -> Column:
+        start = F.get("_end", i) - F.length(m["original"])
+        return F.struct(m["category"].alias("category"), m["original"].alias("original"), m["masked"].alias("masked"), start.alias("start"), (start + F.length(m["masked"])).alias("end"))
+
+    return step.select(*cols, F.when(F.size("_hit") > 0, F.array_join(pieces, "")).otherwise(t).alias("sanitized"), F.transform("_m", mask).alias("masks"))
 
 
-def mask_audit(df: DataFrame, key: str, text: str = "text", categories: list[str] | None = None) -> DataFrame:
-    """One row for each mask, in order: key, pos, category, original, masked, start, end, original_length."""
-    found = sanitize(df.select(key, text), text, categories)
-    return found.select(key, F.length(F.coalesce(F.col(text), F.lit(""))).alias("original_length"), F.posexplode("masks").alias("pos", "m")).select(key, "pos", "m.*", "original_length")
+def mask_audit(df: DataFrame, key: str, text: str = "text", categories: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each mask, in order: key, further columns to keep, pos, category, original, masked, start, end, original_length."""
+    found = sanitize(df.select(key, *keep, text), text, categories)
+    length = F.length(F.coalesce(F.col(text), F.lit(""))).alias("original_length")
+    return each(found, [key, *keep, length], F.col("masks"), "m", "pos").select(key, *keep, "pos", "m.*", "original_length")

@@ -1,45 +1,68 @@
-"""The document pipeline as one composed plan: truncate, sanitize, entities, TF-IDF."""
+"""The document pipeline as one composed plan: parse, sanitize, entities, TF-IDF."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions import texts
 from verdigris.operators import entities, masking, textsearch
+from verdigris.sources import office
 
 STAGES = ("parse", "sanitize", "ner", "embed")
+_ERRORS = "array<struct<stage:string,error:string>>"
 
 
-def run_pipeline(docs: DataFrame, key: str, text: str = "text", stages=STAGES, keywords: dict = entities.KEYWORDS, max_chars: int = 1_000_000, max_features: int = 5000) -> DataFrame:
-    """key, text, truncated, n_masks, entity_count, n_features, stages_completed, errors.
+def parse_files(files: DataFrame) -> DataFrame:
+    """path, text, tables, error of scanned files (path, extension, content, error): DOCX and XLSX are read, what the scan refused keeps its code,
+    and an extension without a parser gets NO_PARSER."""
+    refused = files.filter("error is not null")
+    fine = files.filter("error is null")
+    read = office.parse_office(fine.filter(F.col("extension").isin(*office.EXTENSIONS)))
+    none = F.lit(None).cast(read.schema["tables"].dataType).alias("tables")
+    left = fine.filter(~F.col("extension").isin(*office.EXTENSIONS)).withColumn("error", F.lit("NO_PARSER")).unionByName(refused)
+    return read.unionByName(left.select("path", F.lit(None).cast("string").alias("text"), none, "error"))
 
-    Stages run in the order parse, sanitize, ner, embed whatever order they are named in. A null text is an
-    error of the parse stage and leaves the later ones undone.
+
+def run_pipeline(
+    docs: DataFrame, key: str, text: str = "text", stages=STAGES, keywords: dict = entities.KEYWORDS, max_chars: int = 1_000_000, max_features: int = 5000,
+    error: str | None = None, continue_on_error: bool = False, model: DataFrame | None = None,
+) -> DataFrame:
+    """key, text, truncated, n_masks, entities, entity_count, embedding (gram to weight), n_features, stages_completed, errors.
+
+    Stages run in the order parse, sanitize, ner, embed whatever order they are named in, each within the row. error names a column of
+    parse errors, as parse_files gives; a null text is an error of the parse stage, too. Such a row ends there, or with
+    continue_on_error goes on with an empty text. model: a fitted TF-IDF model; without one it is fitted on the texts that reach the embed stage.
     """
     unknown = set(stages) - set(STAGES)
     if unknown:
         raise ValueError(f"unknown stages: {sorted(unknown)}")
     named = [s for s in STAGES if s in stages]
-    cut = docs.select(key, *texts.truncated(F.col(text), max_chars))
-    errors = F.when(F.col("text").isNull(), F.array(F.struct(F.lit("parse").alias("stage"), F.lit("no text").alias("error")))).otherwise(F.expr("cast(array() as array<struct<stage:string,error:string>>)"))
-    step = cut.withColumn("errors", errors).withColumn("stages_completed", F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(F.array(*[F.lit(s) for s in named])))
+    why = F.coalesce(F.col(error) if error else F.lit(None).cast("string"), F.when(F.col(text).isNull(), "no text"))
+    step = docs.select(key, why.alias("_why"), *texts.truncated(F.col(text), max_chars))
+    goes_on = F.lit(True) if continue_on_error else F.col("_why").isNull()
+    step = step.withColumn("_on", goes_on).withColumn("text", F.when(F.col("_on"), F.coalesce("text", F.lit("")))).withColumn("truncated", F.coalesce("truncated", F.lit(False)))
+
+    def list_of(names: list[str]) -> Column:
+        return F.array(*[F.lit(s) for s in names]).cast("array<string>")
+
+    later = [s for s in named if s != "parse"]
+    done = F.when(F.col("_why").isNull(), list_of(named)).when(F.col("_on"), list_of(later)).otherwise(list_of([]))
+    step = step.withColumns({
+        "stages_completed": done,
+        "errors": F.when(F.col("_why").isNotNull(), F.array(F.struct(F.lit("parse").alias("stage"), F.col("_why").alias("error")))).otherwise(F.array().cast(_ERRORS)),
+    })
     if "sanitize" in named:
-        done = masking.sanitize(step, "text")
-        step = done.withColumn("text", F.when(F.col("text").isNotNull(), F.col("sanitized"))).withColumn("n_masks", F.size("masks")).drop("sanitized", "masks")
+        step = masking.sanitize(step, "text").withColumn("text", F.when(F.col("_on"), F.col("sanitized"))).withColumn("n_masks", F.size("masks")).drop("sanitized", "masks")
     else:
         step = step.withColumn("n_masks", F.lit(0))
-    out = step
     if "ner" in named:
-        n = entities.extract_entities(step, key, "text", keywords).groupBy(key).agg(F.count("*").alias("entity_count"))
-        out = out.join(n, key, "left").withColumn("entity_count", F.coalesce("entity_count", F.lit(0)))
+        step = entities.with_entities(step, "text", keywords)
     else:
-        out = out.withColumn("entity_count", F.lit(0).cast("long"))
+        step = step.withColumn("entities", F.array().cast(f"array<{entities.ENTITY}>"))
     if "embed" in named:
-        counts = textsearch.gram_counts(step, key, "text")
-        model = textsearch.tfidf_fit(counts, 1, max_features)
-        n = counts.join(model.select("gram"), "gram").groupBy(key).agg(F.count("*").alias("n_features"))
-        out = out.join(n, key, "left").withColumn("n_features", F.coalesce("n_features", F.lit(0)))
+        step = textsearch.with_embedding(step, textsearch.tfidf_fit_texts(step, "text", max_features) if model is None else model)
     else:
-        out = out.withColumn("n_features", F.lit(0).cast("long"))
-    return out.select(key, "text", "truncated", "n_masks", "entity_count", "n_features", "stages_completed", "errors")
+        step = step.withColumn("embedding", F.create_map().cast("map<string,double>"))
+    counts = (F.size("entities").cast("long").alias("entity_count"), "embedding", F.size("embedding").cast("long").alias("n_features"))
+    return step.select(key, "text", "truncated", "n_masks", "entities", *counts, "stages_completed", "errors")

@@ -56,9 +56,8 @@ _CAT = "case " + " ".join(f"when regexp_full_match(m, '{_alone(p)}') then '{n}'"
 
 @query(f"with h as (select source, unnest(regexp_extract_all(text, '{_ALL}')) m from documents) select source, {_CAT} as category, count(*) as n from h group by all")
 def mask_counts(spark, sf_dir):
-    masks = masking.mask_audit(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
-    src = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return masks.select("doc_id", "category").join(src, "doc_id").groupBy("source", "category").agg(F.count("*").alias("n"))
+    masks = masking.mask_audit(table(spark, sf_dir, "documents"), "doc_id", keep=("source",))
+    return masks.groupBy("source", "category").agg(F.count("*").alias("n"))
 
 
 @query(f"select doc_id, regexp_replace(text, '(?:{_P['email']})', 'x', 'g') as email_cut, len(regexp_extract_all(text, '{_P['email']}')) as n from documents")
@@ -425,4 +424,5 @@ def labelled(spark, sf_dir):
 def document_pipeline(spark, sf_dir):
     from verdigris.plans.documents import run_pipeline
 
-    return run_pipeline(table(spark, sf_dir, "documents"), "doc_id", stages=("parse", "sanitize", "ner"), keywords=LATIN).select("doc_id", "n_masks", "entity_count", "truncated", F.size("stages_completed").alias("n_stages"), F.size("errors").alias("n_errors"))
+    done = run_pipeline(table(spark, sf_dir, "documents"), "doc_id", keywords=LATIN)
+    return done.select("doc_id", F.col("n_masks").cast("long").alias("n_masks"), "entity_count", "n_features", "truncated", F.size("stages_completed").cast("long").alias("n_stages"), F.size("errors").cast("long").alias("n_errors"))

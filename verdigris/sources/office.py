@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
@@ -11,7 +12,9 @@ from xml.etree import ElementTree as ET
 import pandas as pd
 from pyspark.sql import DataFrame
 
+EXTENSIONS = ("docx", "xlsx")
 SCHEMA = "path string, text string, tables array<struct<rows:array<array<string>>,sheet:string>>, error string"
+_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _W, _S = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}", "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -34,15 +37,28 @@ def _column(ref: str) -> int:
     return n
 
 
+def _sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """Name and part of each sheet, in the workbook's order: by its relationships, else by position."""
+    sheets = list(ET.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet"))
+    targets = {}
+    if "xl/_rels/workbook.xml.rels" in z.namelist():
+        targets = {r.get("Id"): r.get("Target", "") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    parts = []
+    for k, s in enumerate(sheets, 1):
+        to = targets.get(s.get(f"{_R}id"))
+        part = f"xl/worksheets/sheet{k}.xml" if not to else to.lstrip("/") if to.startswith("/") else posixpath.normpath(f"xl/{to}")
+        parts.append((s.get("name"), part))
+    return parts
+
+
 def _xlsx(z: zipfile.ZipFile) -> tuple[str, list[dict]]:
     strings = []
     if "xl/sharedStrings.xml" in z.namelist():
         strings = ["".join(t.text or "" for t in s.iter(f"{_S}t")) for s in ET.fromstring(z.read("xl/sharedStrings.xml"))]
-    names = [s.get("name") for s in ET.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet")]
     parts, tables = [], []
-    for k, name in enumerate(names, 1):
+    for name, part in _sheets(z):
         rows = []
-        for r in ET.fromstring(z.read(f"xl/worksheets/sheet{k}.xml")).iter(f"{_S}row"):
+        for r in ET.fromstring(z.read(part)).iter(f"{_S}row"):
             cells: dict[int, str] = {}
             for c in r.findall(f"{_S}c"):
                 v = c.find(f"{_S}v")
