@@ -288,7 +288,21 @@ def circuit_breaker(spark, sf_dir):
     return weblog.circuit_breaker(e, "user_id", "day", "event_id", F.col("event_type") != "error", 2)
 
 
-@query()
+_ADMITTED = f"""recursive e as (select event_id, user_id, epoch_us(ts) t, row_number() over (partition by user_id order by ts, event_id) k from events where event_type not in ('error', 'signup')),
+s as (select user_id, 0::bigint as k, -1::bigint as event_id, -1::bigint as t, []::bigint[] as hits, -1::bigint as until, false as blocked from (select distinct user_id from e)
+union all select e.user_id, e.k, e.event_id, e.t, case when s.until > e.t then s.hits else list_append(list_filter(s.hits, lambda h: h >= e.t - {5 * DAY}), e.t) end,
+ case when s.until > e.t then s.until when len(list_filter(s.hits, lambda h: h >= e.t - {5 * DAY})) + 1 > 3 then e.t + {2 * DAY} else s.until end,
+ s.until > e.t or len(list_filter(s.hits, lambda h: h >= e.t - {5 * DAY})) + 1 > 3 from s join e on e.user_id = s.user_id and e.k = s.k + 1),
+p as (select s.event_id, s.user_id, s.t, v.event_type, case when starts_with(event_type, 'view') then 'view' when starts_with(event_type, 'click') then 'click' else 'default' end as tier from s join events v using (event_id) where s.k > 0 and not s.blocked)"""
+
+
+def _within(days: int) -> str:
+    return f"(select count(*) from p q where q.user_id = p.user_id and q.tier = p.tier and q.t > p.t - {days * DAY} and (q.t < p.t or q.t = p.t and q.event_id <= p.event_id))"
+
+
+@query(f"""with {_ADMITTED}, r as (select event_id, case tier when 'view' then {_within(5)} <= 2 when 'click' then {_within(3)} <= 3 else {_within(2)} <= 2 end as ok from p)
+select event_id, case event_type when 'signup' then 'excluded' else 'bot' end as verdict from events where event_type in ('error', 'signup')
+union all select event_id, 'velocity' from s where k > 0 and blocked union all select event_id, case when ok then 'allow' else 'rate' end from r""")
 def admission(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
     return weblog.admission(e, "user_id", F.col("event_type"), "ts", "event_id", F.col("event_type") == "error", F.col("event_type") == "signup", {"window_us": 5 * DAY, "threshold": 3, "block_us": 2 * DAY}, TIERS, DEFAULT).select("event_id", "verdict")
@@ -333,9 +347,17 @@ def bm25_scores(spark, sf_dir):
     return textsearch.bm25(table(spark, sf_dir, "documents"), "doc_id", "License password").select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query()
+_PARTS = "list_slice(list_filter(list_transform(range(0, greatest(1, ceil(length(text) / 150.0)::bigint)), lambda i: substr(text, (i * 150 + 1)::bigint, 150)), lambda w: regexp_matches(w, '(?i)(license|password)')), 1, 3)"
+
+
+@query(f"""with t as (select doc_id, text, {_TOK} w from documents), s as (select doc_id, text, len(w) dl, len(list_filter(w, lambda x: x = 'license')) a, len(list_filter(w, lambda x: x = 'password')) b from t),
+g as (select count(*) n, avg(dl) al, count(*) filter (where a > 0) da, count(*) filter (where b > 0) db, count(*) filter (where a + b > 0) total from s),
+c as (select doc_id, text, total, ln(1 + (n - da + 0.5) / (da + 0.5)) * a / (a + 1.2 * (0.25 + 0.75 * dl / al)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b / (b + 1.2 * (0.25 + 0.75 * dl / al)) as score from s, g where a + b > 0),
+k as (select * from c order by round(score, 9) desc, doc_id limit 20)
+select doc_id, round(score, 6) as score, total, regexp_replace(array_to_string({_PARTS}, '|'), '(?i)(license|password)', '<em>\\1</em>', 'g') as highlights from k""")
 def search_page(spark, sf_dir):
-    return textsearch.fulltext_search(table(spark, sf_dir, "documents"), "doc_id", "license password", page=1, size=20)
+    hits = textsearch.fulltext_search(table(spark, sf_dir, "documents"), "doc_id", "license password", page=1, size=20)
+    return hits.select("doc_id", F.round("score", 6).alias("score"), "total", F.array_join("highlights", "|").alias("highlights"))
 
 
 @query("select p_name as term, count(*) as n from part where starts_with(lower(p_name), 'b') group by 1 order by 2 desc, 1 limit 10")
@@ -343,10 +365,15 @@ def suggestions(spark, sf_dir):
     return textsearch.suggest(table(spark, sf_dir, "part"), F.col("p_name"), "b", 10)
 
 
-_GRAMS = "with d as (select doc_id, regexp_replace(text, '\\s\\s+', ' ', 'g') t from conv), g as (select doc_id, unnest(list_concat(list_transform(range(1, length(t) + 1), lambda i: substr(t, i, 1)), list_concat(list_transform(range(1, length(t)), lambda i: substr(t, i, 2)), list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))))) gram from d where t <> ''), c as (select doc_id, gram, count(*) tf from g group by 1, 2), m as (select gram, count(*) df, sum(tf) total from c group by 1 order by 3 desc, 1 limit 500), n as (select count(*) n from conv), w as (select doc_id, gram, tf, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) v from c join m using (gram), n)"
+def _grams(texts: str, features: int) -> str:
+    """CTEs over texts (doc_id, text): g (doc_id, gram, tf), m (the model's gram, df), n (documents), w (weights before their norm)."""
+    return f"""conv as ({texts}), chars as (select doc_id, string_split(regexp_replace(text, '\\s\\s+', ' ', 'g'), '') c from conv where text <> ''),
+x as (select doc_id, unnest(list_concat(c, list_transform(list_zip(c[1:-2], c[2:]), lambda z: z[1] || z[2]), list_transform(list_zip(c[1:-3], c[2:-2], c[3:]), lambda z: z[1] || z[2] || z[3]))) gram from chars),
+g as (select doc_id, gram, count(*) tf from x group by 1, 2), m as (select gram, count(*) df, sum(tf) total from g group by 1 order by 3 desc, 1 limit {features}), n as (select count(*) n from conv),
+w as (select doc_id, gram, tf, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) v from g join m using (gram), n)"""
 
 
-@query(_GRAMS.replace("with d", "with conv as (select item_id as doc_id, text from benchmark), d", 1) + " select doc_id, gram, tf, round(v / sqrt(sum(v * v) over (partition by doc_id)), 6) as weight from w")
+@query("with " + _grams("select item_id as doc_id, text from benchmark", 500) + " select doc_id, gram, tf, round(v / sqrt(sum(v * v) over (partition by doc_id)), 6) as weight from w")
 def tfidf_weights(spark, sf_dir):
     docs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     counts = textsearch.gram_counts(docs, "doc_id")
@@ -354,10 +381,22 @@ def tfidf_weights(spark, sf_dir):
     return textsearch.tfidf_transform(counts, model, "doc_id").select("doc_id", "gram", "tf", F.round("weight", 6).alias("weight"))
 
 
-@query()
+ASKED = "the heron thinks of the inner edge"
+
+
+@query("with " + _grams(f"select doc_id, text from documents union all select -1, '{ASKED}'", 5000) + """, u as (select doc_id, gram, v / sqrt(sum(v * v) over (partition by doc_id)) v from w),
+r as (select a.doc_id, sum(a.v * b.v) score from u a join u b using (gram) where a.doc_id <> -1 and b.doc_id = -1 group by 1)
+select doc_id, source, round(score, 6) as score, left(text, 200) as snippet from r join documents using (doc_id) order by score desc, doc_id limit 20""")
 def similar_items(spark, sf_dir):
-    docs = table(spark, sf_dir, "benchmark")
-    return textsearch.similarity_topk("the heron thinks of the inner edge", docs, "item_id", k=20)
+    found = textsearch.similarity_topk(ASKED, table(spark, sf_dir, "documents"), "doc_id", k=20, keep=("source",))
+    return found.select("doc_id", "source", F.round("score", 6).alias("score"), "snippet")
+
+
+@query("with " + _grams("select doc_id, text from documents", 5000) + ", u as (select doc_id, gram, v / sqrt(sum(v * v) over (partition by doc_id)) v from w) select doc_id, count(*) as n_features, round(sum(v), 4) as total, round(max(v), 4) as top from u group by 1")
+def tfidf_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    w = textsearch.with_embedding(docs, textsearch.tfidf_fit_texts(docs)).filter(F.size("embedding") > 0).select("doc_id", F.map_values("embedding").alias("v"))
+    return w.select("doc_id", F.size("v").cast("long").alias("n_features"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.round(F.array_max("v"), 4).alias("top"))
 
 
 # Entities.
@@ -391,7 +430,24 @@ def labelled_tokens(spark, sf_dir):
     return entities.bio_entities(tokens, "key").select("key.conv_id", "key.turn", "text", "start")
 
 
-@query()
+_RULES_SQL = (
+    ("ADDRESS", r"(?:[一-鿿]{2,}(?:省|市|自治区|特别行政区|县|区|镇|乡|村|街道|路|街|道|巷|弄|号|楼|层|单元|室|座)){2,}", 0.9), ("ADDRESS", r"[0-9]{6}[0-9A-Za-z一-鿿\-]+", 0.9),
+    ("CONTACT", _PH, 0.95), ("CONTACT", _E, 0.95), ("DATE", r"[0-9]{4}[年/\-][0-9]{1,2}[月/\-][0-9]{1,2}[日号]?", 0.9), ("DATE", r"[0-9]{4}\.[0-9]{1,2}\.[0-9]{1,2}", 0.9),
+)
+
+
+def _entities(texts: str) -> str:
+    """CTEs over texts (doc_id, text) that end in kept: doc_id, type, text, start, end, score. Spans of one text that touch form chains, of which each second one stays."""
+    parts = [f"select doc_id, {i} as rule, '{t}' as type, {s} as score, unnest(list_append(regexp_extract_all(text, '{p}'), '')) as hit, unnest(regexp_split_to_array(text, '{p}')) as gap, generate_subscripts(regexp_split_to_array(text, '{p}'), 1) as i from src where regexp_matches(text, '{p}')" for i, (t, p, s) in enumerate(_RULES_SQL)]
+    parts += [f"select doc_id, {100 + i}, '{t}', {s}, '{w}', unnest(string_split(text, '{w}')), generate_subscripts(string_split(text, '{w}'), 1) from src where contains(text, '{w}')" for i, (t, w, s) in enumerate((t, w, s) for t, (s, ws) in LATIN.items() for w in ws)]
+    return f"""src as ({texts}), parts as ({" union all ".join(parts)}),
+placed as (select *, sum(length(gap)) over (partition by doc_id, rule order by i) + coalesce(sum(length(hit)) over (partition by doc_id, rule order by i rows between unbounded preceding and 1 preceding), 0) as begins, max(i) over (partition by doc_id, rule) as last from parts),
+spans as (select doc_id, type, hit as text, begins::int as "start", (begins + length(hit))::int as "end", score::double as score from placed where i < last and (type <> 'ADDRESS' or length(hit) >= 6)),
+chains as (select *, "start" - length(text) * row_number() over (partition by doc_id, type, text order by "start") as chain from spans),
+kept as (select * from (select *, row_number() over (partition by doc_id, type, text, chain order by "start") as nth from chains) where nth % 2 = 1)"""
+
+
+@query("with " + _entities("select doc_id, text from documents") + ' select doc_id, type, text, "start", "end", score from kept')
 def document_entities(spark, sf_dir):
     return entities.extract_entities(table(spark, sf_dir, "documents"), "doc_id", keywords=LATIN)
 
@@ -420,7 +476,17 @@ def labelled(spark, sf_dir):
     return fields.select("n_nationkey", "company", "construction_location")
 
 
-@query()
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_MASKED = f"""case {_CAT} when 'id_card' then left(m, 6) || '********' || right(m, 4) when 'bank_card' then '****' || right({_DIGITS}, 4)
+when 'phone' then case when length({_DIGITS}) >= 11 then left({_DIGITS}, 3) || '****' || right({_DIGITS}, 4) when length({_DIGITS}) >= 10 then left({_DIGITS}, 3) || '****' || right({_DIGITS}, 3) else '****' end
+else left(m, 1) || '***@' || regexp_extract(m, '@(.*)$', 1) end"""
+_SANITIZED = f"""cut as (select doc_id, unnest(list_append(regexp_extract_all(text, '{_ALL}'), '')) as m, unnest(regexp_split_to_array(text, '{_ALL}')) as gap, generate_subscripts(regexp_split_to_array(text, '{_ALL}'), 1) as i from documents),
+clean as (select doc_id, string_agg(gap || case when m = '' then '' else {_MASKED} end, '' order by i) as text, count(*) - 1 as n_masks from cut group by 1)"""
+
+
+@query("with " + _SANITIZED + ", " + _entities("select doc_id, text from clean") + ", " + _grams("select doc_id, text from clean", 5000) + """
+select doc_id, n_masks, coalesce(e.n, 0) as entity_count, coalesce(f.n, 0) as n_features, length(d.text) > 1000000 as truncated, 4::bigint as n_stages, 0::bigint as n_errors
+from documents d join clean using (doc_id) left join (select doc_id, count(*) n from kept group by 1) e using (doc_id) left join (select doc_id, count(*) n from w group by 1) f using (doc_id)""")
 def document_pipeline(spark, sf_dir):
     from verdigris.plans.documents import run_pipeline
 
