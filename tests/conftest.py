@@ -14,6 +14,6 @@ def spark():
     from verdigris.session import local_session
 
     scratch = tempfile.mkdtemp(prefix="spark-")
-    s = local_session(8, 4, **{"spark.checkpoint.dir": f"file://{scratch}/shared", "spark.sql.warehouse.dir": f"{scratch}/warehouse", "spark.local.dir": scratch, "spark.sql.legacy.javaCharsets": "true"})
+    s = local_session(8, 4, **{"spark.checkpoint.dir": f"file://{scratch}/shared", "spark.sql.warehouse.dir": f"{scratch}/warehouse", "spark.local.dir": scratch})
     yield s
     s.stop()

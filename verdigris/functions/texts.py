@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from verdigris.functions.segments import each
 
@@ -26,9 +28,15 @@ def labelled_fields(text: Column, labels: dict[str, str] = FIELD_LABELS) -> list
     return [F.nullif(strip(F.regexp_extract(text, rf"(?d){re.escape(label)}[：:]\s*([^\n]+)", 1)), F.lit("")).alias(name) for name, label in labels.items()]
 
 
+@F.pandas_udf(StringType())
+def _gbk(content: pd.Series) -> pd.Series:
+    return content.map(lambda b: None if b is None else bytes(b).decode("gbk", "replace"))
+
+
 def decode_text(content: Column) -> Column:
-    """Bytes as UTF-8 where they are valid, else as GBK (needs spark.sql.legacy.javaCharsets)."""
-    return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.decode(content, "GBK"))
+    """Bytes as UTF-8 where they are valid, else as GBK with replacement. Spark decodes no GBK by default, so those rows alone go to Python."""
+    valid = F.is_valid_utf8(content.cast("string"))
+    return F.when(valid, F.decode(content, "UTF-8")).otherwise(_gbk(F.when(~valid, content)))
 
 
 def truncated(text: Column, n: int = 1_000_000) -> list[Column]:

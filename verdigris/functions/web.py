@@ -51,6 +51,11 @@ def bot_pattern(user_agent: Column, words=BOT_WORDS) -> Column:
     return chosen
 
 
+def bot_reason(user_agent: Column, words=BOT_WORDS) -> Column:
+    """Why a user agent counts as a bot's, null if it doesn't."""
+    return F.concat(F.lit("UA matches bot pattern: "), bot_pattern(user_agent, words))
+
+
 def file_extension(filename: Column) -> Column:
     return F.lower(F.regexp_extract(filename, r"\.([^.]*)$", 1))
 

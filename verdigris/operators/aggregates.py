@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,13 +27,14 @@ def run_stats(df: DataFrame, key: str, conditions: dict) -> DataFrame:
     return df.groupBy(key).agg(*[F.count_if(c).alias(n) for n, c in conditions.items()])
 
 
-def crawl_counters(items: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """fetched, duplicate (in the batch or stored), inserted: one row."""
-    once = Window.partitionBy(key).orderBy(F.lit(1))
+def crawl_counters(items: DataFrame, stored: DataFrame, key: str, indexed: Column | None = None, failed: Column | None = None) -> DataFrame:
+    """fetched, duplicate (in the batch or stored), inserted, indexed, errors: one row. indexed and failed say of each item whether it was indexed or failed."""
     there = stored.select(key).distinct().withColumn("_there", F.lit(True))
-    flags = items.select(key).withColumn("_n", F.row_number().over(once)).join(there, key, "left")
-    dup = (F.col("_n") > 1) | F.col("_there").isNotNull()
-    return flags.agg(F.count("*").alias("fetched"), F.count_if(dup).alias("duplicate"), F.count_if(~dup).alias("inserted"))
+    flag = lambda c: F.lit(0) if c is None else F.count_if(c)
+    by_key = items.groupBy(key).agg(F.count("*").alias("_n"), flag(indexed).alias("_i"), flag(failed).alias("_e")).join(there, key, "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sums = by_key.agg(total("_n").alias("fetched"), F.count_if(F.col("_there").isNull()).alias("inserted"), total("_i").alias("indexed"), total("_e").alias("errors"))
+    return sums.select("fetched", (F.col("fetched") - F.col("inserted")).alias("duplicate"), "inserted", "indexed", "errors")
 
 
 def batch_outcome(results: DataFrame, errors: str = "errors", ms: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.functions import titles, urls
+from verdigris.functions import dates, titles, urls
 from verdigris.functions.texts import strip
 
 # Domains left out of search hits, static files, words of notices.
@@ -59,10 +59,12 @@ def early_stop(df: DataFrame, group: str, order: list, is_old: Column, max_old:
 
 
 def select_links(links: DataFrame, matches=titles.matches_report) -> DataFrame:
-    """Links (url, text, title, parent_text) that are documents or whose text is about reports."""
+    """Links (href, url, text, title, parent_text) that are documents or whose text or parent's text is about reports, with
+    file_type by href and published_at, the first date in these texts as it stands."""
     title = F.coalesce(F.nullif("text", F.lit("")), F.nullif("title", F.lit("")), F.lit(""))
-    doc = urls.is_document_href(F.col("href"))
-    return links.filter(doc | matches(F.concat(title, F.lit(" "), F.left(F.coalesce("parent_text", F.lit("")), F.lit(200)))))
+    around = F.concat(title, F.lit(" "), F.left(F.coalesce("parent_text", F.lit("")), F.lit(200)))
+    kept = links.filter(urls.is_document_href(F.col("href")) | matches(around))
+    return kept.withColumn("file_type", urls.file_type_href(F.col("href"))).withColumn("published_at", dates.raw_date(around))
 
 
 def frontier_links(links: DataFrame, k: int = 5, matches=titles.matches_report) -> DataFrame:

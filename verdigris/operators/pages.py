@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions import dates, texts, titles, urls
+from verdigris.functions.segments import each
 from verdigris.functions.texts import strip
 from verdigris.operators.filters import incremental_cutoff
 
@@ -39,12 +43,86 @@ def inner(html: Column, tag: str, klass: str) -> Column:
 def extract_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """key, page_url, pos, href, url (resolved), text, title, of every anchor with an href, in page order."""
     body = F.regexp_replace(F.col(html), r"(?s)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", "")
-    found = pages.select(F.col(key), F.col(url).alias("page_url"), F.posexplode(F.regexp_extract_all(body, F.lit(_A), F.lit(0))).alias("pos", "_a"))
+    found = each(pages, [F.col(key), F.col(url).alias("page_url")], F.regexp_extract_all(body, F.lit(_A), F.lit(0)), "_a", "pos")
     tag = F.regexp_extract("_a", _A, 1)
     rows = found.select(key, "page_url", "pos", strip(attribute(tag, "href")).alias("href"), plain(F.regexp_extract("_a", _A, 2)).alias("text"), attribute(tag, "title").alias("title"))
     return rows.filter("href is not null").select(key, "page_url", "pos", "href", urls.resolve_url(F.col("page_url"), F.col("href")).alias("url"), F.coalesce(F.nullif("text", F.lit("")), "title", F.lit("")).alias("text"), "title")
 
 
+# Elements without content, and what a start tag ends of the elements that are still open.
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_ENDS = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
+
+
+class _Anchors(HTMLParser):
+    """The anchors of a page with their own and their parents' text, stripped text nodes put together, and the links of the largest list around each."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.texts: list[str] = []
+        self.anchors: list[dict] = []
+        self.open: list[dict] = [{"tag": "", "at": 0, "inside": [], "links": 0, "anchor": None}]
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in _VOID:
+            return
+        while self.open[-1]["tag"] in _ENDS.get(tag, ()):
+            self._close()
+        anchor, has = None, dict(attrs)
+        if tag == "a" and has.get("href"):
+            lists = [f for f in self.open if f["tag"] in ("ul", "ol")]
+            for f in lists:
+                f["links"] += 1
+            anchor = {"href": has["href"].strip(), "title": has.get("title"), "lists": lists}
+            self.anchors.append(anchor)
+            self.open[-1]["inside"].append(anchor)
+        self.open.append({"tag": tag, "at": len(self.texts), "inside": [], "links": 0, "anchor": anchor})
+
+    def handle_endtag(self, tag: str) -> None:
+        if any(f["tag"] == tag for f in self.open[1:]):
+            while self.open[-1]["tag"] != tag:
+                self._close()
+            self._close()
+
+    def handle_data(self, data: str) -> None:
+        if self.open[-1]["tag"] not in ("script", "style") and data.strip():
+            self.texts.append(data.strip())
+
+    def _close(self) -> None:
+        f = self.open.pop()
+        own = "".join(self.texts[f["at"] :])
+        if f["anchor"] is not None:
+            f["anchor"]["text"] = own
+        for a in f["inside"]:
+            a["parent_text"] = own[:200]
+
+    def close(self) -> None:
+        super().close()
+        while self.open:
+            self._close()
+
+
+def links_with_parents(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """extract_links with parent_text (the first 200 characters of the element around the anchor) and list_links (links of the
+    largest list around it, 0 outside lists). Nested elements aren't regular, so a parser reads each page in its task."""
+    kind = pages.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, u, h in zip(b["key"], b["page_url"], b["html"], strict=True):
+                p = _Anchors()
+                p.feed(h or "")
+                p.close()
+                out += [(k, u, i, a["href"], a["text"], a["title"], a["parent_text"], max((f["links"] for f in a["lists"]), default=0)) for i, a in enumerate(p.anchors)]
+            yield pd.DataFrame(out, columns=["key", "page_url", "pos", "href", "text", "title", "parent_text", "list_links"])
+
+    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("page_url"), F.col(html).alias("html"))
+    found = rows.mapInPandas(run, f"key {kind}, page_url string, pos int, href string, text string, title string, parent_text string, list_links int")
+    text = F.coalesce(F.nullif("text", F.lit("")), "title", F.lit("")).alias("text")
+    return found.select(F.col("key").alias(key), "page_url", "pos", "href", urls.resolve_url(F.col("page_url"), F.col("href")).alias("url"), text, "title", "parent_text", "list_links")
+
+
 def html_to_text(html: Column, keep_cdata: bool = True) -> Column:
     """Non-empty text nodes, trimmed, a line each. Bodies of script and style are kept unless keep_cdata is off."""
     raw = r"(?is)<(script|style)\b[^>]*>(.*?)</\1>"
@@ -59,20 +137,22 @@ def html_to_text(html: Column, keep_cdata: bool = True) -> Column:
 
 
 def is_list_page(links: DataFrame, key: str = "page_id", least: int = 3, matches=titles.matches_report) -> DataFrame:
-    """Pages with `least` or more links about reports."""
-    return links.groupBy(key).agg(F.count_if(matches(F.col("text"))).alias("n")).filter(F.col("n") >= least)
+    """Pages with `least` or more links about reports or, if links has list_links, a list with so many links: key, n (links about reports)."""
+    listed = F.max("list_links") if "list_links" in links.columns else F.lit(0)
+    counts = links.groupBy(key).agg(F.count_if(matches(F.col("text"))).alias("n"), listed.alias("_l"))
+    return counts.filter((F.col("n") >= least) | (F.col("_l") >= least)).drop("_l")
 
 
-def listing_rows(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Rows of listing tables with five cells or more and a link with an id: twelve columns."""
-    rows = pages.select(F.col(url).alias("_u"), F.explode(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("_r"))
-    cells = rows.select("_u", F.regexp_extract_all("_r", F.lit(r"(?is)<td\b[^>]*>.*?</td>"), F.lit(0)).alias("_c")).filter((F.size("_c") >= 5) & ~F.get("_c", F.lit(0)).rlike(r"^(?is)<td\b[^>]*table_title"))
+def listing_rows(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of listing tables with five cells or more and a link with an id: columns to keep and twelve others."""
+    rows = each(pages, [*keep, F.col(url).alias("_u")], F.regexp_extract_all(F.col(html), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1)), "_r")
+    cells = rows.select(*keep, "_u", F.regexp_extract_all("_r", F.lit(r"(?is)<td\b[^>]*>.*?</td>"), F.lit(0)).alias("_c")).filter((F.size("_c") >= 5) & ~F.get("_c", F.lit(0)).rlike(r"^(?is)<td\b[^>]*table_title"))
     c = [F.get("_c", F.lit(i)) for i in range(5)]
     href = attribute(F.regexp_extract(c[0], r"(?is)<a\b([^>]*)>", 1), "href")
     counts = F.regexp_extract_all(c[3], F.lit(r"(?is)<span\b[^>]*>(.*?)</span>"), F.lit(1))
     two = F.size(counts) >= 2
     out = cells.select(
-        F.regexp_extract(href, r"id=([\w]+)", 1).alias("publish_id"), urls.resolve_url(F.col("_u"), href).alias("detail_url"), inner(c[1], "a", "f_title").alias("title"),
+        *keep, F.regexp_extract(href, r"id=([\w]+)", 1).alias("publish_id"), urls.resolve_url(F.col("_u"), href).alias("detail_url"), inner(c[1], "a", "f_title").alias("title"),
         F.regexp_replace(plain(F.regexp_extract(c[1], r"(?is)<em\b[^>]*>(.*?)</em>", 1)), r"^[\[\]]+|[\[\]]+$", "").alias("category_tag"),
         F.coalesce(F.regexp_extract(inner(c[1], "div", "fct_att"), r"(\d+)", 1).try_cast("int"), F.lit(0)).alias("attachment_count"),
         inner(c[1], "div", "fcb-location").alias("location"), inner(c[1], "span", "gsz").alias("status"), inner(c[2], "span", "f_time").alias("reply_time"),
@@ -106,7 +186,7 @@ def attachment_ids(pages: DataFrame, key: str = "page_id", html: str = "html") -
     by_data = F.regexp_extract_all(h, F.lit(r"(?is)<[a-z]+\b[^>]*data-attachment-id\s*=\s*[\"']([^\"']+)"), F.lit(1))
     by_script = F.regexp_extract_all(h, F.lit(r"[\"']?attachment(?:Id|id)?[\"']?\s*[:=]\s*[\"']([a-f0-9]{32})[\"']"), F.lit(1))
     ids = F.when(F.size(by_class) > 0, by_class).when(F.size(by_data) > 0, by_data).otherwise(by_script)
-    return pages.select(key, F.posexplode(ids).alias("pos", "attachment_id"))
+    return each(pages, [key], ids, "attachment_id", "pos")
 
 
 def document_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -120,22 +200,23 @@ def document_links(pages: DataFrame, key: str = "page_id", url: str = "url", htm
 
 
 def list_page_items(pages: DataFrame, cutoff=None, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """key, url, title, file_type, published_at, kind: direct documents as 'item', other links as 'detail', older than the cutoff left out."""
-    links = extract_links(pages, key, url, html)
+    """key, url, title, file_type, published_at, kind: direct documents as 'item', other links as 'detail', older than the
+    cutoff left out; dates are sought in the link's and then its parent's text."""
+    links = links_with_parents(pages, key, url, html)
     title = F.coalesce(F.nullif("text", F.lit("")), F.lit("Untitled Document"))
     kind = F.when(urls.is_document_href(F.col("href")), "item").otherwise("detail")
-    rows = links.select(key, "url", title.alias("title"), urls.file_type_from_url(F.col("url")).alias("file_type"), dates.extract_date_valid(F.col("text")).alias("published_at"), kind.alias("kind"))
+    rows = links.select(key, "url", title.alias("title"), urls.file_type_from_url(F.col("url")).alias("file_type"), dates.extract_date_valid(F.concat("text", "parent_text")).alias("published_at"), kind.alias("kind"))
     return incremental_cutoff(rows, "published_at", cutoff)
 
 
-def announcement_rows(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Announcements of table rows: url, title, published_at (text), file_type, report_cycle; navigation links and blank titles are skipped."""
-    rows = pages.select(F.col(url).alias("_u"), F.explode(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("_r"))
+def announcement_rows(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Announcements of table rows: columns to keep, url, title, published_at (text), file_type, report_cycle; navigation links and blank titles are skipped."""
+    rows = each(pages, [*keep, F.col(url).alias("_u")], F.regexp_extract_all(F.col(html), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1)), "_r")
     a = rows.withColumn("href", attribute(F.regexp_extract("_r", _A, 1), "href")).withColumn("title", plain(F.regexp_extract("_r", _A, 2)))
-    keep = F.col("href").isNotNull() & ~titles.contains_any(F.col("href"), ("javascript", "#", "logout", "login")) & (F.col("title") != "")
+    fine = F.col("href").isNotNull() & ~titles.contains_any(F.col("href"), ("javascript", "#", "logout", "login")) & (F.col("title") != "")
     last = plain(F.element_at(F.regexp_extract_all("_r", F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1)), -1))
     kind = urls.infer_file_type(F.col("title"), F.col("href"))
-    return a.filter(keep).select(urls.resolve_url(F.col("_u"), F.col("href")).alias("url"), "title", F.nullif(last, F.lit("")).alias("published_at"), F.nullif(kind, F.lit("html")).alias("file_type"), titles.classify_report_cycle(F.col("title")).alias("report_cycle"))
+    return a.filter(fine).select(*keep, urls.resolve_url(F.col("_u"), F.col("href")).alias("url"), "title", F.nullif(last, F.lit("")).alias("published_at"), F.nullif(kind, F.lit("html")).alias("file_type"), titles.classify_report_cycle(F.col("title")).alias("report_cycle"))
 
 
 def first_links(links: DataFrame, key: str, k: int) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigris import casequeries
 from verdigris.functions import texts, urls, web
 from verdigris.operators import aggregates, entities, filters, masking, pages, tables, textsearch, weblog
 from verdigris.session import table
@@ -30,11 +31,11 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _queries
+    return _queries | {name: f for name, (f, _) in casequeries.registered().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return _sql
+    return _sql | {name: sql for name, (_, sql) in casequeries.registered().items()}
 
 
 # Masking. The SQL twins of patterns leave out what RE2 reads otherwise.
@@ -90,7 +91,7 @@ def url_columns(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.url_hash(u).alias("url_hash"), urls.url_hash(u, 16).alias("short_hash"), urls.file_type_from_url(u).alias("file_type"), urls.file_type_href(u).alias("href_type"), urls.url_domain(u).alias("domain"))
 
 
-@query("""select page_id, case when lower(html) like '%pdf%' and false then '' when contains(html, 'PDF') then 'pdf' when contains(html, 'DOC') then 'doc' else 'html' end as kind from pages""")
+@query("""select page_id, case when contains(html, 'PDF') then 'pdf' when contains(html, 'DOC') then 'doc' else 'html' end as kind from pages""")
 def inferred_types(spark, sf_dir):
     # The page's markup serves as a long title.
     path_free = F.regexp_replace(F.col("html"), r"\.(pdf|docx?|xlsx?)", "")
@@ -218,7 +219,7 @@ def run_stats(spark, sf_dir):
     return aggregates.run_stats(table(spark, sf_dir, "events"), "user_id", {"ok": F.col("event_type") != "error", "failed": F.col("event_type") == "error"})
 
 
-@query("with n as (select page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) d from pages), i as (select d, row_number() over (partition by d) k, d in (select d from n where page_id % 3 = 0) there from n where page_id % 3 <> 0) select count(*) as fetched, count(*) filter (where k > 1 or there) as duplicate, count(*) filter (where k = 1 and not there) as inserted from i")
+@query("with n as (select page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) d from pages), i as (select d, row_number() over (partition by d) k, d in (select d from n where page_id % 3 = 0) there from n where page_id % 3 <> 0) select count(*) as fetched, count(*) filter (where k > 1 or there) as duplicate, count(*) filter (where k = 1 and not there) as inserted, 0::bigint as indexed, 0::bigint as errors from i")
 def crawl_counters(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", urls.url_domain(F.col("url")).alias("domain"))
     return aggregates.crawl_counters(p.filter("page_id % 3 != 0"), p.filter("page_id % 3 = 0"), "domain")
@@ -481,7 +482,9 @@ _MASKED = f"""case {_CAT} when 'id_card' then left(m, 6) || '********' || right(
 when 'phone' then case when length({_DIGITS}) >= 11 then left({_DIGITS}, 3) || '****' || right({_DIGITS}, 4) when length({_DIGITS}) >= 10 then left({_DIGITS}, 3) || '****' || right({_DIGITS}, 3) else '****' end
 else left(m, 1) || '***@' || regexp_extract(m, '@(.*)$', 1) end"""
 _SANITIZED = f"""cut as (select doc_id, unnest(list_append(regexp_extract_all(text, '{_ALL}'), '')) as m, unnest(regexp_split_to_array(text, '{_ALL}')) as gap, generate_subscripts(regexp_split_to_array(text, '{_ALL}'), 1) as i from documents),
-clean as (select doc_id, string_agg(gap || case when m = '' then '' else {_MASKED} end, '' order by i) as text, count(*) - 1 as n_masks from cut group by 1)"""
+-- A card takes a blank along before a letter of any script; RE2 knows ASCII letters only.
+seen as (select doc_id, i, m, case when regexp_full_match(lag(m) over (partition by doc_id order by i), '{_alone(_P['bank_card'])}') and regexp_matches(gap, '^[ \\t][\\p{{L}}\\p{{N}}]') then substr(gap, 2) else gap end as gap from cut),
+clean as (select doc_id, string_agg(gap || case when m = '' then '' else {_MASKED} end, '' order by i) as text, count(*) - 1 as n_masks from seen group by 1)"""
 
 
 @query("with " + _SANITIZED + ", " + _entities("select doc_id, text from clean") + ", " + _grams("select doc_id, text from clean", 5000) + """

@@ -57,22 +57,22 @@ def scan_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE, extens
     return files.select("path", "length", ext.alias("extension"), error.alias("error"), F.when(error.isNull(), F.col("content")).alias("content"))
 
 
-def flatten_announcements(df: DataFrame, payload: str = "payload", base: str = "http://www.cninfo.com.cn/") -> DataFrame:
-    """Announcements of API payloads: the first list that isn't empty, with its key names made one."""
+def flatten_announcements(df: DataFrame, payload: str = "payload", base: str = "http://www.cninfo.com.cn/", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns to keep and the announcements of API payloads: the first list that isn't empty, with its key names made one."""
     p = F.from_json(payload, f"announcements {_ITEM}, classifiedAnnouncements {_ITEM}, data {_ITEM}")
     step = df.withColumn("_p", p)
 
     def some(c: str) -> Column:
         return F.when(F.size(F.col(f"_p.{c}")) > 0, F.col(f"_p.{c}"))
 
-    rows = step.select(F.explode(F.coalesce(some("announcements"), some("classifiedAnnouncements"), some("data"))).alias("a"))
+    rows = step.select(*keep, F.explode(F.coalesce(some("announcements"), some("classifiedAnnouncements"), some("data"))).alias("a"))
 
     def either(x: str, y: str) -> Column:
         return F.coalesce(F.nullif(F.col(f"a.{x}"), F.lit("")), F.nullif(F.col(f"a.{y}"), F.lit("")), F.lit(""))
 
     title, url = either("announcementTitle", "title"), urls.resolve_url(F.lit(base), either("adjunctUrl", "url"))
     return rows.select(
-        url.alias("url"), title.alias("title"), urls.infer_file_type(title, url).alias("file_type"), dates.parse_mixed_ts(either("announcementTime", "publishDate")).alias("published_at"),
+        *keep, url.alias("url"), title.alias("title"), urls.infer_file_type(title, url).alias("file_type"), dates.parse_mixed_ts(either("announcementTime", "publishDate")).alias("published_at"),
         F.create_map(F.lit("report_cycle"), titles.classify_report_cycle(title), F.lit("stock_code"), F.coalesce("a.secCode", F.lit(""))).alias("raw_meta"),
     )
 
