@@ -151,6 +151,52 @@ def test_decontamination(spark, docs, rows, none, monkeypatch):
     assert len(empty) == len(rows) and not any(r.spans for r in empty)
 
 
+def test_longest_matches_by_brute_force(monkeypatch):
+    """All verbatim matches that can't be extended, over few words, so that they are long, repeated and overlapping."""
+    r = random.Random(7)
+    for round_ in range(60):
+        words = "abc" if round_ % 2 else "abcdefgh"
+        items = [(i, " ".join(r.choice(words) for _ in range(r.choice((0, 2, 4, 9, 30))))) for i in range(4)]
+        texts = [" ".join(r.choice(words + "zz") for _ in range(r.randint(0, 40))) for _ in range(5)]
+        for t in range(3):  # whole items with words around them, twice in one text
+            texts.append(f"z {items[t][1]} {items[t][1]} a {items[3][1]}")
+        block = decontaminate._windows(items, 4)
+        found = decontaminate.search_shard([decontaminate._word_ids(t, block) for t in texts], block, True)[3]
+        want = set()
+        for d, t in enumerate(texts):
+            w = decontaminate.words_of(t)
+            for i, (_, x) in enumerate(items):
+                v = decontaminate.words_of(x)
+                for p in range(len(w)):
+                    for q in range(len(v)):
+                        if p and q and w[p - 1] == v[q - 1]:
+                            continue
+                        n = 0
+                        while p + n < len(w) and q + n < len(v) and w[p + n] == v[q + n]:
+                            n += 1
+                        if n and n >= min(4, len(v)):
+                            want.add((d, p, i, q, n))
+        assert set(map(tuple, found.tolist())) == want and len(found) == len(want)
+
+
+def test_suffix_arrays_are_sorted_to_the_end():
+    r = random.Random(3)
+    seq = np.array([0] + [r.choice((0, 1, 1, 1, 1, 2)) for _ in range(3000)] + [1] * 200 + [0] * 8, np.uint32)
+    gaps, inside = np.flatnonzero(seq == 0), np.flatnonzero(seq)
+    room = gaps[np.searchsorted(gaps, inside)] - inside
+    at, size = decontaminate.suffix_array(seq, inside, room, 4, 1000)
+    got = [tuple(seq[a : a + n].tolist()) for a, n in zip(at, size, strict=True)]
+    assert got == sorted(got) and sorted(at.tolist()) == inside.tolist()
+
+
+def test_longest_match_of_each_item(spark):
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(5, " ".join(words[3:40])), (2, "x " + " ".join(words[3:40])), (1, " ".join(words[:12])), (9, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[20:33])), (3, "unseen words")], "item_id long, text string")
+    got = {r.item_id: tuple(r)[1:] for r in decontaminate.longest_matches(docs, bench).collect()}
+    assert got == {1: (37, 2, 1, 3), 2: (13, 2, 18, 0)}
+
+
 AWKWARD = [
     "mail a.b+c@x-y.co.uk, a@b.c_d@e.f and @x.y z@q", "ip 1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.255 1.2.3", "card 4111 1111 1111 1111 or 4111-1111-1111-1112 4111111111111111111111",
     "+1 (555) 123-4567. +49-30-1234567 +123 +1--2", "é+31 20 1234567é 4111111111111111", "5 5", "GB82 WEST 1234 5698 7654 32 DE89370400440532013000 GB82WEST12345698765433", "ssn 123-45-6789; 123-45-6789",

@@ -51,11 +51,17 @@ i as (select item_id, coalesce(regexp_extract_all({_LOW}, '[0-9a-z\\x{{80}}-\\x{
 iw as (select distinct item_id, least(10, len(ws)) size, unnest(list_transform(range(1, greatest(1, len(ws) - 9) + 1), lambda p: array_to_string(ws[p:p + 9], ' '))) k from i where len(ws) > 0),
 z as (select distinct size from iw),
 dw as (select doc_id, size, unnest(range(1, len(ws) - size + 2)) p, ws from w, z where len(ws) >= size),
-h as (select doc_id, dw.size, p, item_id from dw join iw on iw.size = dw.size and iw.k = array_to_string(ws[p:p + dw.size - 1], ' ')),
+h as (select doc_id, dw.size, p, item_id, iw.k from dw join iw on iw.size = dw.size and iw.k = array_to_string(ws[p:p + dw.size - 1], ' ')),
 c as (select doc_id, count(distinct q) n_hit from (select doc_id, unnest(range(p, p + size)) q from h) group by 1),
+ip as (select item_id, ws, unnest(range(1, greatest(1, len(ws) - 9) + 1)) ip from i where len(ws) > 0),
+x as (select doc_id, item_id, p, ip, size from h join ip using (item_id) where array_to_string(ip.ws[ip:ip + 9], ' ') = h.k),
+y as (select *, p - row_number() over (partition by doc_id, item_id, p - ip order by p) run from x),
+m as (select doc_id, item_id, min(p) - 1 p, min(ip) - 1 ip, count(*) + any_value(size) - 1 n from y group by doc_id, item_id, p - ip, run),
+best as (select * from (select *, row_number() over (partition by doc_id order by n desc, p, ip, item_id desc) r from m) where r = 1),
 t as (select doc_id, count(*) n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) items from (select distinct doc_id, item_id from h) group by 1)
-select w.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
-from w left join c using (doc_id) left join t using (doc_id)"""
+select w.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated,
+coalesce(n, 0) as longest_words, best.item_id as longest_item, p as longest_doc_word, ip as longest_item_word
+from w left join c using (doc_id) left join t using (doc_id) left join best using (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
