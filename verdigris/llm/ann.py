@@ -2,8 +2,8 @@
 
 Codebooks are fitted on a bounded sample with the score-aware loss: the residual's part parallel to
 the vector costs ETA times its orthogonal part, since it is the parallel part that shifts large inner
-products. Every vector is then indexed: shards hold packed codes (two per byte) and the vectors.
-Queries go in blocks of bounded size; a block scans every shard's codes with lookup tables, one table
+products. Every vector is then indexed, once: a shard is a row of a table in the shared folder, with packed codes (two per byte), the vectors and
+the bounds of their errors. Queries go in blocks of bounded size; a block scans every shard's codes with lookup tables, one table
 entry for each byte of codes, and scores the best SEED of the shard exactly in double precision. The
 worst of their k best is a threshold t: every row of the shard that can reach it is scored exactly, too.
 With code vector c and residual u - c = a u + o of a unit vector u (o orthogonal to u), the score s with
@@ -13,7 +13,8 @@ copies. The shards' few best rows meet in one window by query.
 
 Defined cases: vectors that are null, empty, zero, of another length than most rows of the index, or hold
 null or non-finite components take no part. Equal vectors share one code row, of which the smallest
-ids are kept, as many as can be reported. Ties go to the smaller id; repeated ids are repeated rows.
+ids are kept, as many as can be reported. Ties go to the smaller id; repeated ids are repeated rows. Extra columns are ignored, but
+for those that the query condition reads. Empty tables, or no query, give no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +31,8 @@ from verdigris.llm import common
 
 #: Bound of the rows that codebooks are fitted on (expected number), dimensions of a codebook, weight of parallel error.
 SAMPLE, SUB, ETA = 8192, 2, 4.0
-#: Rows of a shard, queries of a block, rows of a shard whose exact scores give the threshold, and rows scored at once.
-SHARD_ROWS, BLOCK_QUERIES, SEED, SCORED_ROWS = 16384, 4096, 256, 4096
+#: Bytes of a shard's vectors, queries of a block, rows of a shard whose exact scores give the threshold, and rows scored at once.
+SHARD_BYTES, BLOCK_QUERIES, SEED, SCORED_ROWS = 8 << 20, 4096, 256, 4096
 _CENTRES, _ROUNDS = 16, 8
 
 
@@ -92,8 +94,19 @@ def _padded(x: np.ndarray) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, -x.shape[1] % (2 * SUB))))
 
 
-def _search_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, books: np.ndarray, k: int) -> Iterator[tuple]:
-    """Best k of one shard for each query: arrays of query row, vec_id, score."""
+# Arrays of a shard, each stored as bytes: its rows by id, the first row of each group of equal vectors, rows by group and where groups begin,
+# packed codes by code byte, parallel and orthogonal error, what rounding adds to a scan, and lengths.
+_ARRAYS = {"ids": "<i8", "x": "<f8", "first": "<i8", "by_group": "<i8", "begin": "<i8", "columns": "u1", "along": "<f8", "across": "<f8", "slack": "<f8", "norms": "<f8"}
+_STORED = "shard int, dim int, " + ", ".join(f"{n} binary" for n in _ARRAYS)
+
+
+def _rounding(dim: int) -> float:
+    """What rounding adds to an exact score, at most."""
+    return 1e-14 * (dim + 2 * SUB + 10)
+
+
+def _index_shard(ids: np.ndarray, x: np.ndarray, books: np.ndarray) -> dict[str, np.ndarray]:
+    """The arrays of one shard."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], np.ascontiguousarray(x[order])
     _, first, group = np.unique(x.view(np.dtype((np.void, x.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
@@ -101,15 +114,18 @@ def _search_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries
     begin = np.searchsorted(group[by_group], np.arange(len(first) + 1))
     units = _padded(_units(x[first]))
     codes = _encode(units, books)
-    packed = codes[:, 0::2] | codes[:, 1::2] << 4  # what a scan reads: half a byte for each codebook
-    columns = np.ascontiguousarray(packed.T)
+    columns = (codes[:, 0::2] | codes[:, 1::2] << 4).T  # what a scan reads: half a byte for each codebook
     coded = books[np.arange(len(books)), codes].reshape(units.shape)
     along = ((units - coded) * units).sum(1)
     across = np.sqrt((((units - coded) - along[:, None] * units) ** 2).sum(1))
-    # Bounds of what rounding adds to exact scores, and to a scan's sums in single precision.
-    rounding = 1e-14 * (units.shape[1] + 10)
-    slack = (len(columns) + 4) * 2.0**-23 * np.sqrt((coded**2).sum(1)) + rounding
-    norms = np.sqrt((x[first] ** 2).sum(1))
+    slack = (len(columns) + 4) * 2.0**-23 * np.sqrt((coded**2).sum(1)) + _rounding(x.shape[1])
+    return {"ids": ids, "x": x, "first": first, "by_group": by_group, "begin": begin, "columns": columns, "along": along, "across": across, "slack": slack, "norms": np.sqrt((x[first] ** 2).sum(1))}
+
+
+def _search_shard(stored: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarray, books: np.ndarray, k: int) -> Iterator[tuple]:
+    """Best k of one shard for each query: arrays of query row, vec_id, score."""
+    ids, x, first, by_group, begin, columns, along, across, slack, norms = (stored[n] for n in _ARRAYS)
+    rounding = _rounding(x.shape[1])
     top = min(SEED, len(first))
     for q, (qid, v) in enumerate(zip(query_ids, queries, strict=True)):
         tables = (books * _padded(_units(v[None]))[0].reshape(-1, 1, SUB)).sum(-1).astype(np.float32)
@@ -149,12 +165,30 @@ def _search_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries
         yield np.full(len(rows), q), ids[rows], score
 
 
-def _searcher(shared, books, k: int):
-    def run(shard: pd.DataFrame) -> pd.DataFrame:
+def build_index(good: DataFrame, books, shards: int) -> DataFrame:
+    """The stored index: a row for each shard. Rows are dealt to shards by a hash of vec_id."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        x = _matrix(part["embedding"])
+        made = _index_shard(part["vec_id"].to_numpy(), x, books.value)
+        return pd.DataFrame([{"shard": part["shard"].iloc[0], "dim": x.shape[1], **{n: np.ascontiguousarray(made[n], t).tobytes() for n, t in _ARRAYS.items()}}])
+
+    dealt = good.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int"))
+    return common.materialize(dealt.groupBy("shard").applyInPandas(run, _STORED), "vectors")
+
+
+def _scanner(shared, books, k: int):
+    """Scans the stored shards, one at a time, for a block of queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = shared.value
-        parts = _search_shard(shard["vec_id"].to_numpy(), _matrix(shard["embedding"]), ids, queries, books.value, k)
-        q, v, s = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return pd.DataFrame({"query_id": ids[q], "vec_id": v, "score": s})
+        for b in batches:
+            for i in range(b.num_rows):
+                stored = {n: np.frombuffer(b.column(n)[i].as_buffer(), t) for n, t in _ARRAYS.items()}
+                stored["x"] = stored["x"].reshape(-1, b.column("dim")[i].as_py())
+                stored["columns"] = stored["columns"].reshape(-1, len(stored["first"]))
+                q, v, score = (np.concatenate(x) for x in zip(*_search_shard(stored, ids, queries, books.value, k), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(v, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -174,8 +208,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     if not len(sample):
         sample = good.limit(1).toPandas()["embedding"]
     books = spark.sparkContext.broadcast(fit_codebooks(_padded(_units(_matrix(sample)))))
-    shards = max(1, -(-n // SHARD_ROWS))
-    spread = good.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int"))
+    shards = max(1, -(-n * dim * 8 // SHARD_BYTES))
+    common.bound_batches(spark)
+    index = build_index(good, books, shards)
     n_blocks = -(-n_queries // BLOCK_QUERIES)
     found = []
     for b in range(n_blocks):
@@ -183,8 +218,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
         if not len(block):
             continue
         shared = spark.sparkContext.broadcast((block["vec_id"].to_numpy(), _matrix(block["embedding"])))  # about BLOCK_QUERIES rows
-
-        found.append(spread.groupBy("shard").applyInPandas(_searcher(shared, books, k), "query_id long, vec_id long, score double"))
+        found.append(index.mapInArrow(_scanner(shared, books, k), "query_id long, vec_id long, score double"))
     if not found:
         return empty
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -16,7 +16,8 @@ and fails the slot count (MIN_SLOTS of SLOTS) with probability under 1e-6.
 
 Defined cases: words are what white space separates, A-Z lowered. A document with fewer words than a shingle has
 one shingle, its whole sequence; without words, or with a null text, it has none and is linked with nothing. Rows with
-equal doc_id are one node; a null doc_id is linked with nothing, has a null component and is kept. Extra columns are ignored.
+equal doc_id are one node; a null doc_id is linked with nothing, has a null component and is kept. An empty table gives no rows. Extra columns are
+ignored, and kept by deduplicate(). A very long text is never split: some 100 bytes of arrays a byte, and 8 bytes a shingle in a link's check.
 """
 
 from __future__ import annotations

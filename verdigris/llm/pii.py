@@ -7,7 +7,8 @@ Everything is built from Spark's own functions, one projection over whole texts.
 so that matching is linear: possessive runs, and starts only where a run begins or the last match ended.
 
 Defined cases: a null or empty text has no spans. Kinds are sought independently, so spans of
-different kinds may overlap. Offsets are code points, ends exclusive. Repeated rows give repeated results.
+different kinds may overlap. Offsets are code points, ends exclusive. Repeated rows give repeated results, an empty table none. Extra
+columns are ignored, whatever their names. Very long texts take time and memory in proportion to their length.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ other. That interval join makes no pairs: running over the exploded parts of a r
 the greatest end of earlier complements, and running back, the least start of later ones.
 
 Defined cases: a null or empty text has no spans. Offsets are code points, ends exclusive. Repeated
-rows give repeated results, also if doc_id is null or repeated.
+rows give repeated results, also if doc_id is null or repeated; an empty table gives none. Extra columns are ignored, and kept by
+redact(), whatever their names. Very long texts take time and memory in proportion to their length; the parts of one text are sorted in one task.
 """
 
 from __future__ import annotations
