@@ -104,7 +104,9 @@ class ShardStore:
 
     def _rows(self, runs: list[dict], schema: dict) -> DataFrame:
         kind = StructType.fromJson(schema)
-        return self.spark.read.schema(kind).parquet(*[r["path"] for r in runs]) if runs else self.spark.createDataFrame([], kind)
+        if not runs:
+            return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kind])
+        return self.spark.read.schema(kind).parquet(*[r["path"] for r in runs])
 
     def _too_large(self, run: dict) -> bool:
         return run["largest"] > 2 * self.target_bytes
@@ -168,7 +170,8 @@ class ShardStore:
         """The rows of a version in a struct `row`, with run, tier and shard (the file's name)."""
         now = self.manifest(version)
         rows = self.read(version)
-        tiers = self.spark.createDataFrame([(r["id"], r["tier"]) for r in now["runs"]], "run string, tier int")
+        listed = [F.struct(F.lit(r["id"]).alias("run"), F.lit(r["tier"]).alias("tier")) for r in now["runs"]]
+        tiers = self.spark.range(1).select(F.inline(F.array(*listed) if listed else F.array().cast("array<struct<run:string,tier:int>>")))
         at = F.split(F.input_file_name() if now["runs"] else F.lit(""), "/")
         run = F.url_decode(F.regexp_replace(F.element_at(at, -2), r"\+", "%2B")) if now["runs"] else F.lit("")
         placed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), run.alias("run"), F.element_at(at, -1).alias("shard"))
