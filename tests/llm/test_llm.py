@@ -426,6 +426,37 @@ def test_language_id(spark, docs, none):
     assert {x.lang_pred for x in langid.identify(df, langid.fit(none)).collect()} == {"und"}
 
 
+def test_language_id_against_plain_naive_bayes(spark):
+    """An independent multinomial naive Bayes over the n-grams themselves, not their hashes, on texts of mixed words."""
+    import math
+    from collections import Counter
+
+    r = random.Random(10)
+    words = {"en": ["the", "of", "and", "that", "thing", "with", "other"], "fr": ["le", "été", "que", "dans", "très", "où", "autre"], "de": ["der", "und", "dass", "über", "nicht", "ding", "andere"]}
+    train = [(i, " ".join(r.choice(words[k]) for _ in range(25)), k) for i, k in enumerate(list(words) * 60)]
+    grams = lambda t: Counter(t[i : i + n] for n in langid.ORDERS for i in range(len(t) - n + 1))
+    counts = {k: Counter() for k in words}
+    for _, t, k in train:
+        counts[k].update(grams(t))
+    size = 1 << langid.BITS
+    total = {k: sum(c.values()) + 0.5 * size for k, c in counts.items()}
+    model = langid.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    mixed = [" ".join(r.choice(words[r.choice(ks)]) for _ in range(12)) for ks in [list(words), ["en", "fr"], ["de", "de", "en"]] * 60]
+    got, compared = langid.score_texts(mixed, model)[0], 0
+    for t, lang in zip(mixed, got, strict=True):
+        plain = sorted(((sum(n * (math.log(counts[k][g] + 0.5) - math.log(total[k])) for g, n in grams(t.lower()).items()), k) for k in words), reverse=True)
+        if plain[0][0] - plain[1][0] > 3:  # hashes may turn closer calls
+            compared += 1
+            assert lang == plain[0][1], t
+    assert compared > 100
+
+
+def test_language_id_on_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = langid.op10_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null").collect()
+    assert len(rows) > 100 and sum(x.lang == x.lang_pred for x in rows) / len(rows) >= 0.97
+
+
 def test_shards(spark, docs, rows, none, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=1 << 20, tier_bytes=4096, fanout=2)
     store.append(docs, F.col("source"))
