@@ -24,6 +24,12 @@ def test_velocity_window_is_closed(spark):
     assert [r.hits for r in weblog.velocity_count(e, "client", "ts", "id", 10 * S).orderBy("id").collect()] == [1, 2, 2, 3]
 
 
+def test_null_and_empty_clients_are_two(spark):
+    e = events(spark, [(None, 1.0, 1), ("", 2.0, 2), (None, 3.0, 3), ("", 4.0, 4)])
+    assert weblog.velocity_block(e, "client", "ts", "id", 10 * S, 2, 60 * S).filter("blocked").count() == 0
+    assert [r.hits for r in weblog.velocity_count(e, "client", "ts", "id", 10 * S).orderBy("id").collect()] == [1, 1, 2, 2]
+
+
 def test_block_neither_records_nor_extends(spark):
     e = events(spark, [("a", float(i), i) for i in range(6)] + [("a", 30.0, 7), ("a", 64.9, 8), ("a", 65.0, 9), ("b", 1.0, 10)])
     got = {r.id: r.blocked for r in weblog.velocity_block(e, "client", "ts", "id", 10 * S, 5, 60 * S).collect()}
@@ -176,6 +182,44 @@ def test_pipeline(spark):
         run_pipeline(docs, "id", stages=("x",))
 
 
+def test_pipeline_errors(spark):
+    docs = spark.createDataFrame([(1, "a@b.cn", None), (2, "text", "broken"), (3, None, None)], "id int, text string, why string")
+    stop = {r.id: r for r in run_pipeline(docs, "id", error="why").collect()}
+    assert [len(stop[i].stages_completed) for i in (1, 2, 3)] == [4, 0, 0] and stop[2].errors[0]["error"] == "broken" and stop[3].text is None
+    on = {r.id: r for r in run_pipeline(docs, "id", error="why", continue_on_error=True).collect()}
+    assert on[3].stages_completed == ["sanitize", "ner", "embed"] and on[3].text == "" and len(on[3].errors) == 1 and on[3].embedding == {}
+    assert abs(sum(w * w for w in on[1].embedding.values()) - 1) < 1e-9 and on[1].n_masks == 1 and on[1].entity_count == len(on[1].entities)
+
+
+def test_embedding_is_the_transform(spark):
+    docs = spark.createDataFrame([(1, "a  b\n\nab é"), (2, "xyz ab"), (3, ""), (4, None), (5, "😀x\x00y")], "id int, text string")
+    model = textsearch.tfidf_fit_texts(docs, max_features=12)
+    counts = textsearch.gram_counts(docs, "id")
+    assert sorted((r.gram, r.df, round(r.idf, 9)) for r in model.collect()) == sorted((r.gram, r.df, round(r.idf, 9)) for r in textsearch.tfidf_fit(counts, 4, 12).collect())
+    want = {(r.id, r.gram): round(r.weight, 9) for r in textsearch.tfidf_transform(counts, model, "id").collect()}
+    got = {(r.id, g): round(w, 9) for r in textsearch.with_embedding(docs, model).collect() for g, w in r.embedding.items()}
+    assert got == want and len(got) > 10
+
+
+def test_dedup_agrees_in_rows_and_tables(spark):
+    """Random touching mentions of two texts: the array form, the table form and a plain greedy loop."""
+    import random
+
+    r = random.Random(4)
+    docs = {d: [("T", t, s, s + len(t), r.choice((0.5, 0.9))) for t in ("ab", "xyz") for s in sorted(r.sample(range(30), r.randint(0, 12)))] for d in range(25)}
+    flat = spark.createDataFrame([(d, *m) for d, ms in docs.items() for m in ms], "doc int, type string, text string, start int, end int, score double")
+    want = set()
+    for d, ms in docs.items():
+        kept = []
+        for m in sorted(ms, key=lambda m: (-m[4], m[2])):
+            if not any(m[1] == k[1] and m[2] <= k[3] and m[3] >= k[2] for k in kept):
+                kept.append(m)
+        want |= {(d, *m) for m in kept}
+    assert set(map(tuple, entities.dedup_entities(flat, "doc").collect())) == want
+    one = flat.groupBy("doc").agg(F.collect_list(F.struct("type", "text", "start", "end", "score")).alias("a")).select("doc", F.explode(entities.dedup_array(F.col("a"))).alias("e")).select("doc", "e.*")
+    assert set(map(tuple, one.collect())) == want
+
+
 def test_registries(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"national": {"MEE": {"name": "部", "url": "https://m.cn", "dept": "d"}}, "provinces": {"乙": {"name": "b", "url": "https://b.cn"}, "甲": {"name": "a", "url": ""}, "丙": {"name": "c", "url": "https://c.cn"}}}')
     full = registry.load_bureaus(spark, str(tmp_path / "b.json"))

@@ -61,7 +61,7 @@ def velocity_block(df: DataFrame, key: str, ts: str, id_: str, window_us: int =
                 out.append(blocked)
             yield pdf[cols].assign(blocked=out)
 
-    by_key = df.withColumn("_k", F.coalesce(F.col(key).cast("string"), F.lit(""))).withColumn("_t", micros(ts)).repartition("_k").sortWithinPartitions("_k", "_t", id_)
+    by_key = df.withColumn("_k", F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit(""))).withColumn("_t", micros(ts)).repartition("_k").sortWithinPartitions("_k", "_t", id_)
     return by_key.mapInPandas(run, f"{ddl}, blocked boolean")
 
 
