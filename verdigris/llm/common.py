@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch sent to a Python worker, so that long texts stay bounded.
@@ -82,3 +83,19 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def bitmap(rows: DataFrame, bit: Column, bits: int) -> np.ndarray:
+    """The bits, from 0, that rows name: bits / 8 bytes, least bit first, put together on Spark before they come to the driver."""
+    at = bit + 1  # Spark's functions count from 1
+    found = rows.groupBy(F.call_function("bitmap_bucket_number", at).alias("bucket")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", at)).alias("bits")).collect()
+    out = np.zeros(-(-bits // 32768) * 4096, np.uint8)
+    for r in found:
+        begin = (r["bucket"] - 1) * 4096
+        out[begin : begin + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def in_bitmap(held: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Which of these bits are set."""
+    return (held[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)

@@ -166,26 +166,20 @@ def _candidate_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     through by chance are dropped by the join.
     """
     bit = F.pmod(F.xxhash64("rep"), F.lit(BITMAP_BITS))
-    rows = ids.groupBy(F.call_function("bitmap_bucket_number", bit).alias("bucket")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", bit)).alias("bits")).collect()
-    bitmap = np.zeros(BITMAP_BITS // 8 + 4096, np.uint8)
-    for r in rows:
-        at = (r["bucket"] - 1) * 4096
-        bitmap[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # BITMAP_BITS / 8 bytes
+    shared = docs.sparkSession.sparkContext.broadcast(common.bitmap(ids, bit, BITMAP_BITS))  # BITMAP_BITS / 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             place = b.column("bit").to_numpy(zero_copy_only=False)
-            hit = np.flatnonzero(shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+            hit = np.flatnonzero(common.in_bitmap(shared.value, place))
             ids_, texts = b.column("rep").take(pa.array(hit)), b.column("text").take(pa.array(hit)).to_pylist()
             for i, j in _slices(texts):
                 h, owner = shingle_sets(texts[i:j])
                 ends = np.searchsorted(owner, np.arange(j - i + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([ids_.slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["rep", "shingles"])
 
-    # bitmap_bit_position counts from zero within buckets of 32768 bits; together they are the bit modulo the size.
     own = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("rep is not null")
-    own = own.withColumn("bit", (F.call_function("bitmap_bucket_number", bit) - 1) * 32768 + F.call_function("bitmap_bit_position", bit))
+    own = own.withColumn("bit", bit)
     return own.mapInArrow(run, "rep long, shingles array<long>").join(ids, "rep", "left_semi").dropDuplicates(["rep"])
 
 
