@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from verdigris.llm import ann, decontaminate, langid, neardup, pieces, pii, repeats, secrets, sharding, tokenids
+from verdigris.llm import ann, common, decontaminate, langid, neardup, pieces, pii, repeats, secrets, sharding, tokenids
 from verdigris.llm.components import connected_components
 
 MODEL, BPE = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
@@ -97,6 +97,35 @@ def test_repeats_of_hot_anchors(docs, rows):
     assert got == {k: v[1] for k, v in want.items()}
 
 
+def test_repeats_of_marked_anchors(docs, rows):
+    want = brute.repeats([r[:2] for r in rows])
+    got = {r.doc_id: (sum(s["last"] - s["first"] for s in r.spans), len(r.spans)) for r in repeats.remove_repeats(docs, hot=2, sample=1).collect()}
+    assert got == {k: v[1:3] for k, v in want.items()}
+
+
+def test_hot_anchors_are_counted_before_they_meet(spark):
+    r = random.Random(6)
+    word = lambda n: "".join(r.choices("abcdefgh", k=n))
+    passage = word(400)
+    frame = lambda texts: spark.createDataFrame([(t.encode(),) for t in texts], "data binary").repartition(7)
+    shared = [word(200) + passage + word(200) for _ in range(300)]
+    for sample in (1, 4):
+        held = repeats.hot_anchors(frame(shared), 100, sample)
+        h1, h2 = repeats.pieces_of(np.frombuffer("".join(shared).encode(), np.uint8), np.array([len(t) for t in shared]))[4:]
+        pieces_ = {}
+        for a, b in zip(h1.tolist(), h2.tolist(), strict=True):
+            pieces_.setdefault(a, set()).add(b)
+        large = np.array([a for a, of in pieces_.items() if len(of) > 250], np.uint64)
+        assert len(large) and repeats._marked(held, large).all() and np.unpackbits(held).sum() < 20
+        assert not repeats.hot_anchors(frame([word(800) for _ in range(100)] + [passage] * 300), 100, sample).any()
+
+
+def test_bitmap_holds_its_first_and_last_bit(spark):
+    bits = [0, 1, 32767, 32768, 99_999]
+    held = common.bitmap(spark.createDataFrame([(b,) for b in bits * 3], "b long"), F.col("b"), 100_000)
+    assert np.flatnonzero(common.in_bitmap(held, np.arange(100_000))).tolist() == bits
+
+
 def test_repeats_of_equal_ids(spark):
     t = "".join(random.Random(5).choices("abcdef", k=150))
     got = repeats.remove_repeats(spark.createDataFrame([(1, t), (1, t), (None, t), (-4, "x" + t)], "doc_id long, text string")).collect()

@@ -10,9 +10,10 @@ There each group gets an enhanced suffix array of the starts that can begin a re
 common prefixes gives the tree of intervals, those whose occurrences differ in what precedes them are the maximal
 repeats of the pieces, and every occurrence but the first of such a repeat is removed over its whole length.
 
-Anchors met in very many different pieces (the edges of a passage that many documents share) are dealt
-out stretch by stretch, so that the bytes of a common passage are combined before the shuffle and never gather in one task. The
-records of such an anchor, RECORD.itemsize bytes for each document with an edge of its own, do meet in one task first, which counts them.
+Anchors met in very many different pieces (the edges of a passage that many documents share) are found first, by counting
+one distinct piece in SAMPLE, and marked in a bitmap of fixed size. Their pieces are dealt out by the hash of the piece
+and then stretch by stretch, so that neither the records nor the bytes of a common passage gather in one task. An anchor that the bitmap marks
+by chance, or that the count misses, costs time and changes no result.
 
 Order: smaller doc_id first, then smaller start. Defined cases: null texts are empty; nothing shorter than
 MIN_BYTES is removed; null doc_ids come first, and rows with equal doc_id are ordered by text. Removed bytes may
@@ -36,6 +37,8 @@ from verdigris.llm.hashing import ODD, Substrings, mix
 MIN_BYTES, K = 100, 32
 #: Different pieces of one anchor from which stretches are dealt out one by one, and text bytes of a part.
 HOT, PART_BYTES = 1000, 6 << 20
+#: One distinct piece in SAMPLE is counted in the search for hot anchors, which a bitmap of BITMAP_BITS names.
+SAMPLE, BITMAP_BITS = 32, 1 << 24
 _SLICE = 1 << 20
 _PACKED = "kind int, part int, data binary"
 #: Layouts of packed rows. RANGE: bytes to remove. RECORD: a piece. VARIANT: a piece whose bytes are needed.
@@ -137,7 +140,31 @@ def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def _find_pieces(parts: int, doc_parts: int):
+def _sampled_pieces(sample: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            for i, j in _slices(texts):
+                h1, h2 = pieces_of(np.frombuffer(b"".join(texts[i:j]), np.uint8), np.array([len(t) for t in texts[i:j]]))[4:]
+                some = h2 % np.uint64(sample) == 0
+                pair = np.unique(np.stack([h1[some], h2[some]], 1), axis=0).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["h1", "h2"])
+
+    return run
+
+
+def hot_anchors(keyed: DataFrame, hot: int, sample: int) -> np.ndarray:
+    """The bitmap of anchors with about `hot` different pieces or more, counted on one distinct piece in `sample`."""
+    pairs = keyed.select("data").mapInArrow(_sampled_pieces(sample), "h1 long, h2 long").distinct()
+    counted = pairs.groupBy("h1").agg(F.count("*").alias("n")).filter(F.col("n") >= max(2, hot // sample))
+    return common.bitmap(counted, F.pmod("h1", F.lit(BITMAP_BITS)), BITMAP_BITS)
+
+
+def _marked(held: np.ndarray, h1: np.ndarray) -> np.ndarray:
+    return common.in_bitmap(held, (h1 & np.uint64(BITMAP_BITS - 1)).astype(np.int64))
+
+
+def _find_pieces(parts: int, doc_parts: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
@@ -149,22 +176,25 @@ def _find_pieces(parts: int, doc_parts: int):
                 found.append(r)
             first, gone = _split_known(np.concatenate(found) if found else np.empty(0, RECORD))
             gone = _merged(gone)
-            yield _batch(_dealt(_RECORDS, (first["h1"] % np.uint64(parts)).astype(np.int64), first) + _dealt(_RANGES, gone["key"] % doc_parts, gone))
+            dealt_by = np.where(_marked(shared.value, first["h1"]), first["h2"], first["h1"])
+            yield _batch(_dealt(_RECORDS, (dealt_by % np.uint64(parts)).astype(np.int64), first) + _dealt(_RANGES, gone["key"] % doc_parts, gone))
 
     return run
 
 
-def _sort_pieces(doc_parts: int, hot: int):
+def _sort_pieces(doc_parts: int, hot: int, shared):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         first, gone = _split_known(_read(frame, _RECORDS, RECORD))
         gone = _merged(np.concatenate([gone, _read(frame, _RANGES, RANGE)]))
         a, b = _runs(first["h1"])
         count = np.repeat(b - a, b - a)
-        several = first[count > 1]
+        marked = _marked(shared.value, first["h1"])
+        needed = marked | (count > 1)
+        several = first[needed]
         v = np.empty(len(several), VARIANT)
         for c in ("key", "h1", "start", "more"):
             v[c] = several[c]
-        v["hot"] = count[count > 1] >= hot
+        v["hot"] = (marked | (count >= hot))[needed]
         return _frame(_dealt(_RANGES, gone["key"] % doc_parts, gone) + _dealt(_VARIANTS, v["key"] % doc_parts, v))
 
     return run
@@ -349,7 +379,7 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return rows.join(ranked, "row").select("key", "data"), rows.select("row", "doc_id").join(ranked, "row").select("key", "doc_id")
 
 
-def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT, sample: int = SAMPLE) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, spans (removed runs, array<struct<first,last>> in bytes), kept (the remaining bytes)."""
     spark = docs.sparkSession
     common.bound_batches(spark)
@@ -357,8 +387,9 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     size = keyed.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
     doc_parts = next(n for n in range(parts, 3 * parts + 3) if _is_prime(n))
-    cut = keyed.select("key", "data").mapInArrow(_find_pieces(parts, doc_parts), _PACKED)
-    known = common.materialize(cut.groupBy("part").applyInPandas(_sort_pieces(doc_parts, hot), _PACKED), "repeats")
+    shared = spark.sparkContext.broadcast(hot_anchors(keyed, hot, sample))  # BITMAP_BITS / 8 bytes
+    cut = keyed.select("key", "data").mapInArrow(_find_pieces(parts, doc_parts, shared), _PACKED)
+    known = common.materialize(cut.groupBy("part").applyInPandas(_sort_pieces(doc_parts, hot, shared), _PACKED), "repeats")
     common.free_shuffles(spark)
     texts = keyed.select(F.lit(_TEXT).alias("kind"), F.pmod("key", F.lit(doc_parts)).cast("int").alias("part"), "data", "key")
     no_key = F.lit(None).cast("long").alias("key")
