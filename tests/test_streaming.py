@@ -56,3 +56,37 @@ def test_admission(spark, tmp_path):
     got = run(streams.stream_admission(source(spark, tmp_path, df), F.col("client"), F.col("ts"), F.col("id"), velocity, 6, 20 * S), tmp_path, "update")
     batch = weblog.admission(df, "client", F.lit("x"), "ts", "id", F.lit(False), F.lit(False), velocity, (), tier)
     assert sorted((r.client, r.id, r.verdict) for r in got.collect()) == sorted((r.client, r.id, r.verdict) for r in batch.collect())
+
+
+def test_admission_of_tiers_bots_and_excluded_paths(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    routes = ("search/a", "search/b", "download/x", "health", "list")
+    hits = [("abc"[i * i % 3], routes[i * 7 % 5], i % 11 == 0, float(i // 2), i) for i in range(120)]
+    df = spark.createDataFrame(hits, "client string, route string, bot boolean, t double, id int").withColumn("ts", F.timestamp_micros((F.col("t") * S).cast("long"))).drop("t")
+    velocity, tiers = {"window_us": 8 * S, "threshold": 9, "block_us": 4 * S}, (("search", 3, 20), ("download", 1, 30))
+    first, second = df.filter("id < 50"), df.filter("id >= 50")
+    first.write.parquet(str(tmp_path / "in"))
+    got = []
+    for i, more in enumerate((None, second)):
+        if more is not None:
+            more.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        verdicts = streams.stream_admission(stream, F.col("client"), F.col("ts"), F.col("id"), velocity, 4, 10 * S, F.col("route"), tiers, F.col("bot"), F.col("route") == "health")
+        q = verdicts.writeStream.foreachBatch(lambda b, _: got.extend(b.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    batch = weblog.admission(df, "client", F.col("route"), "ts", "id", F.col("bot"), F.col("route") == "health", velocity, tiers, ("default", 4, 10)).collect()
+    assert sorted((r.client, r.id, r.verdict) for r in got) == sorted((r.client, r.id, r.verdict) for r in batch)
+    assert {r.verdict for r in batch} == {"excluded", "bot", "velocity", "rate", "allow"}
+
+
+def test_upsert_sink(spark, tmp_path):
+    parts = [[("a", 1, "x"), ("a", 3, "y"), ("b", 2, "z")], [("a", 2, "late"), ("b", 2, "tie"), ("c", 1, "new")], [("c", 5, "last")]]
+    want = None
+    for rows in parts:
+        df = spark.createDataFrame(rows, "k string, seq int, v string")
+        df.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        streams.upsert_sink(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "k", "seq").awaitTermination()
+        want = sorted(map(tuple, tables.upsert_latest(df, spark.createDataFrame(want or [], df.schema), "k", "seq").collect()))
+        assert sorted(map(tuple, streams.latest_rows(spark, str(tmp_path / "out"), "k", "seq").select("k", "seq", "v").collect())) == want
+    assert want == [("a", 3, "y"), ("b", 2, "tie"), ("c", 5, "last")]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from verdigris.operators import tables
+from verdigris.operators import tables, weblog
 
 
 def stream_dedup(stream: DataFrame, key: str, ts: str | None = None, delay: str = "1 day") -> DataFrame:
@@ -32,6 +32,21 @@ def insert_sink(stream: DataFrame, path: str, checkpoint: str, key: str, order:
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def upsert_sink(stream: DataFrame, path: str, checkpoint: str, key: str, seq: str) -> StreamingQuery:
+    """Append to a Parquet table the row of each key that a batch wrote last (greatest seq), for latest_rows() to read. Rows written before stay
+    as they are, so a batch costs no more than its own rows; a batch that is written again writes its own folder again."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        tables.first_per_key(batch, key, [F.desc(seq)]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_rows(spark: SparkSession, path: str, key: str, seq: str) -> DataFrame:
+    """The table of upsert_sink(): one row for each key, the one written last (greatest seq; the later batch on ties)."""
+    return tables.first_per_key(spark.read.parquet(path), key, [F.desc(seq), F.desc("batch")]).drop("batch")
+
+
 def _batches_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
@@ -54,38 +69,56 @@ def stream_facets(stream: DataFrame, ts: str, key: str, size: str = "1 hour", sl
 
 
 class _Admission(StatefulProcessor):
-    """Velocity block and rate limit of one client, hits in order of time within each batch."""
+    """Velocity block and rate limits of one client, hits in order of time within each batch. Rows that come with a verdict keep it and leave the state alone."""
 
-    def __init__(self, velocity: dict, limit: int, window_us: int) -> None:
-        self.velocity, self.limit, self.window_us = velocity, limit, window_us
+    def __init__(self, velocity: dict) -> None:
+        self.velocity = velocity
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("hits", "recent array<bigint>, rated array<bigint>, until bigint")
+        self.state = handle.getValueState("hits", "recent array<bigint>, until bigint")
+        self.rated = handle.getMapState("rated", "tier string", "hits array<bigint>")
+
+    def _used(self, tier: str, t: int, window_us: int) -> int:
+        held = self.rated.getValue((tier,))[0] if self.rated.containsKey((tier,)) else []
+        inside = [h for h in held if h > t - window_us] + [t]
+        self.rated.updateValue((tier,), (inside,))
+        return len(inside)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else ([], [], -1)
-        recent, rated, until = list(held[0]), list(held[1]), held[2]
+        recent, until = self.state.get() if self.state.exists() else ([], -1)
+        recent = list(recent)
         data = pd.concat(list(rows)).sort_values(["t", "id"])
         out = []
-        for t in data["t"]:
+        for t, given, tier, limit, window_us in zip(*(data[c].tolist() for c in ("t", "given", "tier", "limit", "window_us")), strict=True):
+            if given:
+                out.append(given)
+                continue
             if until > t:
                 out.append("velocity")
                 continue
-            recent = [h for h in recent if h >= t - self.velocity["window_us"]] + [int(t)]
+            recent = [h for h in recent if h >= t - self.velocity["window_us"]] + [t]
             if len(recent) > self.velocity["threshold"]:
-                until = int(t) + self.velocity["block_us"]
+                until = t + self.velocity["block_us"]
                 out.append("velocity")
                 continue
-            rated = [h for h in rated if h > t - self.window_us] + [int(t)]
-            out.append("allow" if len(rated) <= self.limit else "rate")
-        self.state.update((recent, rated, until))
+            out.append("allow" if self._used(tier, t, window_us) <= limit else "rate")
+        self.state.update((recent, until))
         yield pd.DataFrame({"client": data["client"], "id": data["id"], "verdict": out})
 
     def close(self) -> None:
         pass
 
 
-def stream_admission(stream: DataFrame, client: Column, ts: Column, id_: Column, velocity: dict, limit: int, window_us: int) -> DataFrame:
-    """client, id, verdict (allow, velocity, rate) with state by client; needs the RocksDB state store."""
-    rows = stream.select(client.cast("string").alias("client"), F.unix_micros(ts.cast("timestamp")).alias("t"), id_.cast("long").alias("id"))
-    return rows.groupBy("client").transformWithStateInPandas(_Admission(velocity, limit, window_us), "client string, id long, verdict string", "Update", "None")
+def stream_admission(
+    stream: DataFrame, client: Column, ts: Column, id_: Column, velocity: dict, limit: int, window_us: int,
+    route: Column | None = None, tiers: tuple = (), is_bot: Column | None = None, excluded: Column | None = None,
+) -> DataFrame:
+    """client, id, verdict (excluded, bot, velocity, rate, allow) with state by client, as weblog.admission gives; needs the RocksDB state store.
+
+    limit and window_us hold for routes that no tier (route prefix, limit, window in seconds) fits.
+    """
+    given = F.when(F.lit(False) if excluded is None else excluded, "excluded").when(F.lit(False) if is_bot is None else is_bot, "bot").otherwise("")
+    tier = weblog.route_tier(F.lit("") if route is None else route, tiers, ("default", limit, 0))
+    rows = stream.select(client.cast("string").alias("client"), F.unix_micros(ts.cast("timestamp")).alias("t"), id_.cast("long").alias("id"), given.alias("given"), tier.alias("r"))
+    rows = rows.select("client", "t", "id", "given", "r.tier", "r.limit", F.when(F.col("r.window_us") == 0, F.lit(window_us).cast("long")).otherwise(F.col("r.window_us")).alias("window_us"))
+    return rows.groupBy("client").transformWithStateInPandas(_Admission(velocity), "client string, id long, verdict string", "Update", "None")
