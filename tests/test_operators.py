@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -275,3 +276,20 @@ def test_early_stop_and_cutoff(spark):
     dated = spark.createDataFrame([("2024-01-01",), ("2023-01-01",), (None,)], "d string").select(F.to_timestamp("d").alias("d"))
     assert filters.incremental_cutoff(dated, "d", "2023-06-01").count() == 2
     assert filters.incremental_cutoff(dated, "d", "junk").count() == 3
+
+
+def test_windows_across_stretches_of_time(spark):
+    r = random.Random(3)
+    rows = [(r.choice(["a", "a", "a", None, ""]), r.choice([None, 0, 1, 2, 3, 9, 10, 11, 639, 640, 641, 650, 651, 1279, 1280, 1281, 1290, -1, -10, -640]), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, s int, id int").withColumn("ts", F.timestamp_seconds("s"))
+    came = [(k, s, i) for k, s, i in rows]
+
+    def arrivals(k, s, i, since):
+        if s is None:
+            return sum(1 for a, b, c in came if a == k and b is None and c <= i)
+        return sum(1 for a, b, c in came if a == k and b is not None and since <= b <= s and (b < s or c <= i))
+
+    got = {x.id: x.hits for x in weblog.velocity_count(df, "k", "ts", "id").collect()}
+    assert got == {i: arrivals(k, s, i, (s or 0) - 10) for k, s, i in rows}
+    used = {x.id: (x.tier, x.used) for x in weblog.rate_limit(df, "k", F.lit("x"), "ts", "id", (), ("d", 5, 10)).collect()}
+    assert used == {i: ("d", arrivals(k, s, i, (s or 0) - 9)) for k, s, i in rows}

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 # Tiers as (route prefix, limit, window in seconds) in order, and the default.
 TIERS = (("search", 50, 60), ("download", 20, 3600))
 DEFAULT_TIER = ("default", 100, 60)
+#: Windows of time that one task's stretch of a key covers.
+STRETCH = 64
 
 
 def micros(ts: str) -> Column:
@@ -28,9 +30,19 @@ def _arrivals(df: DataFrame, keys: list[str], at: str, id_: str, span: int) -> C
     return within - (F.count("*").over(peers) - F.row_number().over(peers.orderBy(id_)))
 
 
+def _in_stretches(df: DataFrame, at: str, span: Column) -> DataFrame:
+    """df with _stretch and _own: time is cut into stretches of STRETCH spans, so that a key's windows are dealt out to many tasks.
+    A row stands in its own stretch, and once more (not _own) in the next one if windows there reach back to it."""
+    place = lambda t: F.floor(t / (span * STRETCH))
+    own, seen = place(F.col(at)), place(F.col(at) + span)
+    rows = df.withColumn("_stretch", F.explode(F.when(seen > own, F.array(own, own + 1)).otherwise(F.array(own))))
+    return rows.withColumn("_own", F.col("_stretch").eqNullSafe(own))
+
+
 def velocity_count(df: DataFrame, key: str, ts: str, id_: str, window_us: int = 10_000_000) -> DataFrame:
     """df with hits: arrivals of the key in the closed window [t - w, t]."""
-    return df.withColumn("_t", micros(ts)).withColumn("hits", _arrivals(df, [key], "_t", id_, window_us)).drop("_t")
+    dealt = _in_stretches(df.withColumn("_t", micros(ts)), "_t", F.lit(window_us))
+    return dealt.withColumn("hits", _arrivals(df, [key, "_stretch"], "_t", id_, window_us)).filter("_own").drop("_t", "_stretch", "_own")
 
 
 def velocity_block(df: DataFrame, key: str, ts: str, id_: str, window_us: int = 10_000_000, threshold: int = 10, block_us: int = 60_000_000) -> DataFrame:
@@ -79,11 +91,12 @@ def route_tier(route: Column, tiers=TIERS, default=DEFAULT_TIER) -> Column:
 def rate_limit(df: DataFrame, key: str, route: Column, ts: str, id_: str, tiers=TIERS, default=DEFAULT_TIER) -> DataFrame:
     """df with tier, used, allowed, retry_after: arrivals of (tier, key) in the half-open window (t - w, t], denied ones too."""
     marked = df.withColumn("_r", route_tier(route, tiers, default)).withColumn("tier", F.col("_r.tier")).withColumn("_t", micros(ts))
+    marked = _in_stretches(marked, "_t", F.col("_r.window_us"))
     used, limit, seconds = F.lit(None).cast("long"), F.col("_r.limit"), (F.col("_r.window_us") / 1_000_000).cast("long")
     for _, _, s in {(*t,) for t in (*tiers, default)}:
         w = s * 1_000_000
-        used = F.when(F.col("_r.window_us") == w, _arrivals(df, ["tier", key], "_t", id_, w - 1)).otherwise(used)
-    counted = marked.withColumn("used", used)
+        used = F.when(F.col("_r.window_us") == w, _arrivals(df, ["tier", key, "_stretch"], "_t", id_, w - 1)).otherwise(used)
+    counted = marked.withColumn("used", used).filter("_own").drop("_stretch", "_own")
     wait = F.greatest(F.lit(1), F.greatest(F.lit(5), seconds - F.floor(F.col("used") * 0.5)))
     return counted.withColumn("allowed", F.col("used") <= limit).withColumn("retry_after", F.when(F.col("used") > limit, wait)).drop("_r", "_t")
 
