@@ -288,7 +288,8 @@ def kept(component: str = "component_id") -> Column:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs without the rows whose document isn't the smallest doc_id of its group; rows with equal doc_id are one document and stay or go together."""
     groups = near_duplicates(docs)
-    gone = groups.filter(~kept()).select(F.col("doc_id").alias("_gone")).distinct()
+    # As a table its size is known, so Spark broadcasts it below its own threshold, and then no text is shuffled.
+    gone = common.materialize(groups.filter(~kept()).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
