@@ -6,6 +6,8 @@ import corpus_pipeline
 
 from verdigris.llm.ann import op2_nearest
 from verdigris.llm.decontaminate import op8_decontaminate
+from verdigris.llm.filteraudit import op13_filter_audit
+from verdigris.llm.importance import op12_importance
 from verdigris.llm.langid import op10_language_id
 from verdigris.llm.neardup import op6_near_duplicates
 from verdigris.llm.pieces import op3_pieces
@@ -29,6 +31,8 @@ def queries() -> dict:
         "op8_decontaminate": op8_decontaminate,
         "op9_shards": op9_shards,
         "op10_language_id": op10_language_id,
+        "op12_importance": op12_importance,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -63,7 +67,39 @@ select w.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coales
 coalesce(n, 0) as longest_words, best.item_id as longest_item, p as longest_doc_word, ip as longest_item_word
 from w left join c using (doc_id) left join t using (doc_id) left join best using (doc_id)"""
 
+OP12_SQL = f"""
+with tab as (select list(list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) order by i) crc from range(256) r(i)),
+w as (select row_number() over () n, doc_id, regexp_extract_all({_LOW.replace('text,', "coalesce(text, ''),")}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') ws from documents),
+d as (select n, unnest(ws) w from w),
+b as (select unnest(regexp_extract_all({_LOW.replace('text,', "coalesce(text, ''),")}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) w from benchmark),
+x as (select w, hex(w) h from (select w from d union select w from b)),
+y as (select w, list_transform(range(1, len(h), 2), lambda i: instr('0123456789ABCDEF', h[i]) * 16 + instr('0123456789ABCDEF', h[i + 1]) - 17) bytes from x),
+k as (select w, xor(list_reduce(bytes, lambda c, v: xor(c >> 8, crc[(xor(c, v) & 255) + 1]), 4294967295), 4294967295) % 10000 b from y, tab),
+s as (select b, count(*) s from d join k using (w) group by 1),
+t as (select b, count(*) t from b join k using (w) group by 1),
+g as (select b, floor(1000 * ln((coalesce(t, 0)::double + 1) * ((select count(*) from d) + 10000) / ((coalesce(s, 0)::double + 1) * ((select count(*) from b) + 10000))))::bigint g from s full join t using (b)),
+e as (select n, sum(g)::bigint total from d join k using (w) join g using (b) group by 1),
+f as (select doc_id, len(ws)::bigint n_features, coalesce(floor(total::double / len(ws)), 0)::bigint weight, ('0x' || sha256('2024:' || doc_id)[:8])::bigint h from w left join e using (n)),
+r as (select doc_id, n_features, weight, (weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296))))::bigint score from f),
+z as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id) p, count(*) over (partition by n_features >= 20) many from r)
+select doc_id, n_features, weight, score, case when n_features >= 20 and p <= 10 * many // 100 then p end as rank from z"""
+
+OP13_SQL = """
+with w as (select doc_id, coalesce(lang, '') part, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') ws, min(doc_id) over (partition by coalesce(text, '')) first from documents),
+m as (select part, (len(ws) < 100)::int + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::int + 4 * (100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * len(t))::int
+  + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > first, false)::int mask,
+  (doc_id in (select doc_id from labels where quality = 1))::int good, (doc_id in (select doc_id from labels where toxic = 1))::int toxic from w),
+c as (select part, mask, count(*) n, sum(good) good, sum(toxic) toxic from m group by 1, 2),
+k as (select unnest(range(5)) k),
+p as (select [a.k, b.k, c.k, d.k, e.k] p from k a join k b on b.k <> a.k join k c on c.k not in (a.k, b.k) join k d on d.k not in (a.k, b.k, c.k) join k e on e.k not in (a.k, b.k, c.k, d.k)),
+s as (select array_to_string(list_transform(p, lambda x: 'ABCDE'[x + 1]), '') filter_order, step, (1 << p[step])::int own, coalesce(list_sum(list_transform(p[:step - 1], lambda x: 1 << x)), 0)::int before from p, (select unnest(range(1, 6)) step)),
+q as (select part, filter_order, step, own, sum(n) filter (where mask & (before | own) = 0) kept, sum(n) filter (where mask & before = 0 and mask & own > 0) removed,
+  sum(n) filter (where mask & before > 0 and mask & own > 0) redundant, sum(n) filter (where mask = own) unique_fails,
+  sum(good) filter (where mask & before = 0 and mask & own > 0) good_lost, sum(toxic) filter (where mask & before = 0 and mask & own > 0) toxic_lost from c, s group by all)
+select part, filter_order, step::int as step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails,
+  coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost, (sum(coalesce(removed, 0)) over (partition by part, own))::bigint as shapley from q"""
+
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op6_near_duplicates": OP6_SQL, "op8_decontaminate": OP8_SQL}
+    found = {"op6_near_duplicates": OP6_SQL, "op8_decontaminate": OP8_SQL, "op12_importance": OP12_SQL, "op13_filter_audit": OP13_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
