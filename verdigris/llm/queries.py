@@ -7,6 +7,7 @@ import corpus_pipeline
 from verdigris.llm.ann import op2_nearest
 from verdigris.llm.decontaminate import op8_decontaminate
 from verdigris.llm.filteraudit import op13_filter_audit
+from verdigris.llm.htmltree import op11_main_text
 from verdigris.llm.importance import op12_importance
 from verdigris.llm.langid import op10_language_id
 from verdigris.llm.neardup import op6_near_duplicates
@@ -31,6 +32,7 @@ def queries() -> dict:
         "op8_decontaminate": op8_decontaminate,
         "op9_shards": op9_shards,
         "op10_language_id": op10_language_id,
+        "op11_main_text": op11_main_text,
         "op12_importance": op12_importance,
         "op13_filter_audit": op13_filter_audit,
     }
