@@ -64,7 +64,7 @@ NEUTRAL, MAIN = 0, 1
 #: Why an element's text counts nothing: for class words that layouts carry, too, or for good.
 SOFT, HARD = 1, 2
 
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</[^A-Za-z][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))|[^>])*+)(>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</(?:>|[^A-Za-z>][^>]*+(?:>|\Z))|<(/?)([A-Za-z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))|[^>])*+)(>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|[\s/\"'])(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _ENDS = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in RAW}
@@ -208,9 +208,8 @@ class Page:
 
     def _end(self, tag: str) -> None:
         if tag in BLOCKS:
-            if tag == "p" or self._count[tag] > 0:
+            if tag == "p" or tag in HEADINGS or self._count[tag] > 0:
                 self._flush()
-            if self._count[tag] > 0 or tag in HEADINGS:
                 self._pop_to(HEADINGS if tag in HEADINGS else frozenset({tag}), SCOPES - {tag} if tag not in ROWS else frozenset({"table"}))
         elif self._count[tag] > 0:
             self._end_inline(tag)
