@@ -46,6 +46,7 @@ def failing_ids(measured: DataFrame) -> DataFrame:
     """filter, _id, doc_id, part: one table for each filter, as partitions of one. A text's smallest doc_id comes from partial minima, so a large group of copies is one row a task."""
     alone = measured.select("_id", "doc_id", "part", F.explode("fails").alias("filter"))
     first = measured.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("same", "first")
+    first = common.materialize(first, "first-copies")  # a table, so that Spark knows its size and can split the copies of one text
     copies = measured.select("_id", "doc_id", "part", "same").join(first, "same").filter("doc_id > first").select("_id", "doc_id", "part", F.lit("E").alias("filter"))
     return common.materialize(alone.unionByName(copies), "failing", partition_by=["filter"])
 
