@@ -134,3 +134,17 @@ def base_spans(text: str | None, kinds: list) -> tuple[list[int], str]:
         counts.append(len(found))
         spans += [(m.start(), rank, f"{kind}:{m.start()}:{m.end()}") for m in found]
     return counts, ",".join(x[2] for x in sorted(spans))
+
+
+def secret_parts(text: str) -> list[tuple[int, int, str]]:
+    """Every candidate part: start, end, kind."""
+    word = r"[\"']?\x20{0,8}[:=]\x20{0,8}[\"']?"
+    kinds = {
+        "assign": (r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I, lambda m: len(m[1]) >= 6),
+        "access": (r"AKIA[A-Z0-9]+", 0, lambda m: len(m[0]) >= 20),
+        "hex": (r"[0-9a-f]+", 0, lambda m: len(m[0]) >= 24),
+        "bare_key": (r"(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_.-])", 0, lambda m: re.search("[0-9]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0])),
+        "identifier": (rf"(?<![A-Za-z0-9])(?:user|username|login|account|client_id|access_key_id){word}[A-Za-z0-9._@-]{{3,}}", re.I, bool),
+        "endpoint": (r"(?:https?|postgres|postgresql|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]+", re.I, bool),
+    }
+    return [(m.start(), m.end(), k) for k, (p, flags, ok) in kinds.items() for m in re.finditer(p, text, flags | re.A) if ok(m)]

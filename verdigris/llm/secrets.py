@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verdigris.functions.segments import with_matches
+from verdigris.functions.segments import bound, each, with_matches
 from verdigris.llm import common
 from verdigris.llm.pii import digest
 
@@ -34,6 +34,8 @@ PART = {"assign": "secret", "access": "id", "hex": "secret", "bare_key": "secret
 #: Parts that must lie in scope for a weak kind to count, and the scope in characters.
 NEEDS = {"bare_key": ("id",), "identifier": ("secret",), "endpoint": ("id", "secret")}
 SCOPE = 200
+#: Characters of the chunks that a text is cut into to take spans out.
+CHUNK = 256
 
 
 def _parts(docs: DataFrame) -> DataFrame:
@@ -64,53 +66,83 @@ def _parts(docs: DataFrame) -> DataFrame:
     return found.select(*[c for c in docs.columns if c != "text"], F.col("_text").alias("text"), F.concat(*[kept(i, k) for i, k in enumerate(PATTERNS)]).alias("parts"))
 
 
-def _linked(rows: DataFrame, keep: list[Column]) -> DataFrame:
-    """rows (_row, parts, more columns) with spans: the strong parts, and the weak ones whose complement is in scope."""
+def _linked(rows: DataFrame) -> DataFrame:
+    """rows (_row, parts, more columns) with a row for each part, _p, or one with a null for a row without parts; _k is the part's place and
+    _fits holds for strong parts, and for weak ones whose complement is in scope. More columns stand at the part in place 0 only."""
     # Running frames that include rows of the same start; both run forwards, since Spark recomputes shrinking frames.
     upto = Window.partitionBy("_row").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     back = Window.partitionBy("_row").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    more = [c for c in rows.columns if c not in ("_row", "parts")]
     one = rows.select("*", F.posexplode_outer("parts").alias("_k", "_p")).withColumn("_at", F.col("_p.start"))
+    one = one.select("_row", "_p", "_k", "_at", *[F.when(F.coalesce(F.col("_k"), F.lit(0)) == 0, F.col(c)).alias(c) for c in more])
     kind, start, end = F.col("_p.kind"), F.col("_p.start"), F.col("_p.end")
 
     def in_scope(part: str) -> Column:
         such = kind.isin([k for k, v in PART.items() if v == part])
         return (F.coalesce(F.max(F.when(such, end)).over(upto) >= start - SCOPE, F.lit(False))) | F.coalesce(F.min(F.when(such, start)).over(back) <= end + SCOPE, F.lit(False))
 
-    has = {p: in_scope(p) for p in ("id", "secret")}
+    seen = one.withColumns({f"_has_{p}": in_scope(p) for p in ("id", "secret")})
     fits = kind.isin(*BASE)
-    seen = one.select("_row", "_p", "_k", *[F.when(F.coalesce(F.col("_k"), F.lit(0)) == 0, c).alias(f"_keep{i}") for i, c in enumerate(keep)], *[x.alias(f"_has_{p}") for p, x in has.items()])
     for k, parts in NEEDS.items():
         ok = kind == k
         for p in parts:
             ok &= F.col(f"_has_{p}")
         fits |= ok
-    spans = F.array_sort(F.collect_list(F.when(fits, F.col("_p"))))
-    return seen.groupBy("_row").agg(spans.alias("spans"), *[F.first(f"_keep{i}", ignorenulls=True).alias(f"_keep{i}") for i in range(len(keep))])
+    return seen.withColumn("_fits", F.coalesce(fits, F.lit(False))).drop("_has_id", "_has_secret")
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id and spans, array<struct<start,rank,end,kind,match>>, sorted; rank is the kind's place."""
     rows = _parts(docs.select("doc_id", "text")).select(F.monotonically_increasing_id().alias("_row"), "doc_id", "parts")
-    return _linked(rows, [F.col("doc_id")]).select(F.col("_keep0").alias("doc_id"), "spans")
+    spans = F.array_sort(F.collect_list(F.when(F.col("_fits"), F.col("_p"))))
+    return _linked(rows).groupBy("_row").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), spans.alias("spans")).drop("_row")
+
+
+def _without(text: Column, cuts: Column, mark: str) -> Column:
+    """text with every cut (from, to, marked), in order and apart from each other, taken out and mark put in for those marked.
+
+    The text is cut into chunks once, and what stays is put together from parts of chunks, so no step walks the text from its start.
+    """
+    whole = F.length(text)
+
+    def joined(v: Column) -> Column:
+        chunk, cut = v["chunks"], v["cuts"]
+
+        def stays(low: Column, high: Column) -> Column:
+            n = F.lit(CHUNK)
+            ids = F.when(high > low, F.sequence(F.floor(low / n).cast("int"), F.floor((high - 1) / n).cast("int"))).otherwise(F.array().cast("array<int>"))
+            return F.transform(ids, lambda k: F.substr(F.get(chunk, k), F.greatest(low - k * n, F.lit(0)) + 1, F.least(high, (k + 1) * n) - F.greatest(low, k * n)))
+
+        def step(c: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(cut, i - 1)["to"]).otherwise(F.lit(0))
+            return F.concat(stays(before, c["from"]), F.when(c["marked"], F.array(F.lit(mark))).otherwise(F.array().cast("array<string>")))
+
+        return F.array_join(F.flatten(F.transform(cut, step)), "")
+
+    end = F.struct(whole.alias("from"), whole.alias("to"), F.lit(False).alias("marked"))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return bound(F.struct(chunks.alias("chunks"), F.concat(cuts, F.array(end)).alias("cuts")), joined)
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every found secret replaced by mark and n_chars brought up to date, all rows and columns kept.
 
-    Only rows with candidates are shuffled; the others pass straight through.
+    Only rows with candidates are shuffled; the others pass straight through. Spans may overlap: what a running maximum of ends
+    says is gone already isn't cut again, and spans that overlap are one mark.
     """
     cols = docs.columns
     rows = _parts(docs.select(F.struct(*cols).alias("_doc"), "text")).withColumn("_row", F.monotonically_increasing_id())
-    rest = rows.filter(F.size("parts") == 0).select("_doc.*")
-    found = _linked(rows.filter(F.size("parts") > 0), [F.col("_doc")]).select(F.col("_keep0").alias("_doc"), "spans")
-    # Spans may overlap: each cuts from where the ones before it end.
+    # Not a filter on parts, which Spark would push below them and work out anew for each element of its own lambdas.
+    rest = each(rows, [], F.when(F.size("parts") == 0, F.array("_doc")), "_doc").select("_doc.*")
+    earlier = Window.partitionBy("_row").orderBy("_at", "_k").rowsBetween(Window.unboundedPreceding, -1)
+    one = _linked(rows.filter(F.size("parts") > 0).select("_row", "parts", "_doc"))
+    one = one.withColumn("_gone", F.coalesce(F.max(F.when(F.col("_fits"), F.col("_p.end"))).over(earlier), F.lit(0)))
+    start, end, gone = F.col("_p.start"), F.col("_p.end"), F.col("_gone")
+    cut = F.struct(F.greatest(start, gone).alias("from"), F.greatest(end, gone).alias("to"), (start >= gone).alias("marked"))
+    # A list, of one element, as first() would copy the row's text at each of its parts.
+    found = one.groupBy("_row").agg(F.get(F.collect_list("_doc"), F.lit(0)).alias("_doc"), F.array_sort(F.collect_list(F.when(F.col("_fits"), cut))).alias("_cuts"))
     text = F.col("_doc.text")
-    ends = F.transform("spans", lambda s, i: F.array_max(F.concat(F.array(F.lit(0)), F.transform(F.slice("spans", F.lit(1), i), lambda x: x["end"]))))
-    cut = found.withColumn("_from", ends)
-    piece = F.transform("spans", lambda s, i: F.when(s["start"] >= F.get("_from", i), F.concat(F.substr(text, F.get("_from", i) + 1, s["start"] - F.get("_from", i)), F.lit(mark))).otherwise(F.lit("")))
-    tail = F.substr(text, F.array_max(F.transform("spans", lambda s: s["end"])) + 1, F.length(text))
-    new = F.when(F.size("spans") > 0, F.concat(F.array_join(piece, ""), tail)).otherwise(text)
-    done = cut.select("_doc", new.alias("_new"))
+    done = found.select("_doc", F.when(F.size("_cuts") > 0, _without(text, F.col("_cuts"), mark)).otherwise(text).alias("_new"))
     out = {"text": F.col("_new"), "n_chars": F.length("_new").cast(docs.schema["n_chars"].dataType) if "n_chars" in cols else None}
     return rest.unionByName(done.select(*[out[c].alias(c) if c in out else F.col("_doc")[c].alias(c) for c in cols]))
 
