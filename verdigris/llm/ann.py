@@ -3,7 +3,7 @@
 Codebooks are fitted on a bounded sample with the score-aware loss: the residual's part parallel to
 the vector costs ETA times its orthogonal part, since it is the parallel part that shifts large inner
 products. Every vector is then indexed, once: a shard is a row of a table in the shared folder, with packed codes (two per byte), the vectors and
-the bounds of their errors. Queries go in blocks of bounded size; a block scans every shard's codes with lookup tables, one table
+the bounds of their errors. Queries are a table of blocks of bounded size; a block is broadcast to scan every shard's codes with lookup tables, one table
 entry for each byte of codes, and scores the best SEED of the shard exactly in double precision. The
 worst of their k best is a threshold t: every row of the shard that can reach it is scored exactly, too.
 With code vector c and residual u - c = a u + o of a unit vector u (o orthogonal to u), the score s with
@@ -12,7 +12,7 @@ below for s >= t > 0. So no row is lost, and the window narrows as t nears 1, as
 copies. The shards' few best rows meet in one window by query.
 
 Defined cases: vectors that are null, empty, zero, of another length than most rows of the index, or hold
-null or non-finite components take no part. Equal vectors share one code row, of which the smallest
+null or non-finite components take no part; all others do, however large or small their components are. Equal vectors share one code row, of which the smallest
 ids are kept, as many as can be reported. Ties go to the smaller id; repeated ids are repeated rows. Extra columns are ignored, but
 for those that the query condition reads. Empty tables, or no query, give no rows.
 """
@@ -31,8 +31,8 @@ from verdigris.llm import common
 
 #: Bound of the rows that codebooks are fitted on (expected number), dimensions of a codebook, weight of parallel error.
 SAMPLE, SUB, ETA = 8192, 2, 4.0
-#: Bytes of a shard's vectors, queries of a block, rows of a shard whose exact scores give the threshold, and rows scored at once.
-SHARD_BYTES, BLOCK_QUERIES, SEED, SCORED_ROWS = 8 << 20, 4096, 256, 4096
+#: Bytes of a shard's vectors and of a block's queries, rows of a shard whose exact scores give the threshold, and rows scored at once.
+SHARD_BYTES, BLOCK_BYTES, SEED, SCORED_ROWS = 8 << 20, 8 << 20, 256, 4096
 _CENTRES, _ROUNDS = 16, 8
 
 
@@ -89,6 +89,11 @@ def _units(x: np.ndarray) -> np.ndarray:
     return (x / big) / np.linalg.norm(x / big, axis=1, keepdims=True)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by a power of two so that the largest component is between a half and one: cosines stay the same to the last bit, and no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def _padded(x: np.ndarray) -> np.ndarray:
     """Columns of zeros up to a whole number of code bytes."""
     return np.pad(x, ((0, 0), (0, -x.shape[1] % (2 * SUB))))
@@ -108,7 +113,7 @@ def _rounding(dim: int) -> float:
 def _index_shard(ids: np.ndarray, x: np.ndarray, books: np.ndarray) -> dict[str, np.ndarray]:
     """The arrays of one shard."""
     order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], np.ascontiguousarray(x[order])
+    ids, x = ids[order], np.ascontiguousarray(_scaled(x[order]))
     _, first, group = np.unique(x.view(np.dtype((np.void, x.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
     by_group = np.argsort(group, kind="stable")
     begin = np.searchsorted(group[by_group], np.arange(len(first) + 1))
@@ -177,16 +182,28 @@ def build_index(good: DataFrame, books, shards: int) -> DataFrame:
     return common.materialize(dealt.groupBy("shard").applyInPandas(run, _STORED), "vectors")
 
 
-def _scanner(shared, books, k: int):
-    """Scans the stored shards, one at a time, for a block of queries."""
+def _query_blocks(queries: DataFrame, blocks: int) -> DataFrame:
+    """The stored queries: a row for each block, with ids and vectors as bytes."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        x = _scaled(_matrix(part["embedding"]))
+        return pd.DataFrame([{"block": part["block"].iloc[0], "query_ids": part["vec_id"].to_numpy().astype("<i8").tobytes(), "queries": x.astype("<f8").tobytes()}])
+
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int"))
+    return common.materialize(dealt.groupBy("block").applyInPandas(run, "block int, query_ids binary, queries binary"), "queries")
+
+
+def _scanner(books, k: int):
+    """Scans stored shards, one at a time, for the block of queries that stands beside each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries = shared.value
         for b in batches:
             for i in range(b.num_rows):
+                dim = b.column("dim")[i].as_py()
                 stored = {n: np.frombuffer(b.column(n)[i].as_buffer(), t) for n, t in _ARRAYS.items()}
-                stored["x"] = stored["x"].reshape(-1, b.column("dim")[i].as_py())
+                stored["x"] = stored["x"].reshape(-1, dim)
                 stored["columns"] = stored["columns"].reshape(-1, len(stored["first"]))
+                ids, queries = np.frombuffer(b.column("query_ids")[i].as_buffer(), "<i8"), np.frombuffer(b.column("queries")[i].as_buffer(), "<f8").reshape(-1, dim)
                 q, v, score = (np.concatenate(x) for x in zip(*_search_shard(stored, ids, queries, books.value, k), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(v, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "vec_id", "score"])
 
@@ -197,10 +214,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of vectors where is_query holds, its k nearest other rows by cosine."""
     spark = vectors.sparkSession
     good = usable(vectors)
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sizes = good.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).orderBy(F.desc("n"), "dim").limit(1).collect()
     if not sizes or not sizes[0]["q"]:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n, n_queries = sizes[0]["dim"], sizes[0]["n"], sizes[0]["q"]
     good = good.filter(F.size("embedding") == dim)
     share = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < min(1.0, SAMPLE / n) * (1 << 20)
@@ -211,18 +227,19 @@ def nearest(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     shards = max(1, -(-n * dim * 8 // SHARD_BYTES))
     common.bound_batches(spark)
     index = build_index(good, books, shards)
-    n_blocks = -(-n_queries // BLOCK_QUERIES)
-    found = []
+    n_blocks = max(1, -(-n_queries * dim * 8 // BLOCK_BYTES))
+    blocks = _query_blocks(good.filter(is_query), n_blocks)
+    path = common.scratch_path(spark, "nearest")
     for b in range(n_blocks):
-        block = good.filter(is_query & (F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(n_blocks)) == b)).toPandas()
-        if not len(block):
-            continue
-        shared = spark.sparkContext.broadcast((block["vec_id"].to_numpy(), _matrix(block["embedding"])))  # about BLOCK_QUERIES rows
-        found.append(index.mapInArrow(_scanner(shared, books, k), "query_id long, vec_id long, score double"))
-    if not found:
-        return empty
+        # One block, of about BLOCK_BYTES, meets every shard; what it finds is written, so a plan has one scan of the index.
+        block = blocks.filter(F.col("block") == b)
+        met = index.withColumn("block", F.lit(b)).join(F.broadcast(block), "block")
+        met.mapInArrow(_scanner(books, k), "query_id long, vec_id long, score double").write.parquet(f"{path}/part={b}")
+    common.discard(index)
+    common.discard(blocks)
+    found = spark.read.schema("query_id long, vec_id long, score double").parquet(*[f"{path}/part={b}" for b in range(n_blocks)])
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return common.union_all(found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
