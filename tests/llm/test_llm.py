@@ -333,6 +333,52 @@ def test_pieces(spark, docs, rows, none):
     assert all(r.lossless for r in pieces.round_trip(docs, MODEL).collect())
 
 
+UNSPACED = {
+    "cjk": lambda r, n: "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(n)), "base64": lambda r, n: "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n)),
+    "dense": lambda r, n: "".join(r.choices("etaoinsrhl", k=n)), "run": lambda r, n: "k" * n, "mixed": lambda r, n: "".join(r.choices("ab▁\u4e00😀é\x00", k=n)),
+}
+
+
+def test_unspaced_texts_cost_about_what_prose_does():
+    v = pieces.Vocabulary(MODEL)
+    r = random.Random(4)
+    prose = " ".join("".join(r.choices("etaoinshr", k=r.randint(2, 9))) for _ in range(17_000))[:100_000]
+    cost = {}
+    for name, texts in [("prose", [prose]), *((k, [f(r, 100_000)]) for k, f in UNSPACED.items()), *((f"{k}s", [f(r, 3000) for _ in range(40)]) for k, f in UNSPACED.items())]:
+        s, at = pieces.Sampler(v), time.monotonic()
+        ids, n = s.sample(texts, np.arange(len(texts)).astype(np.uint64))
+        cost[name] = (time.monotonic() - at) / sum(len(t.encode()) for t in texts)
+        assert pieces.decode_flat(ids, v)[0].tobytes().decode() == "".join(texts)
+    assert max(cost.values()) < 12 * cost["prose"], cost
+
+
+@pytest.mark.parametrize("kind", sorted(UNSPACED))
+def test_shares_of_long_units_by_brute_force(kind, monkeypatch):
+    """Mean number of pieces and of each piece's uses, drawn from cut units, against sums over the whole lattice of the text."""
+    v, r, many = pieces.Vocabulary(MODEL), random.Random(6), 3000
+    text = UNSPACED[kind](r, 60)
+    marked = text.replace("▁", chr(0x10FFFD)).replace(" ", "▁")
+    edges = []
+    for i in range(len(text)):
+        for j in range(i + 1, min(len(text), i + v.longest) + 1):
+            k, w = v.find(np.array([pieces._hash(marked[i:j])], np.uint64))
+            if k[0] >= 0 or j == i + 1:
+                edges.append((i, j, int(k[0]), np.exp(float(w[0]) if k[0] >= 0 else v.by_bytes)))
+    ahead, behind = np.zeros(len(text) + 1), np.zeros(len(text) + 1)
+    ahead[0] = behind[-1] = 1
+    for i, j, _, w in sorted(edges):
+        ahead[j] += ahead[i] * w
+    for i, j, _, w in sorted(edges, reverse=True):
+        behind[i] += behind[j] * w
+    want: dict[int, float] = {}
+    for i, j, k, w in edges:
+        if k >= 0:
+            want[k] = want.get(k, 0) + ahead[i] * w * behind[j] / ahead[-1]
+    ids, _ = pieces.Sampler(v).sample([text] * many, np.arange(many).astype(np.uint64))
+    seen = np.bincount(ids, minlength=v.size) / many
+    assert max(abs(seen[k] - x) for k, x in want.items()) < 0.02 * max(1, max(want.values())) ** 0.5 + 0.03
+
+
 def test_sampling_follows_the_lattice():
     """Frequencies of sampled segmentations against the exact shares of all paths."""
     v = pieces.Vocabulary(MODEL)
@@ -458,6 +504,20 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0 and ann.nearest(df.filter("vec_id = 0"), F.lit(True)).count() == 0
 
 
+def test_nearest_of_very_large_and_small_vectors(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 32)  # many blocks of queries
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e199]), (2, [1e-200, 0.0]), (3, [1e-310, 1e-311]), (4, [-1e300, 1e300]), (5, [1.0, 2.0]), (6, [1e308, 1e-308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(q.query_id, q.vec_id): q.score for q in ann.nearest(df, F.lit(True), k=9).collect()}
+    assert len(got) == 42
+
+    def cosine(a, b):
+        a, b = [x / max(map(abs, a)) for x in a], [x / max(map(abs, b)) for x in b]
+        return sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5)
+
+    assert all(s == pytest.approx(cosine(rows[a][1], rows[b][1]), abs=1e-12) for (a, b), s in got.items())
+
+
 def test_nearest_in_a_group_of_near_copies(spark):
     """A third of the rows differs by less than the codes tell apart."""
     r = np.random.default_rng(5)

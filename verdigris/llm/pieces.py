@@ -10,8 +10,9 @@ place and the step, so a row's segmentation does not depend on partitions, batch
 
 Weights: pieces have ranks, not probabilities, so a piece weighs rank^-THETA; larger THETA prefers
 long frequent pieces more. A worker keeps the lattices of the first units it meets, up to a bound; all
-others, and all units of over MEMO_CHARS, are built when met. Long units of about one length are padded
-and filtered together, a block of places at a time. Walking is vectorised over all units of a slice of texts.
+others, and all units of over MEMO_CHARS, are built when met. A unit of over MEMO_CHARS, such as a text without spaces, is first cut at the places that no
+piece spans in it, which are nearly all places of a script that the vocabulary spells by characters. What stays long is filtered together
+with others of about one length, padded, a block of places at a time. Walking is vectorised over all units of a slice of texts.
 
 Defined cases: a null text gives a null list and decodes to null; an empty one gives an empty list.
 The space marker in a text is spelled by its bytes, so decoding returns every text exactly. Equal
@@ -38,17 +39,19 @@ THETA = 0.6
 MEMO_UNITS, MEMO_CHARS, SLICE_CHARS = 150_000, 41, 1 << 19
 #: Cells (units x places x reach) that are filtered at once, and edges that a worker has room for between slices.
 _CELLS, _ROOM = 1 << 19, 1 << 23
+#: Units that are filtered one by one.
+FEW = 4
 _UNIT, _WHOLE = re.compile(r" *[^ \n]+| +|\n"), re.compile(r"(?s).+")
 _MARKER = "▁"
 #: What the marker itself becomes when it stands in a text, and the base of the hash of a run of characters.
 _LITERAL, _BASE = 0x110000, np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.array([pow(int(_BASE), k, 1 << 64) for k in range(1 << 10)], np.uint64)
+_GAP = np.uint64(0x110001)
 
 
 def _hash(piece: str) -> int:
     h = 0
     for c in piece:
-        h = (h * int(_BASE) + ord(c)) % (1 << 64)
+        h = (h * int(_BASE) + ord(c) + 1) % (1 << 64)  # plus one, so that no run of the character 0 is as good as nothing
     return h
 
 
@@ -59,6 +62,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_held: list[np.ndarray] = []
+
+
+def running_powers(n: int) -> list[np.ndarray]:
+    """Powers 0 to n at least of the base, and of its inverse modulo 2^64."""
+    if not _held or len(_held[0]) <= n:
+        size, inverse = max(n, 1 << 20), np.uint64(pow(int(_BASE), -1, 1 << 64))
+        _held[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size, b)]) for b in (_BASE, inverse)]
+    return _held
+
+
 class Vocabulary:
     """Pieces of a model file: hashes with ids and log-weights, and the bytes of each id."""
 
@@ -82,12 +96,21 @@ class Vocabulary:
         hashes = np.array([_hash(x[0]) for x in pieces], np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array([x[1] for x in pieces], np.int64)[order]
+        self.first_bits = np.zeros(1 << 20, bool)
+        self.first_bits[hashes >> np.uint64(44)] = True
         self.weights = np.array([-theta * math.log(2 + best - x[2]) for x in pieces])[order]
         self.by_bytes = -theta * math.log(4 * self.size)
         self.lengths = np.array([len(b) for b in self.spelled])
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(self.spelled), np.uint8)
 
+    def has(self, h: np.ndarray) -> np.ndarray:
+        """Which hashes are a piece's; few are, and a table of their first bits tells most of the others."""
+        out = self.first_bits[h >> np.uint64(44)]
+        some = np.flatnonzero(out)
+        out[some] = self.find(h[some])[0] >= 0
+        return out
+
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Id and weight of the piece with each hash; -1 and minus infinity where there is none."""
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
@@ -95,6 +118,25 @@ class Vocabulary:
         return np.where(hit, self.ids[at], -1), np.where(hit, self.weights[at], -np.inf)
 
 
+def _one_unit(weight: np.ndarray, ids: np.ndarray, n: int, total: np.ndarray) -> np.ndarray:
+    """Turn the weights of the edges into the first n places to running shares; the totals of all places, and of those before them."""
+    place, k = np.nonzero(ids[: max(n, 0)] >= 0)
+    sums, shares, begin = total.tolist(), [], 0
+    edges = list(zip((place + k).tolist(), weight[place, k].tolist(), strict=True))
+    reach = weight.shape[1]
+    for j, end in enumerate(np.cumsum(np.bincount(place, minlength=max(n, 0))).tolist()):
+        all_of = [sums[o] + w for o, w in edges[begin:end]]
+        top, running, upto = max(all_of), 0.0, []
+        for x in all_of:
+            running += math.exp(x - top)
+            upto.append(running)
+        sums[j + reach] = top + math.log(running)
+        shares += [x / running for x in upto]
+        begin = end
+    weight[place, k] = shares
+    return np.array(sums)
+
+
 class Sampler:
     """Lattices of units as flat arrays: states with their first incoming edge, edges with running shares."""
 
@@ -138,6 +180,29 @@ class Sampler:
                 part = same[at : at + some]
                 self._filter(part, max(map(len, part)))
 
+    def _cut(self, units: list[str]) -> dict[str, list[str]]:
+        """Units cut at every place that no vocabulary piece spans in them: all paths meet there, so the parts are units of their own."""
+        v = self.v
+        sizes = np.array([len(u) for u in units])
+        ends = np.cumsum(sizes + 1)  # a gap behind each unit
+        points = np.frombuffer("\0".join([*units, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        points = np.where(points == ord(_MARKER), np.uint64(_LITERAL), np.where(points == 32, np.uint64(ord(_MARKER)), points))
+        points[ends - 1] = _GAP
+        n = len(points)
+        power, inverse = running_powers(n)
+        sums = np.r_[np.uint64(0), np.cumsum((points + np.uint64(1)) * inverse[1 : n + 1])]
+        spanned = np.zeros(n + 1, np.int32)  # how many pieces begin to span the cut before a place, less those that end to
+        for length in range(2, min(int(sizes.max()), v.longest) + 1):
+            hit = np.flatnonzero(v.has((sums[length:] - sums[: n + 1 - length]) * power[length : n + 1]))
+            spanned[hit + 1] += 1
+            spanned[hit + length] -= 1
+        safe = np.cumsum(spanned)[:n] == 0
+        out = {}
+        for u, end, size in zip(units, ends.tolist(), sizes.tolist(), strict=True):
+            at = [*np.flatnonzero(safe[end - 1 - size : end - 1]).tolist(), size]
+            out[u] = [u[a:b] for a, b in zip([0, *at[1:-1]] if at[0] == 0 else [0, *at[:-1]], at[1:] if at[0] == 0 else at, strict=True)]
+        return out
+
     def _filter(self, units: list[str], n: int) -> None:
         m, v, reach = len(units), self.v, min(n, self.v.longest)
         sizes = np.array([len(u) for u in units])
@@ -158,9 +223,9 @@ class Sampler:
         back = min(start, reach - 1)  # characters before the block that a piece can begin with
         points = all_points[:, start - back : stop].astype(np.uint64)
         points = np.where(points == ord(_MARKER), np.uint64(_LITERAL), np.where(points == 32, np.uint64(ord(_MARKER)), points))
-        prefix = np.zeros((m, back + n + 1), np.uint64)
-        for j in range(back + n):
-            prefix[:, j + 1] = prefix[:, j] * _BASE + points[:, j]
+        power, inverse = running_powers(back + n)
+        sums = np.zeros((m, back + n + 1), np.uint64)
+        np.cumsum((points + np.uint64(1)) * inverse[1 : back + n + 1], axis=1, out=sums[:, 1:])
         # Edge k of place j comes from place j - reach + k.
         weight, ids = np.full((m, n, reach), -np.inf), np.full((m, n, reach), -1, np.int64)
         inside = np.arange(start, stop) < sizes[:, None]
@@ -168,8 +233,8 @@ class Sampler:
             skip = max(0, length - 1 - back)  # places that a piece of this length can't end at
             if skip >= n:
                 break
-            ends = prefix[:, back + skip + 1 :]
-            found, w = v.find(ends - prefix[:, back + skip + 1 - length : back + n + 1 - length] * _POWERS[length])
+            first, last = back + skip + 1, back + n + 1
+            found, w = v.find((sums[:, first:last] - sums[:, first - length : last - length]) * power[first:last])
             if length == 1 and ((found < 0) & inside).any():
                 own = points[:, back:]
                 lone = np.unique(own[(found < 0) & inside])
@@ -179,7 +244,10 @@ class Sampler:
             ids[:, skip:, reach - length], weight[:, skip:, reach - length] = found, w
         weight[:, :, -1] = np.where(inside, weight[:, :, -1], 0.0)  # padding, whose edges are left out
         total = np.concatenate([before, np.full((m, n), -np.inf)], 1)  # shifted so that all places reach back alike
-        for j in range(n):
+        if m <= FEW:  # place by place in plain numbers, as arrays of so few cost more than they hold
+            for i in range(m):
+                total[i] = _one_unit(weight[i], ids[i], min(n, int(sizes[i]) - start), total[i])
+        for j in range(n if m > FEW else 0):
             weight[:, j] += total[:, j : j + reach]
             top = weight[:, j].max(1)
             mass = np.exp(weight[:, j] - top[:, None])
@@ -197,9 +265,29 @@ class Sampler:
         self.n_edges += len(k)
         return total[:, n:]
 
+    def _walk(self, unit: int, state: int, seed: np.uint64, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The steps of one unit from state on, k steps after its end, in plain numbers: unit, step and piece of each."""
+        first_edge, share, came_from, edges = self.first_edge, self.share, self.came_from, []
+        drawn: list = []
+        while state >= 0:
+            at = len(edges) % 4096
+            if not at:
+                with np.errstate(over="ignore"):
+                    drawn = ((_mix(seed + np.arange(k + len(edges) + 1, k + len(edges) + 4097, dtype=np.uint64)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)).tolist()
+            e, u = int(first_edge[state]), drawn[at]
+            while share[e] <= u:
+                e += 1
+            edges.append(e)
+            state = int(came_from[e])
+        return np.full(len(edges), unit), np.arange(k, k + len(edges)), self.piece[np.array(edges, np.int64)]
+
     def sample(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, and how many each text has; keys: uint64, one for each text."""
         units = [self.v.unit.findall(t) for t in texts]
+        long = sorted({u for t in units for u in t if len(u) > MEMO_CHARS})
+        if long:
+            parts = self._cut(long)
+            units = [[x for u in t for x in parts.get(u, (u,))] for t in units]
         used = set().union(*units)
         new = used.difference(self.last_state)
         if len(self.last_state) + len(new) > MEMO_UNITS and len(new) > len(used) / 2:
@@ -217,7 +305,7 @@ class Sampler:
         seed = _mix(keys[of] + _mix(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)))
         alive, steps, walked, k = np.arange(len(state)), [], [], 0
         length = np.zeros(len(state), np.int64)
-        while len(alive):
+        while len(alive) > FEW:
             e = self.first_edge[state[alive]]
             u = (_mix(seed[alive] + np.uint64(k + 1)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
             look = np.flatnonzero(self.share[e] <= u)
@@ -232,6 +320,9 @@ class Sampler:
             back = self.came_from[e]
             state[alive] = back
             alive = alive[back >= 0]
+        for a in alive.tolist():
+            walked.append(self._walk(a, int(state[a]), seed[a], k))
+            length[a] += len(walked[-1][0])
         ends = np.cumsum(length)
         out = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
         for a, at, p in walked + steps:
