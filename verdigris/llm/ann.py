@@ -235,6 +235,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
         block = blocks.filter(F.col("block") == b)
         met = index.withColumn("block", F.lit(b)).join(F.broadcast(block), "block")
         met.mapInArrow(_scanner(books, k), "query_id long, vec_id long, score double").write.parquet(f"{path}/part={b}")
+    common.delete_at_exit(spark, path)
     common.discard(index)
     common.discard(blocks)
     found = spark.read.schema("query_id long, vec_id long, score double").parquet(*[f"{path}/part={b}" for b in range(n_blocks)])

@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     on a cluster, whose executors wouldn't see each other's files."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", at)
@@ -51,11 +51,36 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Let the driver delete a scratch folder when it ends, if nothing has before."""
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
+
+
+#: Scratch tables that were written and not deleted, in order, for those who know when they are done with.
+written: list[str] = []
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        fs, p = _file_system(spark, path)
+        fs.delete(p, True)
+        if path in written:
+            written.remove(path)
+
+
 def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, tag)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    delete_at_exit(spark, path)
+    written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path  # type: ignore[attr-defined]
     return out
@@ -63,10 +88,7 @@ def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None)
 
 def discard(df: DataFrame) -> None:
     """Delete a scratch table that materialize() wrote and that nothing needs any more."""
-    path = df.scratch  # type: ignore[attr-defined]
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
+    delete(df.sparkSession, [df.scratch])  # type: ignore[attr-defined]
 
 
 def free_shuffles(spark: SparkSession) -> None:

@@ -180,7 +180,9 @@ class ShardStore:
 
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source arrives as a run; after compaction, where each document is."""
-    store = ShardStore(spark, common.scratch_path(spark, "shards"))
+    path = common.scratch_path(spark, "shards")
+    store = ShardStore(spark, path)
     store.append(common.table(spark, sf_dir, "documents"), F.col("source"))
+    common.delete_at_exit(spark, path)
     last = store.compact()
     return store.located().select("row.doc_id", F.lit(last["version"]).cast("long").alias("version"), "run", "tier", "shard")

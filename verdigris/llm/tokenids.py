@@ -341,4 +341,5 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = common.scratch_path(spark, "token-ids")
     write_token_ids(common.table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    common.delete_at_exit(spark, path)
     return read_documents(spark, path)
