@@ -60,9 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """Every stage's result is a table in the shared folder; what a stage worked with, and the result before its own, go when it has ended."""
+    docs, last = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = common.scratch_path(spark, f"pipeline-{name}")
+        path, before = common.scratch_path(spark, f"pipeline-{name}"), len(common.written)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        common.delete_at_exit(spark, path)
+        common.delete(spark, [*common.written[before:], *([last] if last else [])])
+        docs, last = spark.read.parquet(path), path
     return docs
