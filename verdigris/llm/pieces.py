@@ -38,7 +38,9 @@ THETA = 0.6
 #: Bounds of the units whose lattices a worker keeps (number, length of each), and characters of one vectorised slice.
 MEMO_UNITS, MEMO_CHARS, SLICE_CHARS = 150_000, 41, 1 << 19
 #: Cells (units x places x reach) that are filtered at once, and edges that a worker has room for between slices.
-_CELLS, _ROOM = 1 << 19, 1 << 23
+_CELLS, _ROOM = 1 << 19, 1 << 21
+#: Ids that are decoded at once, some 50 bytes of arrays for each byte they spell.
+DECODE_IDS = 1 << 17
 #: Units that are filtered one by one.
 FEW = 4
 _UNIT, _WHOLE = re.compile(r" *[^ \n]+| +|\n"), re.compile(r"(?s).+")
@@ -68,7 +70,7 @@ _held: list[np.ndarray] = []
 def running_powers(n: int) -> list[np.ndarray]:
     """Powers 0 to n at least of the base, and of its inverse modulo 2^64."""
     if not _held or len(_held[0]) <= n:
-        size, inverse = max(n, 1 << 20), np.uint64(pow(int(_BASE), -1, 1 << 64))
+        size, inverse = max(n, 1 << 16), np.uint64(pow(int(_BASE), -1, 1 << 64))
         _held[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size, b)]) for b in (_BASE, inverse)]
     return _held
 
@@ -384,9 +386,26 @@ def _sampled(s: Sampler, texts: list[str | None], keys: np.ndarray) -> pa.ListAr
 
 
 def _texts(ids: pa.ListArray, v: Vocabulary) -> list[str | None]:
-    flat, n = decode_flat(ids.flatten().to_numpy(zero_copy_only=False), v)
-    at = np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))]]
-    return [flat[x:y].tobytes().decode("utf-8", "surrogatepass") if ok else None for x, y, ok in zip(at[:-1], at[1:], ids.is_valid().to_pylist(), strict=True)]
+    """The texts that lists of ids spell, worked out DECODE_IDS ids at a time."""
+    flat = ids.flatten().to_numpy(zero_copy_only=False)
+    at = np.r_[0, np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))]
+    out: list[str | None] = []
+    held, begin = bytearray(), 0  # bytes of the lists from `begin` on
+    size = np.zeros(len(ids), np.int64)
+    for low in range(0, len(flat), DECODE_IDS):
+        spelled, n = decode_flat(flat[low : low + DECODE_IDS], v)
+        held += spelled.tobytes()
+        owner = np.searchsorted(at, np.arange(low, low + len(n)), "right") - 1
+        size += np.bincount(owner, n, len(ids)).astype(np.int64)
+        done = int(np.searchsorted(at, low + len(n), "right")) - 1  # lists that end here
+        upto = 0
+        for k in range(begin, done):
+            out.append(held[upto : upto + size[k]].decode("utf-8", "surrogatepass"))
+            upto += int(size[k])
+        del held[:upto]
+        begin = max(begin, done)
+    out += [""] * (len(ids) - len(out))
+    return [t if ok else None for t, ok in zip(out, ids.is_valid().to_pylist(), strict=True)]
 
 
 def _with_ids(docs: DataFrame, path: str, theta: float, seed: int, key: str, columns: list[tuple[str, str]], more) -> DataFrame:
