@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 from verdigris import casequeries
 from verdigris.functions import texts, urls, web
 from verdigris.operators import aggregates, entities, filters, masking, pages, tables, textsearch, weblog
+from verdigris.operators.keyedtable import KeyedTable
+from verdigris.operators.searchindex import SearchIndex
 from verdigris.session import table
+from verdigris.sources.versions import shared_path
 
 DAY = 86_400_000_000
 #: Latin stand-ins for the Chinese dictionaries, which the test tables don't hold.
@@ -170,6 +174,27 @@ def upsert_latest(spark, sf_dir):
     return tables.upsert_latest(e.filter("event_id % 2 = 1"), e.filter("event_id % 2 = 0").withColumn("_x", F.lit(0)).drop("_x"), "user_id", "event_id")
 
 
+def _stored(spark: SparkSession, key: str) -> KeyedTable:
+    return KeyedTable(spark, shared_path(spark, f"keyed-{uuid.uuid4().hex}"), key, 8)
+
+
+@query("select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events group by 1")
+def stored_upserts(spark, sf_dir):
+    e, users = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), _stored(spark, "user_id")
+    for i in (2, 0, 1):  # later events first, so that earlier ones come late
+        users.upsert(e.filter(F.pmod("event_id", F.lit(3)) == i), "event_id", ("events", (2, 0, 1).index(i)))
+    return users.read().select("user_id", "event_id", "event_type")
+
+
+@query("""with n as (select page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) d from pages), o as (select d, min(page_id) p from n where page_id % 3 = 0 group by 1),
+r as (select d, min(page_id) p from n where page_id % 3 <> 0 and d not in (select d from o) group by 1) select p as page_id, d as domain from (from o union all from r)""")
+def stored_inserts(spark, sf_dir):
+    p, domains = table(spark, sf_dir, "pages").select("page_id", urls.url_domain(F.col("url")).alias("domain")), _stored(spark, "domain")
+    domains.insert(p.filter("page_id % 3 = 0"), [F.asc("page_id")])
+    domains.insert(p.filter("page_id % 3 != 0"), [F.asc("page_id")])
+    return domains.read().select("page_id", "domain")
+
+
 @query("with r as (select sha256(text) as sha256, octet_length(encode(text))::int as length, doc_id, row_number() over (partition by text order by doc_id desc) k from documents where octet_length(encode(text)) >= 128) select sha256, sha256 || '.txt' as file, doc_id as url, length from r where k = 1")
 def content_manifest(spark, sf_dir):
     return tables.content_manifest(table(spark, sf_dir, "documents"), "doc_id", F.encode("text", "UTF-8"), F.lit("txt"), "doc_id")
@@ -341,10 +366,31 @@ def longest_per_source(spark, sf_dir):
 _TOK = r"regexp_extract_all(lower(text), '\p{Han}|(?:[^\P{L}\p{Han}]|\p{N})+')"
 
 
-@query(f"""with t as (select doc_id, {_TOK} w from documents), s as (select doc_id, len(w) dl, len(list_filter(w, lambda x: x = 'license')) a, len(list_filter(w, lambda x: x = 'password')) b from t),
+_BM25 = f"""with t as (select doc_id, {_TOK} w from documents), s as (select doc_id, len(w) dl, len(list_filter(w, lambda x: x = 'license')) a, len(list_filter(w, lambda x: x = 'password')) b from t),
 g as (select count(*) n, avg(dl) al, count(*) filter (where a > 0) da, count(*) filter (where b > 0) db from s)
-select doc_id, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a / (a + 1.2 * (0.25 + 0.75 * dl / al)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b / (b + 1.2 * (0.25 + 0.75 * dl / al)), 6) as score from s, g where a + b > 0""")
+select doc_id, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a / (a + 1.2 * (0.25 + 0.75 * dl / al)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b / (b + 1.2 * (0.25 + 0.75 * dl / al)), 6) as score from s, g where a + b > 0"""
+
+
+_indexes: dict[tuple[str, str], SearchIndex] = {}
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The search index of documents, made once in an application."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _indexes:
+        index = SearchIndex(spark, shared_path(spark, f"search-{uuid.uuid4().hex}"))
+        index.append(table(spark, sf_dir, "documents"))
+        _indexes[at] = index
+    return _indexes[at]
+
+
+@query(_BM25)
 def bm25_scores(spark, sf_dir):
+    return document_index(spark, sf_dir).scores("License password").select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(_BM25)
+def scanned_scores(spark, sf_dir):
     return textsearch.bm25(table(spark, sf_dir, "documents"), "doc_id", "License password").select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -357,7 +403,7 @@ c as (select doc_id, text, total, ln(1 + (n - da + 0.5) / (da + 0.5)) * a / (a +
 k as (select * from c order by round(score, 9) desc, doc_id limit 20)
 select doc_id, round(score, 6) as score, total, regexp_replace(array_to_string({_PARTS}, '|'), '(?i)(license|password)', '<em>\\1</em>', 'g') as highlights from k""")
 def search_page(spark, sf_dir):
-    hits = textsearch.fulltext_search(table(spark, sf_dir, "documents"), "doc_id", "license password", page=1, size=20)
+    hits = document_index(spark, sf_dir).search("license password", table(spark, sf_dir, "documents"))
     return hits.select("doc_id", F.round("score", 6).alias("score"), "total", F.array_join("highlights", "|").alias("highlights"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from verdigris.operators import tables, weblog
+from verdigris.operators.keyedtable import KeyedTable
 
 
 def stream_dedup(stream: DataFrame, key: str, ts: str | None = None, delay: str = "1 day") -> DataFrame:
@@ -32,19 +33,24 @@ def insert_sink(stream: DataFrame, path: str, checkpoint: str, key: str, order:
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_sink(stream: DataFrame, path: str, checkpoint: str, key: str, seq: str) -> StreamingQuery:
-    """Append to a Parquet table the row of each key that a batch wrote last (greatest seq), for latest_rows() to read. Rows written before stay
-    as they are, so a batch costs no more than its own rows; a batch that is written again writes its own folder again."""
+def keyed_sink(stream: DataFrame, table: KeyedTable, checkpoint: str, order: list, keep_old: bool = False) -> StreamingQuery:
+    """Merge each batch into a stored table: keys' rows are replaced by later ones, or with keep_old stay as they are. Only the buckets of a batch's keys are
+    rewritten; a batch that comes again after a failure isn't merged twice, since the version names the batches it holds."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        tables.first_per_key(batch, key, [F.desc(seq)]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        table.merge(batch, order, keep_old, (checkpoint, batch_id))
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def upsert_sink(stream: DataFrame, path: str, checkpoint: str, key: str, seq: str) -> StreamingQuery:
+    """Keep in a stored table the row of each key that was written last (greatest seq; the later batch on ties), for latest_rows() to read."""
+    return keyed_sink(stream, KeyedTable(stream.sparkSession, path, key), checkpoint, [F.desc(seq)])
+
+
 def latest_rows(spark: SparkSession, path: str, key: str, seq: str) -> DataFrame:
-    """The table of upsert_sink(): one row for each key, the one written last (greatest seq; the later batch on ties)."""
-    return tables.first_per_key(spark.read.parquet(path), key, [F.desc(seq), F.desc("batch")]).drop("batch")
+    """The table of upsert_sink(): one row for each key, of the last version."""
+    return KeyedTable(spark, path, key).read()
 
 
 def _batches_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
