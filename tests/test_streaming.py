@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verdigris.operators import tables, weblog
+from verdigris.operators.keyedtable import KeyedTable
 from verdigris.streaming import streams
 
 S = 1_000_000
@@ -90,3 +91,79 @@ def test_upsert_sink(spark, tmp_path):
         want = sorted(map(tuple, tables.upsert_latest(df, spark.createDataFrame(want or [], df.schema), "k", "seq").collect()))
         assert sorted(map(tuple, streams.latest_rows(spark, str(tmp_path / "out"), "k", "seq").select("k", "seq", "v").collect())) == want
     assert want == [("a", 3, "y"), ("b", 2, "tie"), ("c", 5, "last")]
+
+
+def stepwise(spark, tmp_path, parts, make, name, mode="append"):
+    """Run a query over parts, one batch each; what it gives, and its progress."""
+    got, progress = [], []
+    for part in parts:
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(part.schema).parquet(str(tmp_path / "in"))
+        q = make(stream).writeStream.foreachBatch(lambda b, _: got.extend(b.collect())).queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        progress += [p for p in q.recentProgress if p.stateOperators]
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return got, progress
+
+
+def timed(spark, rows):
+    return spark.createDataFrame(rows, "client string, t double, id int").select("client", F.timestamp_micros(((F.col("t") + 1000) * S).cast("long")).alias("ts"), "id")  # the first watermark is the epoch
+
+
+def test_state_of_idle_clients_ends_and_late_rows_are_counted(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    late = streams.LateRows()
+    spark.streams.addListener(late)
+    velocity = {"window_us": 8 * S, "threshold": 5, "block_us": 4 * S}
+    first = timed(spark, [("ab"[i % 3 == 0], float(i), i) for i in range(40)])
+    second = timed(spark, [("c", 500.0, 100), ("c", 501.0, 101)])
+    third = timed(spark, [("a", 30.0, 200), ("b", 39.0, 201), ("d", 1000.0, 202), ("a", 1000.5, 203)])  # two come too late
+    fourth = timed(spark, [("d", 2000.0, 300)])
+    make = lambda s: streams.stream_admission(s, F.col("client"), F.col("ts"), F.col("id"), velocity, 6, 20 * S, delay="10 seconds")
+    try:
+        got, progress = stepwise(spark, tmp_path, [first, second, third, fourth], make, "admission", "update")
+    finally:
+        spark.streams.removeListener(late)
+    batch = weblog.admission(first.union(second), "client", F.lit("x"), "ts", "id", F.lit(False), F.lit(False), velocity, (), ("d", 6, 20)).collect()
+    want = sorted((r.client, r.id, r.verdict) for r in batch) + [("a", 203, "allow"), ("d", 202, "allow"), ("d", 300, "allow")]
+    assert sorted((r.client, r.id, r.verdict) for r in got) == sorted(want)
+    assert late.counts["admission"] == 2
+    held = [p.stateOperators[0].numRowsTotal for p in progress]
+    assert held[0] > 0 and held[-1] < held[0] and held[-1] <= 4, held  # what the last client has, and nothing of the others
+
+
+def test_late_rows_of_dedup_and_facets_are_counted(spark, tmp_path):
+    late = streams.LateRows()
+    spark.streams.addListener(late)
+    parts = [timed(spark, x) for x in ([("a", 10_000.0, 1)], [("b", 10_000.0, 2), ("a", 1.0, 3), ("c", 2.0, 4)], [("b", 90_000.0, 5)], [("x", 5.0, 6)])]
+    try:
+        got, _ = stepwise(spark, tmp_path / "1", parts, lambda s: streams.stream_dedup(s, "client", "ts", "1 hour"), "dedup")
+        facets, _ = stepwise(spark, tmp_path / "2", parts, lambda s: streams.stream_facets(s, "ts", "client", "10 minutes", delay="1 hour"), "facets")
+    finally:
+        spark.streams.removeListener(late)
+    assert sorted(r.id for r in got) == [1, 2] and late.counts["dedup"] == 3
+    assert sorted((r.client, r.n) for r in facets) == [("a", 1), ("b", 1)] and late.counts["facets"] == 3
+
+
+def test_daily_and_full_runs(spark, tmp_path):
+    df = spark.createDataFrame([("u1", "title", "body")], "url string, title string, content string")
+    df.write.parquet(str(tmp_path / "in"))
+    at = (str(tmp_path / "in"), df.schema, str(tmp_path / "out"), str(tmp_path / "cp"))
+    streams.incremental_run(spark, *at, content=("content",))
+    streams.incremental_run(spark, *at, content=("content",))
+    df.withColumn("url", F.lit("u2")).write.mode("append").parquet(str(tmp_path / "in"))
+    streams.incremental_run(spark, *at, mode="full", content=("content",))
+    streams.incremental_run(spark, *at, content=("content",))
+    daily, full = (spark.read.parquet(str(tmp_path / "out" / m)) for m in ("daily", "full"))
+    assert daily.columns == ["url", "title"] and sorted(r.url for r in daily.collect()) == ["u1", "u2"]
+    assert full.columns == df.columns and sorted(r.url for r in full.collect()) == ["u1", "u2"]
+
+
+def test_keyed_sink_merges_a_batch_once(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", 1)], "k string, seq int")
+    table = KeyedTable(spark, str(tmp_path / "t"), "k", 4)
+    for rows in (df, df.withColumn("seq", F.lit(2)).filter("k = 'a'")):
+        rows.write.mode("append").parquet(str(tmp_path / "in"))
+        streams.keyed_sink(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), table, str(tmp_path / "cp"), [F.desc("seq")], keep_old=True).awaitTermination()
+    assert sorted(map(tuple, table.read().collect())) == [("a", 1), ("b", 1)]
+    assert table.merge(df.withColumn("seq", F.lit(9)), [F.desc("seq")], batch=(str(tmp_path / "cp"), 1)) == table.versions.read()
