@@ -9,8 +9,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from verdigris.operators import elements as el
 from verdigris.operators import aggregates, entities, filters, masking, pages, tables, textsearch, weblog
-from verdigris.plans.documents import run_pipeline
+from verdigris.plans.documents import parse_files, run_pipeline
 from verdigris.sources import office, registry
 
 S = 1_000_000
@@ -268,6 +269,71 @@ def test_files(spark, tmp_path):
     assert got["a.docx"].text == "一\n\n二" and got["a.docx"].tables[0]["rows"] == [["c"]]
     assert got["b.xlsx"].text == "[S1]\nh |  | 5" and got["b.xlsx"].tables[0]["sheet"] == "S1"
     assert got["bad.docx"].error.startswith("BadZipFile")
+    assert (got["a.docx"].metadata.title, got["a.docx"].metadata.paragraphs, got["a.docx"].metadata.tables_count) == ("a.docx", 2, 1)
+    assert (got["b.xlsx"].metadata.sheets, got["b.xlsx"].metadata.tables_count) == (["S1"], 1) and got["bad.docx"].metadata is None
+
+
+def test_files_of_all_kinds_go_through_the_pipeline(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "a.txt").write_bytes("项目 联系人\r\n13800138000".encode())
+    (tmp_path / "deep" / "b.TXT").write_bytes("环境影响报告".encode("gbk"))
+    (tmp_path / "c.html").write_bytes("<html><style>p{}</style><p>数据 &amp; <b>x</b></p>\xff</html>".encode("utf-8").replace("ÿ".encode(), b"\xff"))
+    (tmp_path / "d.Htm").write_bytes(b" ")
+    (tmp_path / "e.pdf").write_bytes(b"%PDF-")
+    (tmp_path / "f.exe").write_bytes(b"MZ")
+    (tmp_path / "big.txt").write_bytes(b"x" * 5000)
+    (tmp_path / "noext").write_bytes(b"x")
+    files = registry.scan_files(spark, str(tmp_path), max_bytes=4000)
+    assert files.count() == 8 and sorted(r.error or "" for r in files.collect()) == [""] * 5 + ["FILE_TOO_LARGE", "UNSUPPORTED_TYPE", "UNSUPPORTED_TYPE"]
+    parsed = parse_files(files)
+    got = {r.path.rpartition("/")[2]: r for r in parsed.collect()}
+    assert got["a.txt"].text == "项目 联系人\n13800138000" and got["a.txt"].metadata.encoding == "utf-8" and got["a.txt"].metadata.file_size == 29
+    assert got["b.TXT"].text == "环境影响报告" and got["b.TXT"].metadata.encoding == "gbk"
+    assert got["c.html"].text == "p{}\n数据 &\nx\n\ufffd" and got["d.Htm"].text == ""
+    assert {k: r.error for k, r in got.items() if r.error} == {"e.pdf": "NO_PARSER", "f.exe": "UNSUPPORTED_TYPE", "noext": "UNSUPPORTED_TYPE", "big.txt": "FILE_TOO_LARGE"}
+    done = {r.path.rpartition("/")[2]: r for r in run_pipeline(parsed, "path", error="error").collect()}
+    assert done["a.txt"].n_masks == 1 and "13800138000" not in done["a.txt"].text and done["b.TXT"].stages_completed == ["parse", "sanitize", "ner", "embed"]
+    assert done["big.txt"].errors[0].error == "FILE_TOO_LARGE" and not done["big.txt"].stages_completed
+
+
+def test_files_beyond_the_session_limit_are_not_read(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"x" * 200)
+    (tmp_path / "b.txt").write_bytes(b"y")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 100)
+    try:
+        got = {r.path[-5:]: (r.error, r.content) for r in registry.scan_files(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert got == {"a.txt": ("FILE_TOO_LARGE", None), "b.txt": (None, b"y")}
+
+
+def test_elements_nest(spark):
+    html = "<div id=a class='x y'>one<div>two</div>three<p>four<p>five</div><table><tr><td>1<table><tr><td>in</td></tr></table><td>2</table><br/><script>var a='<div>'</script><img src=q><span>end"
+    rows = spark.createDataFrame([(1, html), (2, None), (3, "</div>x</p>")], "page_id int, html string")
+    got = {r.page_id: r for r in el.with_tree(rows, keep=("page_id",)).select("page_id", "texts", "nodes", *[
+        el.text(el.first_such("nodes", el.such("div", "y", id="a")), "|").alias("a"), el.text(el.first_such("nodes", el.such("table"))).alias("t"), F.size(el.within(el.first_such("nodes", el.such("tr")))).alias("n"),
+        el.value(el.first_such("nodes", el.such("img")), "src").alias("src"), el.text(el.first_such("nodes", el.such("span"))).alias("s"), el.text(el.first_such("nodes", el.such("h1"))).alias("none"),
+    ]).collect()}
+    r = got[1]
+    assert (r.a, r.t, r.n, r.src, r.s, r.none) == ("one|two|three|four|five", "1in2", 5, "q", "end", None)
+    assert all(n.end > n.id >= 0 and n.parent < n.id for n in r.nodes) and [n.tag for n in r.nodes if n.parent == -1] == ["div", "table", "br", "script", "img", "span"]
+    assert got[2].nodes == [] and got[2].texts == [] and got[3].texts == ["x"]
+
+
+def test_details_of_nested_blocks(spark):
+    html = ('<ul class="project_ul"><li><div class="project_li_l">报告类型</div><div class="project_li_r"><div>书</div>表</div></li></ul><div class="detail_main"><div>建设单位：甲</div><div>联系人：乙<div>邮箱：a@b.cn</div></div></div>'
+            '<div class="detail_fj"><a class="down-publish-att" data="1">f.pdf</a><b>-</b><span>1 MB</span><a class="down-publish-att">g</a></div><div class="top_details"><a>张三</a>发表于 2026-05-06 23:12 </div>')
+    r = pages.detail_fields(spark.createDataFrame([(1, html)], "page_id int, html string")).first()
+    assert (r.report_type, r.company, r.contact_person, r.email, r.post_author, r.post_time) == ("书表", "甲", "乙", "a@b.cn", "张三", "2026-05-06 23:12")
+    assert [tuple(a) for a in r.attachments] == [("1", "f.pdf", "1 MB"), ("", "g", "")]
+    none = pages.detail_fields(spark.createDataFrame([(1, None), (2, "<p>x")], "page_id int, html string")).collect()
+    assert all(r.attachments == [] and r.description is None and r.post_time is None for r in none)
+
+
+def test_page_with_total(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 3 == 0]) for i in range(50)], "id int, k string")
+    got = filters.list_with_total(df, "id", {"k": "a"}, 2, 10).collect()
+    assert [r.total for r in got] == [33] * 10 and filters.list_with_total(df, "id", {"k": "z"}).count() == 0
 
 
 def test_early_stop_and_cutoff(spark):

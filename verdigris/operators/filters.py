@@ -30,6 +30,12 @@ def list_reports(df: DataFrame, key: str, equals: dict[str, object] | None = Non
     return paged(df, [key], page, size)
 
 
+def list_with_total(df: DataFrame, key: str, equals: dict[str, object] | None = None, page: int = 1, size: int = 20) -> DataFrame:
+    """list_reports with total, the number of rows on all pages: one more count of the rows that meet the equalities, a row that joins the page."""
+    met = search_filters(df, equals)
+    return paged(met, [key], page, size).join(F.broadcast(met.agg(F.count("*").alias("total"))))
+
+
 def search_filters(df: DataFrame, equals: dict[str, object] | None = None, date: str | None = None, date_from=None, date_to=None) -> DataFrame:
     """Equalities and an inclusive date range, put before any scoring."""
     for c, v in (equals or {}).items():

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from verdigris.functions import dates, texts, titles, urls
 from verdigris.functions.segments import each
 from verdigris.functions.texts import strip
+from verdigris.operators import elements as el
 from verdigris.operators.filters import incremental_cutoff
 
 # Labels of the detail list, hints of document links, and character references that pages use.
@@ -35,11 +36,6 @@ def attribute(tag: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(tag, rf"(?is)(?:^|\s){re.escape(name)}\s*=\s*[\"']?([^\"'>]*)", 1), F.lit(""))
 
 
-def inner(html: Column, tag: str, klass: str) -> Column:
-    """Plain text of the first element of a tag and class that holds no element of the same tag; '' if there is none."""
-    return plain(F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*class\s*=\s*[\"'][^\"']*\b{klass}\b[^\"']*[\"'][^>]*>(.*?)</{tag}>", 1))
-
-
 def extract_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """key, page_url, pos, href, url (resolved), text, title, of every anchor with an href, in page order."""
     body = F.regexp_replace(F.col(html), r"(?s)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", "")
@@ -49,11 +45,6 @@ def extract_links(pages: DataFrame, key: str = "page_id", url: str = "url", html
     return rows.filter("href is not null").select(key, "page_url", "pos", "href", urls.resolve_url(F.col("page_url"), F.col("href")).alias("url"), F.coalesce(F.nullif("text", F.lit("")), "title", F.lit("")).alias("text"), "title")
 
 
-# Elements without content, and what a start tag ends of the elements that are still open.
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_ENDS = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
-
-
 class _Anchors(HTMLParser):
     """The anchors of a page with their own and their parents' text, stripped text nodes put together, and the links of the largest list around each."""
 
@@ -64,9 +55,9 @@ class _Anchors(HTMLParser):
         self.open: list[dict] = [{"tag": "", "at": 0, "inside": [], "links": 0, "anchor": None}]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _VOID:
+        if tag in el.VOID:
             return
-        while self.open[-1]["tag"] in _ENDS.get(tag, ()):
+        while self.open[-1]["tag"] in el.ENDS.get(tag, ()):
             self._close()
         anchor, has = None, dict(attrs)
         if tag == "a" and has.get("href"):
@@ -144,38 +135,61 @@ def is_list_page(links: DataFrame, key: str = "page_id", least: int = 3, matches
 
 
 def listing_rows(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of listing tables with five cells or more and a link with an id: columns to keep and twelve others."""
-    rows = each(pages, [*keep, F.col(url).alias("_u")], F.regexp_extract_all(F.col(html), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1)), "_r")
-    cells = rows.select(*keep, "_u", F.regexp_extract_all("_r", F.lit(r"(?is)<td\b[^>]*>.*?</td>"), F.lit(0)).alias("_c")).filter((F.size("_c") >= 5) & ~F.get("_c", F.lit(0)).rlike(r"^(?is)<td\b[^>]*table_title"))
-    c = [F.get("_c", F.lit(i)) for i in range(5)]
-    href = attribute(F.regexp_extract(c[0], r"(?is)<a\b([^>]*)>", 1), "href")
-    counts = F.regexp_extract_all(c[3], F.lit(r"(?is)<span\b[^>]*>(.*?)</span>"), F.lit(1))
-    two = F.size(counts) >= 2
+    """Rows of listing tables with five cells or more and a link with an id: columns to keep and twelve others. A row's cells are its own: those
+    of a table within a cell are that table's rows'."""
+    tree = el.with_tree(pages, html, tuple(dict.fromkeys((*keep, url)))).select(*keep, F.col(url).alias("_u"), "nodes", "texts")
+    rows = each(tree, [*keep, "_u", "nodes", "texts"], el.all_such("nodes", el.such("tr")), "_r")
+    inner_rows = el.all_such(el.within(F.col("_r")), el.such("tr"))
+    own = rows.withColumn("_inner", inner_rows).withColumn("_c", F.filter(el.within(F.col("_r")), lambda n: n["tag"].isin("td", "th") & ~F.exists("_inner", lambda r: (r["id"] < n["id"]) & (n["id"] < r["end"]))))
+    cells = own.withColumn("_c", F.filter("_c", lambda n: n["tag"] == "td")).filter((F.size("_c") >= 5) & ~F.array_contains(F.get("_c", F.lit(0))["classes"], "table_title"))
+    c = [el.within(F.get("_c", F.lit(i))) for i in range(5)]
+
+    def found(cell: int, tag: str, klass: str | None = None) -> Column:
+        return F.coalesce(el.text(el.first_such(c[cell], el.such(tag, klass))), F.lit(""))
+
+    href = F.coalesce(el.value(F.get(F.filter(c[0], lambda n: (n["tag"] == "a") & F.map_contains_key(n["attrs"], "href")), F.lit(0)), "href"), F.lit(""))
+    spans = el.all_such(c[3], el.such("span"))
+    two = F.size(spans) >= 2
+    bottom = el.first_such(c[1], el.such("div", "f_common_bottom"))
+    # Some listings have no block around location and status.
+    where = F.when(bottom.isNotNull(), el.within(bottom)).otherwise(c[1])
     out = cells.select(
-        *keep, F.regexp_extract(href, r"id=([\w]+)", 1).alias("publish_id"), urls.resolve_url(F.col("_u"), href).alias("detail_url"), inner(c[1], "a", "f_title").alias("title"),
-        F.regexp_replace(plain(F.regexp_extract(c[1], r"(?is)<em\b[^>]*>(.*?)</em>", 1)), r"^[\[\]]+|[\[\]]+$", "").alias("category_tag"),
-        F.coalesce(F.regexp_extract(inner(c[1], "div", "fct_att"), r"(\d+)", 1).try_cast("int"), F.lit(0)).alias("attachment_count"),
-        inner(c[1], "div", "fcb-location").alias("location"), inner(c[1], "span", "gsz").alias("status"), inner(c[2], "span", "f_time").alias("reply_time"),
-        F.when(two, plain(F.get(counts, F.lit(0)))).otherwise("0").alias("download_count"), F.when(two, plain(F.get(counts, F.lit(1)))).otherwise("0").alias("view_count"),
-        inner(c[4], "a", "f_peo").alias("author"), inner(c[4], "span", "f_time").alias("publish_time"),
+        *keep, F.regexp_extract(href, r"id=([\w]+)", 1).alias("publish_id"), urls.resolve_url(F.col("_u"), href).alias("detail_url"), found(1, "a", "f_title").alias("title"),
+        F.regexp_replace(found(1, "em"), r"^[\[\]]+|[\[\]]+$", "").alias("category_tag"), F.coalesce(F.regexp_extract(found(1, "div", "fct_att"), r"(\d+)", 1).try_cast("int"), F.lit(0)).alias("attachment_count"),
+        F.coalesce(el.text(el.first_such(where, el.such("div", "fcb-location"))), F.lit("")).alias("location"), F.coalesce(el.text(el.first_such(where, el.such("span", "gsz"))), F.lit("")).alias("status"),
+        found(2, "span", "f_time").alias("reply_time"), F.when(two, el.text(F.get(spans, F.lit(0)))).otherwise("0").alias("download_count"), F.when(two, el.text(F.get(spans, F.lit(1)))).otherwise("0").alias("view_count"),
+        found(4, "a", "f_peo").alias("author"), found(4, "span", "f_time").alias("publish_time"),
     )
     return out.filter("publish_id != ''")
 
 
 def detail_fields(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, the labelled list values, the fields of the content block, and detail_title; missing ones are null."""
-    h = F.col(html)
+    """key, the labelled list values, the fields of the content block, detail_title, post_author and post_time (null where they are missing), and
+    attachments, array<struct<attachment_id,name,size>>."""
+    step = el.with_tree(pages, html, (key,))
+    items = F.transform(el.all_such("nodes", el.such("li")), lambda n: F.struct(
+        el.text(el.first_such(el.within(n), el.such("div", "project_li_l"))).alias("label"), el.text(el.first_such(el.within(n), el.such("div", "project_li_r"))).alias("value")))
+    content = F.coalesce(el.first_such("nodes", el.such("div", id="contentContainer")), el.first_such("nodes", el.such("div", "detail_main")), el.first_such("nodes", el.such("div", "detail_text")))
+    step = step.withColumns({"_items": items, "_content": content, "_fj": el.first_such("nodes", el.such("div", "detail_fj")), "_top": el.first_such("nodes", el.such("div", "top_details"))})
 
     def item(label: str) -> Column:
-        return F.nullif(plain(F.regexp_extract(h, rf"(?is)class=\"project_li_l\"[^>]*>\s*{label}\s*</div>\s*<div[^>]*class=\"project_li_r\"[^>]*>(.*?)</div>", 1)), F.lit(""))
-
-    def block(start: str) -> Column:
-        return F.nullif(F.regexp_extract(h, rf"(?is)<div\b[^>]*{start}[^>]*>(.*?)</div>", 1), F.lit(""))
-
-    content = F.coalesce(block("id=\"contentContainer\""), block("class=\"[^\"]*detail_main"), block("class=\"[^\"]*detail_text"))
-    step = pages.select(key, *[item(label).alias(n) for n, label in DETAIL_LABELS.items()], html_to_text(content).alias("description"), F.nullif(inner(h, "span", "box_tit"), F.lit("")).alias("detail_title"))
+        of = F.filter("_items", lambda i: (i["label"] == label) & i["value"].isNotNull())
+        return F.nullif(F.get(of, F.size(of) - 1)["value"], F.lit(""))  # of several the last, as a later one is put over it
+
+    def attachment(a: Column) -> Column:
+        beside = F.get(F.filter("nodes", lambda n: (n["tag"] == "span") & (n["parent"] == a["parent"]) & (n["id"] >= a["end"])), F.lit(0))
+        return F.struct(F.coalesce(el.value(a, "data"), F.lit("")).alias("attachment_id"), el.text(a).alias("name"), F.coalesce(el.text(beside), F.lit("")).alias("size"))
+
+    links = F.when(F.col("_fj").isNotNull(), el.all_such(el.within(F.col("_fj")), el.such("a", "down-publish-att")))
+    kind = "array<struct<attachment_id:string,name:string,size:string>>"
+    posted = el.text(F.col("_top"))
+    out = step.select(
+        key, *[item(label).alias(n) for n, label in DETAIL_LABELS.items()], el.text(F.col("_content"), "\n").alias("description"), F.nullif(el.text(el.first_such("nodes", el.such("span", "box_tit"))), F.lit("")).alias("detail_title"),
+        F.coalesce(F.transform(links, attachment), F.array().cast(kind)).alias("attachments"),
+        F.nullif(strip(F.regexp_extract(posted, r"^(.+?)发表于", 1)), F.lit("")).alias("post_author"), F.nullif(strip(F.regexp_extract(posted, r"发表于\s*([0-9\-:\s]+)", 1)), F.lit("")).alias("post_time"),
+    )
     own = [c.alias(f"{n}_from_content" if n == "project_name" else n) for n, c in zip(texts.FIELD_LABELS, texts.labelled_fields(F.col("description")), strict=True)]
-    return step.select("*", *own)
+    return out.select("*", *own)
 
 
 def attachment_ids(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

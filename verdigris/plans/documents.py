@@ -6,22 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions import texts
-from verdigris.operators import entities, masking, textsearch
+from verdigris.operators import entities, masking, pages, textsearch
 from verdigris.sources import office
 
 STAGES = ("parse", "sanitize", "ner", "embed")
 _ERRORS = "array<struct<stage:string,error:string>>"
 
 
+#: Extensions that Spark's own functions read.
+TEXTS, MARKUPS = ("txt",), ("html", "htm")
+
+
 def parse_files(files: DataFrame) -> DataFrame:
-    """path, text, tables, error of scanned files (path, extension, content, error): DOCX and XLSX are read, what the scan refused keeps its code,
-    and an extension without a parser gets NO_PARSER."""
-    refused = files.filter("error is not null")
-    fine = files.filter("error is null")
-    read = office.parse_office(fine.filter(F.col("extension").isin(*office.EXTENSIONS)))
-    none = F.lit(None).cast(read.schema["tables"].dataType).alias("tables")
-    left = fine.filter(~F.col("extension").isin(*office.EXTENSIONS)).withColumn("error", F.lit("NO_PARSER")).unionByName(refused)
-    return read.unionByName(left.select("path", F.lit(None).cast("string").alias("text"), none, "error"))
+    """path, text, tables, metadata, error of scanned files (path, extension, content, error): texts are UTF-8 or else GBK, of pages their text nodes, a
+    line each; DOCX and XLSX are read in tasks. What the scan refused keeps its code, and an extension without a parser gets NO_PARSER."""
+    fine, ext = files.filter("error is null"), F.col("extension")
+    office_files = office.parse_office(fine.filter(ext.isin(*office.EXTENSIONS)))
+    content, is_text, is_markup = F.col("content"), ext.isin(*TEXTS), ext.isin(*MARKUPS)
+    one_break = lambda t: F.regexp_replace(t, r"\r\n?", "\n")
+    text = F.when(is_text, one_break(texts.decode_text(F.when(is_text, content)))).when(is_markup, pages.html_to_text(one_break(F.make_valid_utf8(F.when(is_markup, content).cast("string")))))
+    encoding = F.when(is_text, F.when(F.is_valid_utf8(content.cast("string")), "utf-8").otherwise("gbk"))
+    known = F.struct(F.element_at(F.split("path", "/"), -1).alias("title"), F.lit(None).cast("int").alias("paragraphs"), F.lit(None).cast("array<string>").alias("sheets"), F.lit(0).alias("tables_count"), encoding.alias("encoding"), F.octet_length(content).cast("long").alias("file_size"))
+    plain = fine.filter(~ext.isin(*office.EXTENSIONS)).select("path", text.alias("text"), F.array().cast(office.TABLES).alias("tables"), F.when(is_text | is_markup, known).alias("metadata"), F.when(~is_text & ~is_markup, "NO_PARSER").alias("error"))
+    refused = files.filter("error is not null").select("path", F.lit(None).cast("string").alias("text"), F.array().cast(office.TABLES).alias("tables"), F.lit(None).cast(office.METADATA).alias("metadata"), "error")
+    return office_files.unionByName(plain).unionByName(refused)
 
 
 def run_pipeline(

@@ -134,6 +134,63 @@ def page_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", pages.html_to_text(F.col("html"), keep_cdata=False).alias("body"))
 
 
+_PLAIN = "trim(regexp_replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'))"
+
+
+@query(rf"""with t as (select page_id, url, regexp_split_to_array(regexp_replace(html, '(?s)<!--.*?-->|(?i)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>', '', 'g'), '(?s)<[^>]*>') p from pages),
+d as (select page_id, url, list_transform(p, lambda x: {_PLAIN.format("x")}) q from t)
+select page_id, 'P' || page_id || 'tail' as project_name, url as company, 'C' || page_id as contact_person, '建设单位：' || url || chr(10) || '联系人：C' || page_id || chr(10) || array_to_string(list_filter(q, lambda x: x <> ''), chr(10)) as description,
+'A' || page_id as attachment_id, 'file 9 KB' as attachment, 'U' || page_id as post_author, '2024-05-06 10:00' as post_time from d""")
+def page_details(spark, sf_dir):
+    """Each page as the content of a detail page, in blocks within blocks."""
+    p = table(spark, sf_dir, "pages")
+    parts = ('<div class="top_details"><b>U', F.col("page_id"), '</b>发表于 <i>2024-05-06 10:00</i></div><ul class="project_ul"><li><div class="project_li_l"><i>项目名称</i></div><div class="x project_li_r"><div>P', F.col("page_id"),
+             '</div><div>tail</div></div></li></ul><div id="contentContainer"><div>建设单位：', F.col("url"), "</div><div><div>联系人：C", F.col("page_id"), "</div><section>", F.col("html"),
+             '</section></div></div><div class="detail_fj"><p><a class="a down-publish-att" data="A', F.col("page_id"), '">file</a><em>x</em><span>9 KB</span></p></div>')
+    whole = F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    found = pages.detail_fields(p.select("page_id", whole.alias("html")))
+    a = F.get("attachments", F.lit(0))
+    return found.select("page_id", "project_name", "company", "contact_person", "description", a["attachment_id"].alias("attachment_id"), F.concat_ws(" ", a["name"], a["size"]).alias("attachment"), "post_author", "post_time")
+
+
+@query(rf"""select page_id, 'p' || page_id as publish_id, regexp_extract(url, '^[a-z]+://[^/?#]*') || '/gs/detail/1?id=p' || page_id as detail_url, {_PLAIN.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} as title,
+(page_id % 7)::int as attachment_count, 'L' || page_id as location, 'N' || page_id as author from pages""")
+def page_listings(spark, sf_dir):
+    """Each page's title as a row of a listing table that has a table within a cell."""
+    p = table(spark, sf_dir, "pages")
+    parts = ('<table><tr><td class="table_title">h</td><td></td><td></td><td></td><td></td></tr><tr><td><table><tr><td>n</td><td>m</td></tr></table><a href="/gs/detail/1?id=p', F.col("page_id"), '">i</a></td><td><a class="f_title">',
+             F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), '</a><div class="fct_att"><i>附件</i> ', F.col("page_id") % 7, '</div><div class="f_common_bottom"><div class="fcb-location"><div>L', F.col("page_id"),
+             '</div></div></div></td><td></td><td></td><td><a class="f_peo">N', F.col("page_id"), "</a></td></tr></table>")
+    whole = F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    return pages.listing_rows(p.select("page_id", "url", whole.alias("html")), keep=("page_id",)).select("page_id", "publish_id", "detail_url", "title", "attachment_count", "location", "author")
+
+
+_NODES = "regexp_split_to_array({}, '(?s)<[^>]*>')"
+
+
+@query(rf"""with p as (select page_id, url, html, regexp_split_to_array(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?i)<script\b[^>]*>') p from pages),
+s as (select *, split_part(p[2], '</script>', 1) body from p),
+n as (select page_id, url, html, {_NODES.format("p[1]")} || case when len(p) > 1 then [body] || {_NODES.format("substr(p[2], length(body) + 10)")} else [] end nodes from s),
+d as (select page_id, url, html, list_transform(nodes, lambda x: regexp_replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '^\s+|\s+$', '', 'g')) q from n)
+select 'page' as kind, page_id as id, array_to_string(list_filter(q, lambda x: x <> ''), chr(10)) as text, octet_length(encode(html)) as file_size, null as encoding from d
+union all select 'document', doc_id, regexp_replace(text, '\r\n?', chr(10), 'g'), octet_length(encode(text)), 'utf-8' from documents""")
+def parsed_files(spark, sf_dir):
+    """Pages and documents as files of two kinds."""
+    from verdigris.plans.documents import parse_files
+
+    rows = table(spark, sf_dir, "pages").select(F.lit("html").alias("extension"), F.col("page_id").alias("id"), F.col("html").alias("t"))
+    rows = rows.unionByName(table(spark, sf_dir, "documents").select(F.lit("txt").alias("extension"), F.col("doc_id").alias("id"), F.col("text").alias("t")))
+    files = rows.select(F.concat_ws("/", "extension", "id").alias("path"), "extension", F.encode("t", "UTF-8").alias("content"), F.lit(None).cast("string").alias("error"))
+    done = parse_files(files).withColumn("_p", F.split("path", "/"))
+    kind = F.when(F.col("_p")[0] == "html", "page").otherwise("document")
+    return done.select(kind.alias("kind"), F.col("_p")[1].cast("long").alias("id"), "text", F.col("metadata.file_size").alias("file_size"), F.col("metadata.encoding").alias("encoding"))
+
+
+@query("select doc_id, source, (select count(*) from documents where lang = 'en') as total from documents where lang = 'en' order by doc_id limit 20 offset 20")
+def report_page_total(spark, sf_dir):
+    return filters.list_with_total(table(spark, sf_dir, "documents"), "doc_id", {"lang": "en", "source": None}, 2, 20).select("doc_id", "source", "total")
+
+
 @query("select page_id, 'html' as file_type, url from pages")
 def document_links(spark, sf_dir):
     return pages.document_links(table(spark, sf_dir, "pages")).select("page_id", "file_type", "url")

@@ -13,7 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 EXTENSIONS = ("docx", "xlsx")
-SCHEMA = "path string, text string, tables array<struct<rows:array<array<string>>,sheet:string>>, error string"
+TABLES = "array<struct<rows:array<array<string>>,sheet:string>>"
+#: What is known of a file; fields that its kind hasn't are null.
+METADATA = "struct<title:string,paragraphs:int,sheets:array<string>,tables_count:int,encoding:string,file_size:long>"
+SCHEMA = f"path string, text string, tables {TABLES}, metadata {METADATA}, error string"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _W, _S = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}", "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
@@ -22,12 +25,12 @@ def _words(node: ET.Element) -> str:
     return "".join(t.text or "" for t in node.iter(f"{_W}t"))
 
 
-def _docx(z: zipfile.ZipFile) -> tuple[str, list[dict]]:
+def _docx(z: zipfile.ZipFile) -> tuple[str, list[dict], dict]:
     body = ET.fromstring(z.read("word/document.xml")).find(f"{_W}body")
     found = [] if body is None else list(body)
     lines = [t for p in found if p.tag == f"{_W}p" and (t := _words(p).strip())]
     tables = [{"rows": [[_words(c).strip() for c in r.findall(f"{_W}tc")] for r in t.findall(f"{_W}tr")], "sheet": None} for t in found if t.tag == f"{_W}tbl"]
-    return "\n\n".join(lines), tables
+    return "\n\n".join(lines), tables, {"paragraphs": len(lines)}
 
 
 def _column(ref: str) -> int:
@@ -51,7 +54,7 @@ def _sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
     return parts
 
 
-def _xlsx(z: zipfile.ZipFile) -> tuple[str, list[dict]]:
+def _xlsx(z: zipfile.ZipFile) -> tuple[str, list[dict], dict]:
     strings = []
     if "xl/sharedStrings.xml" in z.namelist():
         strings = ["".join(t.text or "" for t in s.iter(f"{_S}t")) for s in ET.fromstring(z.read("xl/sharedStrings.xml"))]
@@ -69,11 +72,11 @@ def _xlsx(z: zipfile.ZipFile) -> tuple[str, list[dict]]:
                 rows.append(row)
         parts.append("\n".join([f"[{name}]", *[" | ".join(r) for r in rows]]))
         tables.append({"rows": rows, "sheet": name})
-    return "\n\n".join(parts), tables
+    return "\n\n".join(parts), tables, {"sheets": [t["sheet"] for t in tables]}
 
 
 def parse_office(files: DataFrame) -> DataFrame:
-    """path, text, tables, error for files with path, extension and content; a file that can't be read gives its error."""
+    """path, text, tables, metadata, error for files with path, extension and content; a file that can't be read gives its error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -81,10 +84,11 @@ def parse_office(files: DataFrame) -> DataFrame:
             for path, ext, content in zip(pdf["path"], pdf["extension"], pdf["content"], strict=True):
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        text, tables = {"docx": _docx, "xlsx": _xlsx}[ext](z)
-                    out.append((path, text, tables, None))
+                        text, tables, more = {"docx": _docx, "xlsx": _xlsx}[ext](z)
+                    known = dict.fromkeys(("title", "paragraphs", "sheets", "tables_count", "encoding", "file_size"))
+                    out.append((path, text, tables, known | more | {"title": posixpath.basename(path), "tables_count": len(tables), "file_size": len(content)}, None))
                 except (zipfile.BadZipFile, KeyError, ET.ParseError, ValueError, IndexError, TypeError) as e:
-                    out.append((path, None, [], f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["path", "text", "tables", "error"])
+                    out.append((path, None, [], None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["path", "text", "tables", "metadata", "error"])
 
     return files.filter("content is not null").select("path", "extension", "content").mapInPandas(run, SCHEMA)

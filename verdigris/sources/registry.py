@@ -50,11 +50,22 @@ def seed_urls(sources: DataFrame, paths=BUREAU_PATHS, kind: str = "bureau", url:
 
 
 def scan_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE, extensions=FILE_EXTENSIONS) -> DataFrame:
-    """Files with path, length, extension, error (FILE_TOO_LARGE, UNSUPPORTED_TYPE or null) and content, null where there is an error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    error = F.when(F.col("length") > max_bytes, "FILE_TOO_LARGE").when(~ext.isin(*extensions), "UNSUPPORTED_TYPE")
-    return files.select("path", "length", ext.alias("extension"), error.alias("error"), F.when(error.isNull(), F.col("content")).alias("content"))
+    """Files with path, length, extension, error (FILE_TOO_LARGE, UNSUPPORTED_TYPE or null) and content, null where there is an error.
+
+    Files that fit are read by a scan that looks at names and lengths first, so the others' contents are never read, however large they are;
+    a file beyond the session's own limit for binary files is too large as well. Spark lists no empty files.
+    """
+    most = min(max_bytes, int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str((1 << 31) - 1))))
+    def files():
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True)
+
+    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("extension")
+    names = ",".join("*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions)
+    known = files().option("pathGlobFilter", f"{{{names}}}").load(path).filter(F.col("length") <= most)
+    read = known.select("path", "length", ext, F.lit(None).cast("string").alias("error"), "content")
+    error = F.when(F.col("length") > most, "FILE_TOO_LARGE").when(~F.col("extension").isin(*extensions), "UNSUPPORTED_TYPE")
+    rest = files().load(path).select("path", "length", ext).withColumn("error", error).filter("error is not null")
+    return read.unionByName(rest.withColumn("content", F.lit(None).cast("binary")))
 
 
 def flatten_announcements(df: DataFrame, payload: str = "payload", base: str = "http://www.cninfo.com.cn/", keep: tuple[str, ...] = ()) -> DataFrame:
