@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions.segments import bound, each, literal_starts, with_matches
+from verdigris.operators import dictionary
 
 # Rule patterns with type and score, dictionaries with score, and label types.
 RULES = {
@@ -72,6 +73,37 @@ def keyword_array(text: Column, keywords: dict = KEYWORDS, context: int = 0) ->
     return F.coalesce(F.flatten(F.transform(some, lambda e: F.transform(literal_starts(text, e["word"]), lambda at: span(e, at)))), F.array().cast(f"array<{ENTITY}>"))
 
 
+#: Words from which on texts are read once by an automaton, and not once for each word.
+MANY = 16
+
+
+def with_keywords(df: DataFrame, text: str = "text", keywords: dict = KEYWORDS, context: int = 0, out: str = "keyword_entities") -> DataFrame:
+    """df with a column of keyword_array, however many keywords there are."""
+    entries: dict[str, list[tuple[int, str, float]]] = {}
+    for n, (kind, score, w) in enumerate((t, s, w) for t, (s, ws) in keywords.items() for w in ws):
+        entries.setdefault(w, []).append((n, kind, float(score)))
+    if len(entries) < MANY:
+        return df.withColumn(out, keyword_array(F.col(text), keywords, context))
+    words = sorted(entries)
+
+    def make(automaton: dictionary.Automaton, t: str | None) -> list[dict]:
+        found = []
+        for i, start in automaton.starts(t or ""):
+            word, low, high = words[i], start, start + len(words[i])
+            while context and low > 0 and start - low < context and _is_han(t[low - 1]):
+                low -= 1
+            while context and high < len(t) and high - start - len(word) < context and _is_han(t[high]):
+                high += 1
+            found += [(n, start, {"type": kind, "text": t[low:high], "start": low, "end": high, "score": score}) for n, kind, score in entries[word]]
+        return [e for _, _, e in sorted(found, key=lambda x: x[:2])]
+
+    return dictionary.mapped(df, text, words, out, f"array<{ENTITY}>", make)
+
+
+def _is_han(c: str) -> bool:
+    return "一" <= c <= "鿿" or "㐀" <= c <= "䶿"
+
+
 def _exploded(df: DataFrame, key: str, entities: Column) -> DataFrame:
     return each(df, [key], entities, "_e").select(key, "_e.*")
 
@@ -83,7 +115,7 @@ def rule_entities(df: DataFrame, key: str, text: str = "text", rules: dict = RUL
 
 def keyword_entities(df: DataFrame, key: str, text: str = "text", keywords: dict = KEYWORDS, context: int = 0) -> DataFrame:
     """key, type, text, start, end, score of every occurrence of every keyword."""
-    return _exploded(df, key, keyword_array(F.col(text), keywords, context))
+    return _exploded(with_keywords(df.select(key, text), text, keywords, context, "_found"), key, F.col("_found"))
 
 
 def _greedy(touching: Column) -> Column:
@@ -146,7 +178,8 @@ def bio_entities(tokens: DataFrame, key: str) -> DataFrame:
 def with_entities(df: DataFrame, text: str = "text", keywords: dict = KEYWORDS, out: str = "entities") -> DataFrame:
     """df with a column of the de-duplicated rule and keyword entities of each text, in order; found within the row, nothing is shuffled."""
     ruled = with_rules(df, text, out="_ruled")
-    found = F.when(F.trim(F.coalesce(F.col(text), F.lit(""))) != "", F.concat("_ruled", keyword_array(F.col(text), keywords)))
+    ruled = with_keywords(ruled, text, keywords, out="_worded")
+    found = F.when(F.trim(F.coalesce(F.col(text), F.lit(""))) != "", F.concat("_ruled", "_worded"))
     both = ruled.withColumn("_found", F.coalesce(found, F.array().cast(f"array<{ENTITY}>")))
     return both.select(*df.columns, F.when(F.size("_found") > 0, dedup_array(F.col("_found"))).otherwise(F.col("_found")).alias(out))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.operators.dictionary import words_in_texts
+
 
 def first_per_key(df: DataFrame, key: str, order: list) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order)
@@ -64,12 +66,23 @@ def content_manifest(files: DataFrame, url: str, content: Column, ext: Column, s
 
 
 def match_enterprises(names: DataFrame, links: DataFrame, name: str, title: str, words=("环评", "报告", "公示")) -> DataFrame:
-    """Links whose title holds the enterprise's name or one of the words, for each enterprise. names is a list that fits a broadcast
-    (Spark broadcasts it only below its own size threshold and otherwise loops over blocks of it)."""
-    hit = F.col(title).contains(F.col(name))
+    """Links whose title holds the enterprise's name or one of the words, for each enterprise: columns of both.
+
+    Titles are read once for all names (operators.dictionary); a title that holds one of the words goes with every name, which is
+    the only place where names and links meet without a name in common.
+    """
+    general = F.lit(False)
     for w in words:
-        hit |= F.col(title).contains(w)
-    return names.join(links, hit)
+        general |= F.coalesce(F.col(title).contains(w), F.lit(False))
+    whole = links.select(F.struct(*links.columns).alias("_l"), F.col(title).alias("_title"), F.sha2(title, 256).alias("_of"), general.alias("_general"))
+    asked = names.select(F.struct(*names.columns).alias("_n"), F.col(name).alias("word"))
+    own = whole.filter(~F.col("_general"))
+    hits = words_in_texts(own.select("_of", "_title"), "_of", "_title", names.select(name)).distinct()
+    # A name stands for all rows of names that have it, a title for all links.
+    found = asked.join(hits, "word").join(own.select("_of", "_l"), "_of").select("_n.*", "_l.*")
+    if not words:
+        return found
+    return found.unionByName(asked.join(whole.filter("_general"), F.lit(True)).select("_n.*", "_l.*"))
 
 
 def search_tasks(parks: DataFrame, park: str, enterprise: str, templates: tuple[str, ...], per_park: int = 3) -> DataFrame:
