@@ -359,3 +359,41 @@ def test_windows_across_stretches_of_time(spark):
     assert got == {i: arrivals(k, s, i, (s or 0) - 10) for k, s, i in rows}
     used = {x.id: (x.tier, x.used) for x in weblog.rate_limit(df, "k", F.lit("x"), "ts", "id", (), ("d", 5, 10)).collect()}
     assert used == {i: ("d", arrivals(k, s, i, (s or 0) - 9)) for k, s, i in rows}
+
+
+def test_hot_clients_are_cut_where_they_were_idle(spark):
+    r = random.Random(8)
+    rows = []
+    for k in ("a", "b", None):
+        t = 0
+        for _ in range(300):
+            t += r.choice([0, 0, 1, 1, 2, 3, 4, 5, 6, 7, 20, 400, 5000])
+            rows.append((k, float(t), len(rows)))
+    df = events(spark, rows)
+    for window, threshold, block in ((5, 3, 4), (4, 2, 6), (5, 4, 5)):
+        at = {"window_us": window * S, "threshold": threshold, "block_us": block * S}
+        plain, cut = weblog.velocity_block(df, "client", "ts", "id", **at), weblog.velocity_block(df, "client", "ts", "id", **at, hot=100)
+        assert sorted((x.id, x.blocked) for x in cut.collect()) == sorted((x.id, x.blocked) for x in plain.collect())
+        assert {x.blocked for x in plain.collect()} == {True, False}
+    parts = weblog._sessions(df.withColumn("_t", weblog.micros("ts")), "client", "id", 6 * S).select("client", "_from").distinct().groupBy("client").count().collect()
+    want = {}
+    for k in ("a", "b", None):
+        times = [t for c, t, _ in rows if c == k]
+        want[k] = 1 + sum(b - a > 6 for a, b in zip(times, times[1:], strict=False))
+    assert {x.client: x["count"] for x in parts} == want and min(want.values()) > 30
+
+
+def test_rules_from_a_table_are_what_the_chain_gives(spark):
+    r = random.Random(4)
+    tiers = tuple(dict.fromkeys(("".join(r.choice("ab/") for _ in range(r.randint(1, 4))), r.randint(1, 3), r.choice([5, 10])) for _ in range(40)))
+    rules = spark.createDataFrame([(p, n, s, i) for i, (p, n, s) in enumerate(tiers)], "prefix string, limit int, seconds int, place int")
+    hits = [(r.choice("xy"), "".join(r.choice("ab/c") for _ in range(r.randint(0, 6))) or None, float(i // 3), i) for i in range(200)]
+    df = spark.createDataFrame(hits, "client string, route string, t double, id int").withColumn("ts", F.timestamp_micros((F.col("t") * S).cast("long"))).drop("t")
+    default = ("default", 2, 7)
+    chain = weblog.rate_limit(df, "client", F.col("route"), "ts", "id", tiers, default)
+    table = weblog.rate_limit(df, "client", F.col("route"), "ts", "id", rules, default)
+    assert sorted(map(str, table.select(*chain.columns).collect())) == sorted(map(str, chain.collect()))
+    many = spark.createDataFrame([(f"/p{i:05d}", i % 7, 60, i) for i in range(10_000)], "prefix string, limit int, seconds int, place int")
+    asked = spark.createDataFrame([("/p00042/x",), ("/p09999",), ("/q",), (None,)], "route string")
+    got = {x.route: x._r for x in weblog.with_tiers(asked, "route", many).collect()}
+    assert (got["/p00042/x"].tier, got["/p00042/x"].limit, got["/p09999"].limit) == ("/p00042", 0, 3) and got["/q"].tier == got[None].tier == "default"

@@ -6,6 +6,7 @@ the order of their id, which a range frame alone would not see, so later peers a
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +18,8 @@ TIERS = (("search", 50, 60), ("download", 20, 3600))
 DEFAULT_TIER = ("default", 100, 60)
 #: Windows of time that one task's stretch of a key covers.
 STRETCH = 64
+#: Rows of a key from which on its log is cut where it was idle.
+HOT = 1 << 20
 
 
 def micros(ts: str) -> Column:
@@ -45,27 +48,47 @@ def velocity_count(df: DataFrame, key: str, ts: str, id_: str, window_us: int =
     return dealt.withColumn("hits", _arrivals(df, [key, "_stretch"], "_t", id_, window_us)).filter("_own").drop("_t", "_stretch", "_own")
 
 
-def velocity_block(df: DataFrame, key: str, ts: str, id_: str, window_us: int = 10_000_000, threshold: int = 10, block_us: int = 60_000_000) -> DataFrame:
+def _sessions(df: DataFrame, key: str, id_: str, span: int) -> DataFrame:
+    """df (with _t) and _from, the time since which its key was never idle for longer than span.
+
+    Whether a hit has one before it within span is seen in its stretch of time, so a key's log is dealt out; then each stretch's last
+    start, one row for a key and stretch, is carried on to the stretches after it that have none.
+    """
+    dealt = _in_stretches(df, "_t", F.lit(span))
+    before = Window.partitionBy(key, "_stretch").orderBy("_t", id_)
+    starts = F.coalesce(F.col("_t") - F.lag("_t").over(before) > span, F.lit(True))
+    own = dealt.withColumn("_start", F.when(starts, F.col("_t"))).filter("_own").drop("_own")
+    own = own.withColumn("_here", F.max("_start").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    last = own.groupBy(key, "_stretch").agg(F.max("_start").alias("_last"))
+    carried = F.max("_last").over(Window.partitionBy(key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    known = last.select(F.col(key).alias("_key"), F.col("_stretch").alias("_at"), carried.alias("_carried"))
+    met = own.join(known, own[key].eqNullSafe(F.col("_key")) & own["_stretch"].eqNullSafe(F.col("_at")))
+    return met.withColumn("_from", F.coalesce("_here", "_carried")).drop("_start", "_here", "_stretch", "_key", "_at", "_carried")
+
+
+def velocity_block(df: DataFrame, key: str, ts: str, id_: str, window_us: int = 10_000_000, threshold: int = 10, block_us: int = 60_000_000, hot: int = HOT) -> DataFrame:
     """df with blocked. More than `threshold` recorded hits in the closed window block the key for block_us; hits while blocked
     are rejected, not recorded, and don't prolong the block.
 
-    The state is recursive, so each key's rows stream through one task in time order; memory is one
-    window of hits, however many rows a key has.
+    The state is recursive, so rows stream through a task in time order; memory is one window of hits. A key with more than `hot` rows is cut wherever it
+    was idle for longer than window and block: nothing is left of the state there, so each part is work of its own. What isn't idle for so long, such as
+    one client that never pauses, stays one task's sequential work.
     """
     cols = df.columns
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, hits, until = object(), [], -1
+        last, hits, until = object(), deque(), -1
         for pdf in batches:
             out = []
-            for k, t in zip(pdf["_k"], pdf["_t"], strict=True):
+            for k, t in zip(pdf["_k"].tolist(), pdf["_t"].tolist(), strict=True):
                 if k != last:
-                    last, hits, until = k, [], -1
+                    last, hits, until = k, deque(), -1
                 if until > t:
                     out.append(True)
                     continue
-                hits = [h for h in hits if h >= t - window_us]
+                while hits and hits[0] < t - window_us:
+                    hits.popleft()
                 hits.append(t)
                 blocked = len(hits) > threshold
                 if blocked:
@@ -73,8 +96,31 @@ def velocity_block(df: DataFrame, key: str, ts: str, id_: str, window_us: int =
                 out.append(blocked)
             yield pdf[cols].assign(blocked=out)
 
-    by_key = df.withColumn("_k", F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit(""))).withColumn("_t", micros(ts)).repartition("_k").sortWithinPartitions("_k", "_t", id_)
-    return by_key.mapInPandas(run, f"{ddl}, blocked boolean")
+    timed = df.withColumn("_t", micros(ts))
+    plain = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit(""))
+    many = df.groupBy(F.col(key).alias("_hot")).count().filter(F.col("count") > hot).select("_hot")  # a row for so many rows
+    if many.limit(1).count():
+        is_hot = timed[key].eqNullSafe(many["_hot"])
+        parts = _sessions(timed.join(many, is_hot, "left_semi"), key, id_, max(window_us, block_us))
+        named = timed.join(many, is_hot, "left_anti").withColumn("_k", plain).unionByName(parts.withColumn("_k", F.concat_ws("@", "_from", plain)).drop("_from"))
+    else:
+        named = timed.withColumn("_k", plain)
+    return named.repartition("_k").sortWithinPartitions("_k", "_t", id_).mapInPandas(run, f"{ddl}, blocked boolean")
+
+
+def with_tiers(df: DataFrame, route: str, rules: DataFrame, default=None) -> DataFrame:
+    """df with _r, struct<tier,limit,window_us>, of the first rule whose prefix a route has. rules: prefix, limit, seconds, place (less comes first), of any number.
+
+    Each distinct route is cut to the lengths that prefixes have, and joins the rules by equality.
+    """
+    default = default or DEFAULT_TIER
+    lengths = sorted(r[0] for r in rules.select(F.length("prefix")).distinct().collect())  # of prefixes of URLs
+    routes = df.select(F.col(route).alias("_route")).filter("_route is not null").distinct()
+    cut = routes.select("_route", F.explode(F.array_distinct(F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("_route")), lambda n: F.left("_route", n)))).alias("prefix")) if lengths else routes.select("_route", F.lit("").alias("prefix")).filter("false")
+    kind = F.struct(F.col("prefix").alias("tier"), F.col("limit").cast("int").alias("limit"), (F.col("seconds").cast("long") * 1_000_000).alias("window_us"))
+    best = cut.join(rules, "prefix").groupBy("_route").agg(F.min_by(kind, F.struct("place", "prefix")).alias("_found"))
+    other = F.struct(F.lit(default[0]).alias("tier"), F.lit(default[1]).cast("int").alias("limit"), F.lit(default[2] * 1_000_000).cast("long").alias("window_us"))
+    return df.join(best, F.col(route) == F.col("_route"), "left").withColumn("_r", F.coalesce("_found", other)).drop("_found", "_route")
 
 
 def route_tier(route: Column, tiers=TIERS, default=DEFAULT_TIER) -> Column:
@@ -89,11 +135,17 @@ def route_tier(route: Column, tiers=TIERS, default=DEFAULT_TIER) -> Column:
 
 
 def rate_limit(df: DataFrame, key: str, route: Column, ts: str, id_: str, tiers=TIERS, default=DEFAULT_TIER) -> DataFrame:
-    """df with tier, used, allowed, retry_after: arrivals of (tier, key) in the half-open window (t - w, t], denied ones too."""
-    marked = df.withColumn("_r", route_tier(route, tiers, default)).withColumn("tier", F.col("_r.tier")).withColumn("_t", micros(ts))
+    """df with tier, used, allowed, retry_after: arrivals of (tier, key) in the half-open window (t - w, t], denied ones too. tiers: a tuple, or a
+    table of rules for with_tiers()."""
+    if isinstance(tiers, DataFrame):
+        marked = with_tiers(df.withColumn("_path", route), "_path", tiers, default).drop("_path")
+        seconds_of = {r[0] for r in tiers.select(F.col("seconds").cast("long")).distinct().collect()} | {default[2]}  # lengths of windows
+    else:
+        marked, seconds_of = df.withColumn("_r", route_tier(route, tiers, default)), {t[2] for t in (*tiers, default)}
+    marked = marked.withColumn("tier", F.col("_r.tier")).withColumn("_t", micros(ts))
     marked = _in_stretches(marked, "_t", F.col("_r.window_us"))
     used, limit, seconds = F.lit(None).cast("long"), F.col("_r.limit"), (F.col("_r.window_us") / 1_000_000).cast("long")
-    for _, _, s in {(*t,) for t in (*tiers, default)}:
+    for s in sorted(seconds_of):
         w = s * 1_000_000
         used = F.when(F.col("_r.window_us") == w, _arrivals(df, ["tier", key, "_stretch"], "_t", id_, w - 1)).otherwise(used)
     counted = marked.withColumn("used", used).filter("_own").drop("_stretch", "_own")

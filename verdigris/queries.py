@@ -346,12 +346,31 @@ def _used(days: int) -> str:
     return f"count(*) over (partition by tier, user_id order by epoch_us(ts) range between {days * DAY - 1} preceding and current row) - (count(*) over (partition by tier, user_id, ts) - row_number() over (partition by tier, user_id, ts order by event_id))"
 
 
-@query(f"with t as ({_TIERED}), u as (select event_id, tier, case tier when 'view' then {_used(5)} when 'click' then {_used(3)} else {_used(2)} end as used, case tier when 'view' then 2 when 'click' then 3 else 2 end as lim, case tier when 'view' then 432000 when 'click' then 259200 else 172800 end as win from t) select event_id, tier, used, used <= lim as allowed, case when used > lim then greatest(1, greatest(5, win - floor(used * 0.5)::bigint)) end as retry_after from u")
+_RATED = f"with t as ({_TIERED}), u as (select event_id, tier, case tier when 'view' then {_used(5)} when 'click' then {_used(3)} else {_used(2)} end as used, case tier when 'view' then 2 when 'click' then 3 else 2 end as lim, case tier when 'view' then 432000 when 'click' then 259200 else 172800 end as win from t) select event_id, tier, used, used <= lim as allowed, case when used > lim then greatest(1, greatest(5, win - floor(used * 0.5)::bigint)) end as retry_after from u"
+
+
+@query(_RATED)
 def rate_limits(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
     return weblog.rate_limit(e, "user_id", F.col("event_type"), "ts", "event_id", TIERS, DEFAULT).select("event_id", "tier", "used", "allowed", "retry_after")
 
 
+@query(_RATED)
+def rule_table_limits(spark, sf_dir):
+    """rate_limits by rules that are a table: those tiers, and one for each user that fits no route."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    own = spark.createDataFrame([(p, n, s, i) for i, (p, n, s) in enumerate(TIERS)], "prefix string, limit int, seconds int, place int")
+    others = e.select(F.concat(F.lit("/"), F.col("user_id").cast("string")).alias("prefix"), F.lit(1).alias("limit"), F.lit(60).alias("seconds"), F.lit(9).alias("place")).distinct()
+    return weblog.rate_limit(e, "user_id", F.col("event_type"), "ts", "event_id", own.unionByName(others), DEFAULT).select("event_id", "tier", "used", "allowed", "retry_after")
+
+
+@query(f"with {_BLOCKED} select event_id, user_id, blocked from s where k > 0")
+def cut_velocity_blocks(spark, sf_dir):
+    """velocity_blocks with every user's log cut where it was idle."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return weblog.velocity_block(e, "user_id", "ts", "event_id", DAY, 4, 2 * DAY, hot=0).select("event_id", "user_id", "blocked")
+
+
 @query(f"with t as ({_TIERED}), m as (select max(epoch_us(ts)) a from events), u as (select user_id, tier, count(*) filter (where epoch_us(ts) > a - case tier when 'view' then {5 * DAY} when 'click' then {3 * DAY} else {2 * DAY} end) as used from t, m group by 1, 2) select user_id, tier, used, greatest(0, case tier when 'click' then 3 else 2 end - used) as remaining from u")
 def rate_usage(spark, sf_dir):
     e = table(spark, sf_dir, "events")
