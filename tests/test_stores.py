@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from verdigris.operators import searchindex, tables, textsearch
+from verdigris.operators import lookups, searchindex, tables, textsearch
 from verdigris.operators.keyedtable import KeyedTable
 from verdigris.operators.searchindex import SearchIndex
 from verdigris.sources import versions
@@ -166,3 +166,49 @@ def test_failed_merge_leaves_the_table(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, other.read().collect())) == [(1, 5), (2, 5), (3, 3)]
     other.expire()
     assert sorted(map(tuple, other.read().collect())) == [(1, 5), (2, 5), (3, 3)]
+
+
+@pytest.mark.parametrize("rows", [0, 400])
+def test_suggestions_by_prefix_are_those_of_a_scan(spark, tmp_path, rows):
+    r = random.Random(1)
+    words = [r.choice([None, "", " ", "".join(r.choice("abAB é") for _ in range(r.randint(1, 7)))]) for _ in range(rows)] + ["abcdefgh", "abcdefgi"] * (rows > 0)
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    index = lookups.SuggestIndex(spark, str(tmp_path / "s"))
+    assert index.suggest("a").count() == 0
+    index.build(df, F.col("w"))
+    for prefix in ("", "a", "AB", "ab ", "abab", "ababa", "abcdefg", "é", "zz"):
+        for limit in (3, 50):
+            assert list(map(tuple, index.suggest(prefix, limit).collect())) == list(map(tuple, textsearch.suggest(df, F.col("w"), prefix, limit).collect())), prefix
+    plan = index.suggest("ab")._jdf.queryExecution().toString()
+    assert "EqualTo(prefix,ab)" in plan and "StringStartsWith(low,abcdef)" in index.suggest("abcdef")._jdf.queryExecution().toString()
+    index.build(df.limit(0), F.col("w"))
+    assert index.suggest("a").count() == 0 and index.expire()
+
+
+def test_seen_keys(spark):
+    seen = lookups.SeenKeys(spark, "seen_test", bits=1 << 16, buckets=4)
+    seen.drop()
+    r = random.Random(6)
+    old: list = []
+    try:
+        for _ in range(3):
+            items = [(r.choice([None, "", *map(str, range(300))]), i) for i in range(200)]
+            df = spark.createDataFrame(items, "k string, i int")
+            got = seen.take(df, "k", ["i"]).collect()
+            want = tables.drop_seen(df, spark.createDataFrame([(k,) for k in old], "k string"), "k", ["i"]).collect()
+            assert sorted(map(str, got)) == sorted(map(str, want))
+            seen.add(df.select("k"))
+            old += [k for k, _ in items]
+        assert spark.table("seen_test").count() == len({k for k in old if k})
+        # Most new keys pass by the filter, and the table's side of the join isn't shuffled.
+        fresh = spark.createDataFrame([(f"new{i}", i) for i in range(1000)], "k string, i int")
+        assert seen.unseen(fresh, "k").count() == 1000
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        plan = seen.unseen(fresh, "k")._jdf.queryExecution().executedPlan().toString()
+        side = plan[plan.index("SortMergeJoin") :] if "SortMergeJoin" in plan else plan[plan.index("ShuffledHashJoin") :]
+        scan = next(line for line in side.splitlines() if "seen_test[" in line or "seen_test" in line)
+        assert "Bucketed: true" in scan or "Bucketed: true" in side
+        assert side.count("Exchange hashpartitioning(_key") == 1 and "hashpartitioning(_seen" not in side
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        seen.drop()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from verdigris import casequeries
 from verdigris.functions import texts, urls, web
-from verdigris.operators import aggregates, entities, filters, masking, pages, tables, textsearch, weblog
+from verdigris.operators import aggregates, entities, filters, lookups, masking, pages, tables, textsearch, weblog
 from verdigris.operators.keyedtable import KeyedTable
 from verdigris.operators.searchindex import SearchIndex
 from verdigris.session import table
@@ -213,12 +213,26 @@ def excluded_domains(spark, sf_dir):
 
 
 # Tables.
-@query("with n as (select page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) d from pages), r as (select *, row_number() over (partition by d order by page_id) k from n where page_id % 3 <> 0 and d not in (select d from n where page_id % 3 = 0)) select page_id, d as domain from r where k = 1")
+_UNSEEN = "with n as (select page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) d from pages), r as (select *, row_number() over (partition by d order by page_id) k from n where page_id % 3 <> 0 and d not in (select d from n where page_id % 3 = 0)) select page_id, d as domain from r where k = 1"
+
+
+@query(_UNSEEN)
 def unseen_pages(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", urls.url_domain(F.col("url")).alias("domain"))
     return tables.drop_seen(p.filter("page_id % 3 != 0"), p.filter("page_id % 3 = 0"), "domain", ["page_id"])
 
 
+@query(_UNSEEN)
+def stored_unseen(spark, sf_dir):
+    """unseen_pages with the seen domains in a stored set."""
+    p = table(spark, sf_dir, "pages").select("page_id", urls.url_domain(F.col("url")).alias("domain"))
+    name = f"seen_{uuid.uuid4().hex}"
+    seen = lookups.SeenKeys(spark, name, bits=1 << 20, buckets=8, folder=shared_path(spark, name))
+    for third in (0, 3):  # in two parts
+        seen.add(p.filter(F.col("page_id") % 6 == third).select("domain"))
+    return seen.take(p.filter("page_id % 3 != 0"), "domain", ["page_id"])
+
+
 @query("with n as (select page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) d from pages), r as (select *, row_number() over (partition by d order by page_id) k from n where page_id % 3 <> 0 and d not in (select d from n where page_id % 3 = 0)) select page_id, d as domain from r where k = 1 union all select page_id, d from n where page_id % 3 = 0")
 def insert_if_absent(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", urls.url_domain(F.col("url")).alias("domain"))
@@ -483,11 +497,23 @@ def search_page(spark, sf_dir):
     return hits.select("doc_id", F.round("score", 6).alias("score"), "total", F.array_join("highlights", "|").alias("highlights"))
 
 
-@query("select p_name as term, count(*) as n from part where starts_with(lower(p_name), 'b') group by 1 order by 2 desc, 1 limit 10")
+_SUGGESTED = "select p_name as term, count(*) as n from part where starts_with(lower(p_name), 'b') group by 1 order by 2 desc, 1 limit 10"
+
+
+@query(_SUGGESTED)
 def suggestions(spark, sf_dir):
     return textsearch.suggest(table(spark, sf_dir, "part"), F.col("p_name"), "b", 10)
 
 
+@query(_SUGGESTED)
+def stored_suggestions(spark, sf_dir):
+    """suggestions from a stored index of prefixes."""
+    index = lookups.SuggestIndex(spark, shared_path(spark, f"suggest-{uuid.uuid4().hex}"))
+    index.build(table(spark, sf_dir, "part"), F.col("p_name"))
+    return index.suggest("b", 10)
+
+
+
 def _grams(texts: str, features: int) -> str:
     """CTEs over texts (doc_id, text): g (doc_id, gram, tf), m (the model's gram, df), n (documents), w (weights before their norm)."""
     return f"""conv as ({texts}), chars as (select doc_id, string_split(regexp_replace(text, '\\s\\s+', ' ', 'g'), '') c from conv where text <> ''),
