@@ -237,9 +237,9 @@ def _fetch_bytes(parts: int, doc_parts: int):
             n = v["more"][hot].astype(np.int64) + 1
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at, start, key = np.repeat(place[hot], n) + step, np.repeat(v["start"][hot], n) + step, np.repeat(v["key"][hot], n)
-            h = Substrings(flat)(at, at + MIN_BYTES)
-            o = np.lexsort((start, key, h))
-            new = np.r_[True, h[o][1:] != h[o][:-1]]
+            h, other = Substrings(flat)(at, at + MIN_BYTES), Substrings(flat ^ np.uint8(0x5A))(at, at + MIN_BYTES)
+            o = np.lexsort((start, key, other, h))
+            new = np.r_[True, (h[o][1:] != h[o][:-1]) | (other[o][1:] != other[o][:-1])]
             gone = np.empty(int((~new).sum()), RANGE)
             gone["key"], gone["start"], gone["size"] = key[o][~new], start[o][~new], MIN_BYTES
             gone = _merged(gone)
