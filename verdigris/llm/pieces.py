@@ -286,10 +286,11 @@ class Sampler:
     def sample(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, and how many each text has; keys: uint64, one for each text."""
         units = [self.v.unit.findall(t) for t in texts]
-        long = sorted({u for t in units for u in t if len(u) > MEMO_CHARS})
-        if long:
-            parts = self._cut(long)
-            units = [[x for u in t for x in parts.get(u, (u,))] for t in units]
+        wide = [k for k, t in enumerate(units) if len(max(t, key=len, default="")) > MEMO_CHARS]
+        if wide:
+            parts = self._cut(sorted({u for k in wide for u in units[k] if len(u) > MEMO_CHARS}))
+            for k in wide:
+                units[k] = [x for u in units[k] for x in parts.get(u, (u,))]
         used = set().union(*units)
         new = used.difference(self.last_state)
         if len(self.last_state) + len(new) > MEMO_UNITS and len(new) > len(used) / 2:
