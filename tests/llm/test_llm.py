@@ -504,6 +504,15 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0 and ann.nearest(df.filter("vec_id = 0"), F.lit(True)).count() == 0
 
 
+def test_labels_that_are_no_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGS", 3)
+    rows = [(i, "some text here", f"l{i % 4}") for i in range(8)]
+    with pytest.raises(ValueError, match="more than 3"):
+        langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    few = spark.createDataFrame([(None, "abc def", "xx"), (1, "ghi jkl", "yy")], "doc_id long, text string, lang string")
+    assert langid.fit(few)["langs"] == ["yy"]
+
+
 def test_nearest_of_very_large_and_small_vectors(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_BYTES", 32)  # many blocks of queries
     rows = [(0, [1e200, 0.0]), (1, [1e200, 1e199]), (2, [1e-200, 0.0]), (3, [1e-310, 1e-311]), (4, [-1e300, 1e300]), (5, [1.0, 2.0]), (6, [1e308, 1e-308])]

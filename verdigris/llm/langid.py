@@ -25,6 +25,8 @@ from verdigris.llm import common
 BITS, ORDERS = 15, (1, 2, 3)
 #: Bound of the training sample: whole labelled documents per language (expected number).
 TRAIN_DOCS = 3000
+#: Languages that a model may have: its matrix is 2^BITS x languages numbers of 4 bytes.
+MAX_LANGS = 1000
 UNKNOWN = "und"
 _MULT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -63,12 +65,14 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
     """The model: sorted languages and a float32 matrix (buckets x languages) of log-probabilities.
 
     docs: doc_id, text, lang. At most about train_docs whole documents of each language are used,
-    picked by a hash of doc_id.
+    picked by a hash of doc_id; rows without one aren't learned from. More than MAX_LANGS labels are an error.
     """
     spark = docs.sparkSession
     common.bound_batches(spark)
-    known = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = docs.select("doc_id", "text", "lang").filter("doc_id is not null and lang is not null and text is not null")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} values of lang: these aren't labels")
     langs = sorted(sizes)
     if not langs:
         return {"langs": [], "logp": np.zeros((1 << BITS, 0), np.float32)}

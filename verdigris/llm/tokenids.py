@@ -13,7 +13,7 @@ lacks go to the tokenizer together. Texts with white space beyond ASCII or with
 as all texts do if the tokenizer isn't of this kind.
 
 Defined cases: a null text is empty; every document ends with END_ID. Null doc_ids come first; rows with equal
-doc_ids keep their own entries, in any order among them. An empty table gives a table without blocks. Extra columns are
+doc_ids keep their own entries, in any order among them; they are dealt out by their texts, so only rows equal in both must lie in one shard. An empty table gives a table without blocks. Extra columns are
 ignored, whatever their names. A very long text is encoded in segments, and is one block.
 """
 
@@ -294,7 +294,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, n_shards: i
         if ids:
             yield flush()
 
-    ordered = docs.select("doc_id", common.text_or_empty().alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select("doc_id", common.text_or_empty().alias("text")).repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
     blocks = ordered.mapInArrow(run, f"shard int, block int, bits int, n_ids long, first_doc {kind}, last_doc {kind}, doc_ids array<{kind}>, offsets array<long>, payload binary")
     blocks.write.option("compression", "none").parquet(path)
 
