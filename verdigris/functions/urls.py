@@ -14,6 +14,8 @@ SECTIONS = {
     "ywgz": "https://www.mee.gov.cn/ywgz/",
     "xxgk": "https://www.mee.gov.cn/xxgk2018/",
 }
+# Hints of a file's type in a path or title, in the order they are tried.
+TYPE_HINTS = (("pdf", (".pdf", "PDF")), ("doc", (".doc", "DOC")), ("docx", (".docx", "DOCX")), ("xlsx", (".xls", ".xlsx")))
 _DOC_END = r"\.(pdf|docx?|xlsx?|pptx?)$"
 
 
@@ -56,7 +58,7 @@ def infer_file_type(title: Column, url: Column) -> Column:
     """Type by the path's end, then by hints in path or title in the order pdf, doc, docx, xlsx, else 'html'."""
     path = F.lower(url_path(url))
     chosen = F.when(path.rlike(r"\.pdf$"), "pdf").when(path.rlike(r"\.docx$"), "docx").when(path.rlike(r"\.doc$"), "doc")
-    for kind, hints in (("pdf", (".pdf", "PDF")), ("doc", (".doc", "DOC")), ("docx", (".docx", "DOCX")), ("xlsx", (".xls", ".xlsx"))):
+    for kind, hints in TYPE_HINTS:
         for h in hints:
             chosen = chosen.when(path.contains(h) | F.coalesce(title.contains(h), F.lit(False)), kind)
     return chosen.otherwise("html")
