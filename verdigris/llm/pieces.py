@@ -25,6 +25,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -106,18 +107,28 @@ class Vocabulary:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(self.spelled), np.uint8)
 
+    def _likely(self, h: np.ndarray) -> np.ndarray:
+        """Where h can be a piece's hash, by a table of first bits: few other hashes pass."""
+        return np.flatnonzero(self.first_bits[h >> np.uint64(44)])
+
+    def _place(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return at, self.hashes[at] == h
+
     def has(self, h: np.ndarray) -> np.ndarray:
-        """Which hashes are a piece's; few are, and a table of their first bits tells most of the others."""
-        out = self.first_bits[h >> np.uint64(44)]
-        some = np.flatnonzero(out)
-        out[some] = self.find(h[some])[0] >= 0
+        """Which hashes are a piece's."""
+        some, out = self._likely(h), np.zeros(len(h), bool)
+        out[some] = self._place(h[some])[1]
         return out
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Id and weight of the piece with each hash; -1 and minus infinity where there is none."""
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        hit = self.hashes[at] == h
-        return np.where(hit, self.ids[at], -1), np.where(hit, self.weights[at], -np.inf)
+        flat = h.ravel()
+        some = self._likely(flat)
+        at, hit = self._place(flat[some])
+        ids, weights = np.full(flat.shape, -1, np.int64), np.full(flat.shape, -np.inf)
+        ids[some[hit]], weights[some[hit]] = self.ids[at[hit]], self.weights[at[hit]]
+        return ids.reshape(h.shape), weights.reshape(h.shape)
 
 
 def _one_unit(weight: np.ndarray, ids: np.ndarray, n: int, total: np.ndarray) -> np.ndarray:
@@ -302,7 +313,7 @@ class Sampler:
         self.add(sorted(passing))
         counts = np.array([len(u) for u in units], np.int64)
         where = self.last_state.__getitem__
-        state = np.fromiter((where(u) for t in units for u in t), np.int64, int(counts.sum()))
+        state = np.fromiter(map(where, chain.from_iterable(units)), np.int64, int(counts.sum()))
         of = np.repeat(np.arange(len(texts)), counts)
         place = np.arange(len(state)) - np.repeat(np.cumsum(counts) - counts, counts)
         seed = _mix(keys[of] + _mix(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)))
