@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris import casequeries
+from verdigris import casequeries, streamqueries
 from verdigris.functions import texts, urls, web
 from verdigris.operators import aggregates, entities, filters, lookups, masking, pages, tables, textsearch, weblog
 from verdigris.operators.keyedtable import KeyedTable
@@ -416,14 +416,23 @@ def _within(days: int) -> str:
     return f"(select count(*) from p q where q.user_id = p.user_id and q.tier = p.tier and q.t > p.t - {days * DAY} and (q.t < p.t or q.t = p.t and q.event_id <= p.event_id))"
 
 
-@query(f"""with {_ADMITTED}, r as (select event_id, case tier when 'view' then {_within(5)} <= 2 when 'click' then {_within(3)} <= 3 else {_within(2)} <= 2 end as ok from p)
+_VERDICTS = f"""with {_ADMITTED}, r as (select event_id, case tier when 'view' then {_within(5)} <= 2 when 'click' then {_within(3)} <= 3 else {_within(2)} <= 2 end as ok from p)
 select event_id, case event_type when 'signup' then 'excluded' else 'bot' end as verdict from events where event_type in ('error', 'signup')
-union all select event_id, 'velocity' from s where k > 0 and blocked union all select event_id, case when ok then 'allow' else 'rate' end from r""")
+union all select event_id, 'velocity' from s where k > 0 and blocked union all select event_id, case when ok then 'allow' else 'rate' end from r"""
+
+
+@query(_VERDICTS)
 def admission(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
     return weblog.admission(e, "user_id", F.col("event_type"), "ts", "event_id", F.col("event_type") == "error", F.col("event_type") == "signup", {"window_us": 5 * DAY, "threshold": 3, "block_us": 2 * DAY}, TIERS, DEFAULT).select("event_id", "verdict")
 
 
+query(_VERDICTS)(streamqueries.admission_stream({"window_us": 5 * DAY, "threshold": 3, "block_us": 2 * DAY}, TIERS, DEFAULT))
+query(streamqueries.KEYS_SQL)(streamqueries.streamed_keys)
+query(streamqueries.FACETS_SQL)(streamqueries.streamed_facets)
+query(streamqueries.UPSERTS_SQL)(streamqueries.streamed_upserts)
+
+
 @query("select event_id, event_type from events where ts >= timestamp '2024-01-10'")
 def incremental(spark, sf_dir):
     return filters.incremental_cutoff(table(spark, sf_dir, "events"), "ts", "2024-01-10T00:00:00").select("event_id", "event_type")
@@ -530,6 +539,16 @@ def tfidf_weights(spark, sf_dir):
     return textsearch.tfidf_transform(counts, model, "doc_id").select("doc_id", "gram", "tf", F.round("weight", 6).alias("weight"))
 
 
+@query("with " + _grams("select item_id as doc_id, text from benchmark", 500) + " select doc_id, gram, tf, round(v / sqrt(sum(v * v) over (partition by doc_id)), 6) as weight from w")
+def saved_model_weights(spark, sf_dir):
+    """tfidf_weights by a model that was saved and read again."""
+    docs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    path = shared_path(spark, f"model-{uuid.uuid4().hex}")
+    textsearch.save_model(textsearch.tfidf_fit_texts(docs, max_features=500), path)
+    weights = textsearch.tfidf_transform(textsearch.gram_counts(docs, "doc_id"), textsearch.load_model(spark, path), "doc_id")
+    return weights.select("doc_id", "gram", "tf", F.round("weight", 6).alias("weight"))
+
+
 ASKED = "the heron thinks of the inner edge"
 
 
