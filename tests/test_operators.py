@@ -397,3 +397,12 @@ def test_rules_from_a_table_are_what_the_chain_gives(spark):
     asked = spark.createDataFrame([("/p00042/x",), ("/p09999",), ("/q",), (None,)], "route string")
     got = {x.route: x._r for x in weblog.with_tiers(asked, "route", many).collect()}
     assert (got["/p00042/x"].tier, got["/p00042/x"].limit, got["/p09999"].limit) == ("/p00042", 0, 3) and got["/q"].tier == got[None].tier == "default"
+
+
+def test_resets_across_stretches_of_time(spark):
+    r = random.Random(6)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, float(r.randint(-50, 50))]), i, r.choice([True, False, False, None])) for i in range(200)]
+    df = spark.createDataFrame(rows, "client string, t double, id int, reset boolean").withColumn("ts", F.timestamp_micros((F.col("t") * S).cast("long")))
+    got = {x.id: x.session for x in weblog.with_resets(df, "client", F.col("reset"), "ts", "id", 7 * S).collect()}
+    order = lambda t, i: (t is not None, t or 0, i)
+    assert got == {i: sum(bool(x) for c, u, j, x in rows if c == k and order(u, j) <= order(t, i)) for k, t, i, _ in rows}

@@ -161,10 +161,18 @@ def rate_usage(df: DataFrame, key: str, route: Column, ts: str, as_of: int, tier
     return used.select(key, "tier", "used", "limit", F.greatest(F.lit(0), F.col("limit") - F.col("used")).alias("remaining"))
 
 
-def with_resets(df: DataFrame, key: str, is_reset: Column, ts: str, id_: str) -> DataFrame:
-    """df with session, the number of resets of the key so far: a further key that makes windows start anew."""
-    w = Window.partitionBy(key).orderBy(micros(ts), id_).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("session", F.count_if(is_reset).over(w))
+def with_resets(df: DataFrame, key: str, is_reset: Column, ts: str, id_: str, stretch_us: int = 3_600_000_000) -> DataFrame:
+    """df with session, the number of resets of the key so far: a further key that makes windows start anew.
+
+    Resets are counted within stretches of time, so a key's log is dealt out; the stretches' totals, a row for a key and stretch, are summed up behind.
+    """
+    rows = df.withColumn("_t", micros(ts)).withColumn("_reset", is_reset).withColumn("_stretch", F.floor(F.col("_t") / stretch_us))
+    here = Window.partitionBy(key, "_stretch").orderBy("_t", id_).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(F.col(key).alias("_key"), F.col("_stretch").alias("_at")).agg(F.count_if("_reset").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    counted = rows.withColumn("_here", F.count_if("_reset").over(here))
+    met = counted.join(totals, counted[key].eqNullSafe(F.col("_key")) & counted["_stretch"].eqNullSafe(F.col("_at")))
+    return met.select(*df.columns, (F.col("_before") + F.col("_here")).alias("session"))
 
 
 def admission(df: DataFrame, key: str, route: Column, ts: str, id_: str, is_bot: Column, excluded: Column, velocity: dict, tiers=TIERS, default=DEFAULT_TIER) -> DataFrame:
@@ -182,8 +190,10 @@ def admission(df: DataFrame, key: str, route: Column, ts: str, id_: str, is_bot:
 
 def circuit_breaker(df: DataFrame, domain: str, run: str, order: str, ok: Column, threshold: int = 3) -> DataFrame:
     """domain, run, trailing (failures after the run's last success), carried (with those of earlier runs since a clean one), skipped."""
-    in_run = Window.partitionBy(domain, run)
-    marked = df.withColumn("_ok", ok).withColumn("_last", F.max(F.when(F.col("_ok"), F.col(order))).over(in_run))
+    # A run's last success and its failures after that are sums of each task's, so a long run is no single task.
+    rows = df.withColumn("_ok", ok)
+    last = rows.groupBy(F.col(domain).alias("_d"), F.col(run).alias("_r")).agg(F.max(F.when(F.col("_ok"), F.col(order))).alias("_last"))
+    marked = rows.join(last, rows[domain].eqNullSafe(F.col("_d")) & rows[run].eqNullSafe(F.col("_r")))
     runs = marked.groupBy(domain, run).agg(F.count_if(~F.col("_ok") & (F.col("_last").isNull() | (F.col(order) > F.col("_last")))).alias("trailing"))
     so_far = Window.partitionBy(domain).orderBy(run).rowsBetween(Window.unboundedPreceding, 0)
     island = runs.withColumn("_clean", F.count_if(F.col("trailing") == 0).over(so_far))
