@@ -11,22 +11,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of one Arrow batch sent to a Python worker, so that long texts stay bounded.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
-
+from verdigris.functions.batches import BATCH_BYTES, BATCH_ROWS, bound_batches  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, as texts may be very long: upper bounds, which leave smaller settings of the session alone."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = re.fullmatch("([0-9]+)b?", spark.conf.get(key))
-        if not now or not 0 < int(now[1]) <= most:
-            spark.conf.set(key, most)
-
-
 def free_name(name: str, taken: list[str]) -> str:
     """name, with as many underscores before it as it takes to clash with no column."""
     low = {c.lower() for c in taken}

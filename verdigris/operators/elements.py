@@ -7,13 +7,15 @@ where a start tag implies them; text nodes are trimmed, blank ones and the bodie
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.functions import batches
+
 # Elements without content, what a start tag ends of the elements that are still open, and what it doesn't look beyond.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 ENDS = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
@@ -67,20 +69,19 @@ class _Tree(HTMLParser):
 
 def with_tree(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """Columns to keep with nodes, the elements in page order, and texts, the text nodes; both empty for a null page."""
-    kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            trees = []
-            for h in b["_html"]:
-                t = _Tree()
-                t.feed(h or "")
-                t.close()
-                trees.append(t)
-            yield b.drop(columns="_html").assign(nodes=[t.nodes for t in trees], texts=[t.texts for t in trees])
+    kind = batches.arrow_type(f"array<{NODE}>")
+
+    def make(htmls: list) -> list[pa.Array]:
+        trees = []
+        for h in htmls:
+            t = _Tree()
+            t.feed(h or "")
+            t.close()
+            trees.append(t)
+        return [pa.array([[n | {"attrs": list(n["attrs"].items())} for n in t.nodes] for t in trees], kind), pa.array([t.texts for t in trees], pa.list_(pa.string()))]
 
     rows = pages.select(*keep, F.col(html).alias("_html"))
-    return rows.mapInPandas(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], f"nodes array<{NODE}>", "texts array<string>"]))
+    return batches.mapped(rows, "_html", list(keep), {"nodes": f"array<{NODE}>", "texts": "array<string>"}, make)
 
 
 def within(node: Column, nodes: Column | str = "nodes") -> Column:

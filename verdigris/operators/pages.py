@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.functions import dates, texts, titles, urls
+from verdigris.functions import batches, dates, texts, titles, urls
 from verdigris.functions.segments import each
 from verdigris.functions.texts import strip
 from verdigris.operators import elements as el
@@ -96,20 +95,21 @@ class _Anchors(HTMLParser):
 def links_with_parents(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """extract_links with parent_text (the first 200 characters of the element around the anchor) and list_links (links of the
     largest list around it, 0 outside lists). Nested elements aren't regular, so a parser reads each page in its task."""
-    kind = pages.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for k, u, h in zip(b["key"], b["page_url"], b["html"], strict=True):
-                p = _Anchors()
-                p.feed(h or "")
-                p.close()
-                out += [(k, u, i, a["href"], a["text"], a["title"], a["parent_text"], max((f["links"] for f in a["lists"]), default=0)) for i, a in enumerate(p.anchors)]
-            yield pd.DataFrame(out, columns=["key", "page_url", "pos", "href", "text", "title", "parent_text", "list_links"])
+    link = "struct<pos:int,href:string,text:string,title:string,parent_text:string,list_links:int>"
+    kind = batches.arrow_type(f"array<{link}>")
+
+    def make(htmls: list) -> list[pa.Array]:
+        out = []
+        for h in htmls:
+            p = _Anchors()
+            p.feed(h or "")
+            p.close()
+            out.append([{"pos": i, "href": a["href"], "text": a["text"], "title": a["title"], "parent_text": a["parent_text"], "list_links": max((f["links"] for f in a["lists"]), default=0)} for i, a in enumerate(p.anchors)])
+        return [pa.array(out, kind)]
 
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("page_url"), F.col(html).alias("html"))
-    found = rows.mapInPandas(run, f"key {kind}, page_url string, pos int, href string, text string, title string, parent_text string, list_links int")
+    found = batches.mapped(rows, "html", ["key", "page_url"], {"_links": f"array<{link}>"}, make)
+    found = found.select("key", "page_url", F.inline("_links"))
     text = F.coalesce(F.nullif("text", F.lit("")), "title", F.lit("")).alias("text")
     return found.select(F.col("key").alias(key), "page_url", "pos", "href", urls.resolve_url(F.col("page_url"), F.col("href")).alias("url"), text, "title", "parent_text", "list_links")
 
