@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from verdigris.functions import batches
-from verdigris.operators import dictionary, pages, textsearch
+from verdigris.operators import textsearch
 from verdigris.operators import elements as el
 
 
@@ -59,3 +59,34 @@ def test_page_trees_hold_a_slice(spark, tasks):
     el.with_tree(df, keep=("page_id",))
     grows_little(tasks[-1], {"page_id": [1], "_html": ["<ul>" + "<li class='a b'><a href='x'>y</a></li>" * 20 + "</ul>"]}, 300)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= batches.BATCH_ROWS
+
+
+def random_texts(n: int) -> list:
+    r = random.Random(3)
+    return ["".join(r.choices("abcdefghij klmn", k=400)) for _ in range(n)]
+
+
+def test_tfidf_fit_holds_a_slice(spark, tasks, monkeypatch):
+    monkeypatch.setattr(textsearch, "MOST_GRAMS", 20_000)  # fewer than either batch sums up
+    textsearch.tfidf_fit_texts(spark.createDataFrame([("a",)], "text string"))
+    grows_little(tasks[-1], {"text": random_texts(1000)}, 3)
+
+
+def test_tfidf_sums_dont_depend_on_how_often_they_are_given_out(spark, tasks, monkeypatch):
+    textsearch.tfidf_fit_texts(spark.createDataFrame([("a",)], "text string"))
+    sums = []
+    for most in (textsearch.MOST_GRAMS, 700):
+        monkeypatch.setattr(textsearch, "MOST_GRAMS", most)
+        found: dict = {}
+        given = list(tasks[-1](iter([pa.RecordBatch.from_pydict({"text": random_texts(900)})])))
+        for b in given:
+            for g, t, d in zip(*b.to_pydict().values(), strict=True):
+                found[g] = tuple(map(sum, zip(found.get(g, (0, 0)), (t, d), strict=True)))
+        sums.append((len(given), found))
+    assert sums[0][1] == sums[1][1] and sums[0][1][None] == (900, 900) and sums[0][0] < sums[1][0]
+
+
+def test_embeddings_hold_a_slice(spark, tasks):
+    docs = spark.createDataFrame([(t,) for t in random_texts(20)], "text string")
+    textsearch.with_embedding(docs, textsearch.tfidf_fit_texts(docs))
+    grows_little(tasks[-1], {"text": random_texts(1000)}, 3)

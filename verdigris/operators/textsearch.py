@@ -10,10 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from verdigris.functions import batches
 from verdigris.functions.segments import bound, each
 from verdigris.functions.texts import highlight, strip
 
 K1, B = 1.2, 0.75
+#: Grams that a task sums up before it gives sums out, and grams that are spelled at a time.
+MOST_GRAMS, SPELLED = 1 << 18, 1 << 14
 
 
 def char_grams(text: Column) -> Column:
@@ -59,20 +62,43 @@ def _code(gram: str) -> int:
     return points[0] << 42 | points[1] << 21 | points[2]
 
 
+def _summed(codes: np.ndarray, totals: np.ndarray, dfs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct codes in order, with the sums of both counts."""
+    grams, at = np.unique(codes, return_inverse=True)
+    return grams, np.bincount(at, totals, len(grams)).astype(np.int64), np.bincount(at, dfs, len(grams)).astype(np.int64)
+
+
+def _sums(n: int, grams: np.ndarray, totals: np.ndarray, dfs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of gram, total and df, SPELLED grams at a time, and one without a gram for n documents."""
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([n], pa.int64()), pa.array([n], pa.int64())], names=["gram", "total", "df"])
+    for at in range(0, len(grams), SPELLED):
+        one = slice(at, at + SPELLED)
+        yield pa.RecordBatch.from_arrays([pa.array(_spelled(grams[one]), pa.string()), pa.array(totals[one]), pa.array(dfs[one])], names=["gram", "total", "df"])
+
+
 def tfidf_fit_texts(docs: DataFrame, text: str = "text", max_features: int = 5000) -> DataFrame:
     """The model of tfidf_fit(gram_counts(docs)) over all documents with a text, without a row for each document and gram.
 
-    One pass sums totals and document frequencies by batch, so only distinct grams are shuffled, however many documents there are.
+    One pass sums totals and document frequencies within a task, which holds MOST_GRAMS sums at most and then gives them out, so only distinct grams
+    are shuffled, however many documents there are.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            codes, counts = zip(*map(_counted, b.column(0).to_pylist()), strict=True) if b.num_rows else ((np.empty(0, np.int64),), (np.empty(0, np.int64),))
-            flat, n = np.concatenate(codes), np.concatenate(counts)
-            grams, at = np.unique(flat, return_inverse=True)
-            total, df = np.bincount(at, n, len(grams)).astype(np.int64), np.bincount(at, minlength=len(grams))
-            yield pa.RecordBatch.from_arrays([pa.array([None, *_spelled(grams)], pa.string()), pa.array(np.r_[b.num_rows, total], pa.int64()), pa.array(np.r_[b.num_rows, df], pa.int64())], names=["gram", "total", "df"])
-
+    def count(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held, n = [], 0, 0
+        for b in batches.slices(found, text):
+            codes, counts = (np.concatenate(x) for x in zip(*map(_counted, b.column(0).to_pylist()), strict=True))
+            parts.append(_summed(codes, counts, np.ones(len(codes), np.int64)))
+            held, n = held + len(parts[-1][0]), n + b.num_rows
+            if held > MOST_GRAMS:
+                parts = [_summed(*map(np.concatenate, zip(*parts, strict=True)))]
+                held = len(parts[0][0])
+                if held > MOST_GRAMS // 2:
+                    yield from _sums(n, *parts[0])
+                    parts, held, n = [], 0, 0
+        if n:
+            yield from _sums(n, *_summed(*map(np.concatenate, zip(*parts, strict=True))))
+
+    batches.bound_batches(docs.sparkSession)
     some = docs.filter(F.col(text).isNotNull()).select(text)
     sums = some.mapInArrow(count, "gram string, total long, df long").groupBy("gram").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
     # The row without a gram counts documents; it has the place before all grams.
@@ -102,15 +128,8 @@ class _Model:
 
 
 def _mapped(df: DataFrame, text: str, out: str, kind: str, make: Callable[[list], pa.Array]) -> DataFrame:
-    """df with a column that make() gives for the texts of a batch, in place of one with its name."""
-    cols = [c for c in df.columns if c != out]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in cols], make(b.column(text).to_pylist())], names=[*cols, out])
-
-    ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in cols], f"`{out}` {kind}"])
-    return df.mapInArrow(run, ddl)
+    """df with a column that make() gives for the texts of a slice, in place of one with its name."""
+    return batches.mapped(df, text, [c for c in df.columns if c != out], {out: kind}, lambda texts: [make(texts)])
 
 
 def with_embedding(df: DataFrame, model: DataFrame, text: str = "text", out: str = "embedding") -> DataFrame:
