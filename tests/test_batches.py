@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from verdigris.functions import batches
-from verdigris.operators import textsearch
+from verdigris.operators import dictionary, textsearch
 from verdigris.operators import elements as el
 
 
@@ -90,3 +90,10 @@ def test_embeddings_hold_a_slice(spark, tasks):
     docs = spark.createDataFrame([(t,) for t in random_texts(20)], "text string")
     textsearch.with_embedding(docs, textsearch.tfidf_fit_texts(docs))
     grows_little(tasks[-1], {"text": random_texts(1000)}, 3)
+
+
+def test_words_in_texts_hold_a_slice(spark, tasks):
+    words = [a + b for a in "abcdefgh" for b in "ijklmn"]
+    df = spark.createDataFrame([(1, "a")], "id int, t string")
+    dictionary.words_in_texts(df, "id", "t", spark.createDataFrame([(w,) for w in words], "w string"))
+    grows_little(tasks[0], {"id": [1] * 100, "t": random_texts(100)}, 3)

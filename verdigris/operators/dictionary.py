@@ -7,12 +7,13 @@ looked at in full. Neither way is a loop over words.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.functions import batches
 from verdigris.functions.segments import each
 
 #: Characters of the words that an automaton is made of at most, and the length of grams.
@@ -54,22 +55,14 @@ class Automaton:
 
 def mapped(df: DataFrame, text: str, words: list[str], out: str, kind: str, make: Callable[[Automaton, str | None], object]) -> DataFrame:
     """df with a column of what make(automaton, text) gives."""
-    shared = df.sparkSession.sparkContext.broadcast(words)
-    cols, made = [c for c in df.columns if c != out], []
+    shared, made, arrow = df.sparkSession.sparkContext.broadcast(words), [], batches.arrow_type(kind)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: list) -> list[pa.Array]:
         if not made:
             made.append(Automaton(shared.value))
-        for b in batches:
-            values = [make(made[0], t) for t in b.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in cols], pa.array(values, arrow)], names=[*cols, out])
+        return [pa.array([make(made[0], t) for t in texts], arrow)]
 
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_type(_parse_datatype_string(kind))
-    ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in cols], f"`{out}` {kind}"])
-    return df.mapInArrow(run, ddl)
+    return batches.mapped(df, text, [c for c in df.columns if c != out], {out: kind}, run)
 
 
 def _grams(df: DataFrame, keep: list[str], text: str) -> DataFrame:
