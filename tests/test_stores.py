@@ -212,3 +212,27 @@ def test_seen_keys(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         seen.drop()
+
+
+def test_index_deals_out_documents_and_lists_but_no_postings(spark, tmp_path):
+    sc = spark.sparkContext
+
+    def dealt() -> int:
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    r, before = random.Random(6), dealt()
+    rows = [(i, " ".join(r.choices([f"w{j}" for j in range(300)], k=64))) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    SearchIndex(spark, str(tmp_path / "index")).append(docs)
+    assert dealt() - before < 5000  # 900 documents, 300 lists in a block, and not 50,000 postings
+
+
+def test_terms_are_counted_within_the_row(spark):
+    docs = spark.createDataFrame(texts(200, 9), "doc_id long, text string")
+    got = docs.select("doc_id", F.inline(textsearch.term_counts(F.col("text"))))
+    want = docs.select("doc_id", F.explode(textsearch.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    sizes = docs.filter("text is not null").select(textsearch.token_count(F.col("text")), F.size(textsearch.tokens(F.col("text"))))
+    assert all(a == b for a, b in sizes.collect())

@@ -16,19 +16,22 @@ pointer (sources.versions) names the segments that count, with their numbers of
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.functions.segments import each
 from verdigris.functions.texts import highlight
-from verdigris.operators.textsearch import B, K1, query_terms, tokens
+from verdigris.operators.textsearch import B, K1, query_terms, term_counts, token_count
 from verdigris.sources.versions import Versions
 
 #: Documents of a block (expected number), folders of terms, documents whose postings make one file of a folder.
 BLOCK, FOLDERS, FILE_DOCS = 1024, 64, 1 << 22
 #: Blocks that are scored for the threshold, at least, and one more for so many hits of the page.
 FIRST_BLOCKS, HITS_A_BLOCK = 8, 64
+#: Tokens of the blocks whose postings one task puts together (expected number).
+PART_TOKENS = 1 << 21
 
 
 def _length_class(dl: Column) -> Column:
@@ -36,6 +39,12 @@ def _length_class(dl: Column) -> Column:
     return F.floor(F.log2(F.greatest(dl, F.lit(1)).cast("double"))).cast("int")
 
 
+def _split(docs: DataFrame) -> DataFrame:
+    """block, key, dl, term, tf of documents with their text: terms are counted within the row."""
+    rows = each(docs, ["block", "key", "dl"], term_counts(F.col("text")), "_e")
+    return rows.select("block", "key", "dl", F.col("_e.term").alias("term"), F.col("_e.tf").alias("tf"))
+
+
 class SearchIndex:
     """The index under a root folder; key_type is the Spark type of the documents' keys, which must be unique."""
 
@@ -48,9 +57,8 @@ class SearchIndex:
     def append(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> dict:
         """Index documents that aren't in the index yet; gives the new version's pointer."""
         own = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-        words = own.select("key", tokens(F.col("text")).alias("_t")).withColumn("dl", F.size("_t"))
-        counted = each(words, ["key", "dl"], F.col("_t"), "term").groupBy("key", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
-        return self._add(words.select("dl"), counted, keep=True)
+        own = own.withColumn("dl", token_count(F.col("text")))
+        return self._add(own.select("dl"), own, _split, keep=True)
 
     def merge(self) -> dict:
         """Make one segment of all, so that blocks are full again and files few."""
@@ -58,9 +66,11 @@ class SearchIndex:
         rows = self._postings(base)
         one = rows.select("term", F.explode(F.arrays_zip("keys", "tfs", "dls")).alias("p")).select(F.col("p.keys").alias("key"), F.col("p.dls").alias("dl"), "term", F.col("p.tfs").alias("tf"))
         lengths = one.select("key", "dl").distinct().select("dl")  # documents without terms have no postings
-        return self._add(lengths, one, keep=False, base=base)
+        return self._add(lengths, one, lambda rows: rows, keep=False, base=base)
 
-    def _add(self, lengths: DataFrame, counted: DataFrame, keep: bool, base: dict | None = None) -> dict:
+    def _add(self, lengths: DataFrame, rows: DataFrame, split: Callable[[DataFrame], DataFrame], keep: bool, base: dict | None = None) -> dict:
+        """Write a segment. rows (key, dl and what split() makes term and tf of) are dealt out by block once, before they are split, so that the
+        postings of a block are put together in its task and only whole lists are dealt out again, by folder."""
         base = base or self.versions.read()
         # A row for each class of lengths, which are powers of two.
         classes = {r["c"]: r for r in lengths.groupBy(_length_class(F.col("dl")).alias("c")).agg(F.count("*").alias("n"), F.sum("dl").alias("total")).collect()}
@@ -68,14 +78,17 @@ class SearchIndex:
         blocks = F.element_at(F.create_map(*[F.lit(x) for c, r in classes.items() for x in (c, max(1, -(-r["n"] // BLOCK)))]), F.col("_c")) if classes else F.lit(1)
         number = base["version"] + 1
         place = F.lit(number << 40) + F.shiftleft(F.col("_c").cast("long"), 32) + F.pmod(F.xxhash64("key"), blocks)
-        rows = counted.withColumn("_c", _length_class(F.col("dl"))).withColumn("block", place)
-        entry = F.sort_array(F.collect_list(F.struct("key", "tf", "dl")))
-        lists = rows.groupBy("term", "block").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), entry.alias("_e"))
-        made = lists.select("term", "block", "n", "max_tf", "min_dl", F.col("_e.key").alias("keys"), F.col("_e.tf").alias("tfs"), F.col("_e.dl").alias("dls"), F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int").alias("folder"))
+        parts = max(1, -(-sum(r["total"] or 0 for r in classes.values()) // PART_TOKENS))
+        dealt = rows.withColumn("_c", _length_class(F.col("dl"))).withColumn("block", place).drop("_c").repartition(parts, "block")
+        lists = split(dealt).groupBy("block", "term").agg(F.sort_array(F.collect_list(F.struct("key", "tf", "dl"))).alias("_e"))
+        made = lists.select("term", "block", F.col("_e.key").alias("keys"), F.col("_e.tf").alias("tfs"), F.col("_e.dl").alias("dls"))
         files = max(1, -(-n // FILE_DOCS))
-        dealt = made.repartition(FOLDERS * files, "folder", F.pmod("block", F.lit(files))).sortWithinPartitions("folder", "term", "block")
+        folder = F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int")
+        spread = made.repartition(FOLDERS * files, folder, F.pmod("block", F.lit(files)))
+        # What follows from the lists is worked out where they are written.
+        full = spread.select("term", "block", F.size("keys").alias("n"), F.array_max("tfs").alias("max_tf"), F.array_min("dls").alias("min_dl"), "keys", "tfs", "dls", folder.alias("folder"))
         name = f"segment={number}-{uuid.uuid4().hex[:8]}"
-        dealt.write.partitionBy("folder").parquet(f"{self.root}/segments/{name}")
+        full.sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(f"{self.root}/segments/{name}")
         old = base.get("segments", [])
         docs, total = sum(s["docs"] for s in old), sum(s["length"] for s in old)
         new = {"name": name, "docs": n if keep else docs, "length": sum(r["total"] or 0 for r in classes.values()) if keep else total}

@@ -194,6 +194,21 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0))
 
 
+def token_count(text: Column) -> Column:
+    """How many tokens() a text has."""
+    return F.regexp_count(F.lower(text), F.lit(_TOKEN))
+
+
+def term_counts(text: Column) -> Column:
+    """The distinct tokens() of a text with how often each stands there, array<struct<term,tf>>."""
+
+    def runs(t: Column) -> Column:
+        begins = F.filter(F.transform(t, lambda x, i: F.when((i == 0) | (x != F.get(t, i - 1)), i)), lambda i: i.isNotNull())
+        return bound(begins, lambda at: F.transform(at, lambda i, j: F.struct(F.get(t, i).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(t)) - i).alias("tf"))))
+
+    return bound(F.sort_array(tokens(text)), runs)
+
+
 def query_terms(spark: SparkSession, query: str) -> list[str]:
     """The distinct terms of a query, split as texts are."""
     return spark.range(1).select(F.array_distinct(tokens(F.lit(query)))).first()[0]
