@@ -5,10 +5,12 @@ from __future__ import annotations
 import random
 import tracemalloc
 
+import public_tokenizers
 import pyarrow as pa
 import pytest
 
 from verdigris.functions import batches
+from verdigris.llm import neardup, pieces
 from verdigris.operators import dictionary, textsearch
 from verdigris.operators import elements as el
 
@@ -61,6 +63,19 @@ def test_page_trees_hold_a_slice(spark, tasks):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= batches.BATCH_ROWS
 
 
+def test_a_task_drops_what_other_steps_keep(spark, tasks):
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    neardup.sketches(docs)
+    encode, sketch = tasks
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some text"], "_key": [5]})
+    first = [b.to_pydict() for b in encode(iter([batch]))]
+    (held,) = batches.kept("pieces").values()
+    assert [b.to_pydict() for b in encode(iter([batch] * 5))] == first * 5
+    assert list(batches.kept("pieces").values()) == [held]  # for its own tasks
+    assert list(sketch(iter([batch]))) and not batches.kept("pieces")
+
+
 def random_texts(n: int) -> list:
     r = random.Random(3)
     return ["".join(r.choices("abcdefghij klmn", k=400)) for _ in range(n)]

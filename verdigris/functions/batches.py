@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
@@ -35,6 +36,48 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             at = upto
 
 
+#: Batches after which a worker gives freed memory back.
+GIVE_BACK = 4
+_kept: dict[str, dict] = {}
+
+
+def kept(step: str) -> dict:
+    """What this worker keeps of a step from one task to the next."""
+    return _kept.setdefault(step, {})
+
+
+def forget(but: str | None = None) -> None:
+    """Drop what this worker keeps of all steps but one."""
+    for step in _kept:
+        if step != but:
+            _kept[step].clear()
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system, which a worker's allocators hold on to otherwise."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library
+        trim(0)
+
+
+def _giving_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for i, b in enumerate(batches, 1):
+        yield b
+        if i % GIVE_BACK == 0:
+            give_back()
+
+
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], step: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for mapInArrow, so that a worker, which Spark uses again for other steps, takes nothing of theirs into it and leaves no more than what is kept of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(step)
+        yield from f(_giving_back(batches))
+        give_back()
+
+    return run
+
+
 def arrow_type(ddl: str) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.functions.batches import BATCH_BYTES, BATCH_ROWS, bound_batches  # noqa: F401
+from verdigris.functions.batches import BATCH_BYTES, BATCH_ROWS, bound_batches, kept, lean  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

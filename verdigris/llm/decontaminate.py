@@ -278,7 +278,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             if texts:
                 yield flush(ids, rows, texts)
 
-        return source.mapInArrow(run, schema)
+        return source.mapInArrow(common.lean(run), schema)
 
     blocks = _blocks(benchmark)
     if len(blocks) == 1:
@@ -310,7 +310,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
                 hit[search_shard(texts, model)[0]] = True
                 yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(~hit)) for c in cols], names=cols)
 
-        kept = kept.mapInArrow(run, docs.schema)
+        kept = kept.mapInArrow(common.lean(run), docs.schema)
     return kept
 
 

@@ -49,7 +49,7 @@ def _grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield (h >> np.uint64(64 - BITS)).astype(np.int32)[inside], owner[:m][inside]
 
 
-def _slices(texts: list[str], limit: int = 1 << 19) -> Iterator[tuple[int, list[str]]]:
+def _slices(texts: list[str], limit: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of bounded total length, with the index of their first."""
     at = size = 0
     for i, t in enumerate(texts):
@@ -90,7 +90,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
         i, h = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(h, pa.int32()), pa.array(sums[i, h], pa.int64())], names=["l", "h", "n"])
 
-    counted = picked.select("text", "lang").mapInArrow(count, "l int, h int, n long").groupBy("l", "h").agg(F.sum("n").alias("n")).toPandas()
+    counted = picked.select("text", "lang").mapInArrow(common.lean(count), "l int, h int, n long").groupBy("l", "h").agg(F.sum("n").alias("n")).toPandas()
     sums = np.zeros((len(langs), 1 << BITS))
     sums[counted["l"], counted["h"]] = counted["n"]
     logp = np.log(sums + 0.5) - np.log((sums + 0.5).sum(axis=1, keepdims=True))
@@ -130,7 +130,7 @@ def label(docs: DataFrame, model: dict, names: tuple[str, str] = ("lang_pred", "
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in cols], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*cols, *names])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{ddl}, `{names[0]}` string, `{names[1]}` double")
+    return docs.mapInArrow(common.lean(run), f"{ddl}, `{names[0]}` string, `{names[1]}` double")
 
 
 def keep_known(docs: DataFrame, model: dict, lang: str = "lang") -> DataFrame:
@@ -146,7 +146,7 @@ def keep_known(docs: DataFrame, model: dict, lang: str = "lang") -> DataFrame:
             known = pa.array([x != UNKNOWN for x in found])
             yield pa.RecordBatch.from_arrays([(named if c == lang else b.column(c)).filter(known) for c in cols], names=cols)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.lean(run), docs.schema)
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:

@@ -38,7 +38,7 @@ WORDS, PERCENT = 5, 75
 SLOTS, BANDS, ROWS, MIN_SLOTS = 128, 32, 4, 71
 #: Largest bucket that offers all its pairs, rows of a block in the exact comparison of large buckets, bits of the candidate bitmap.
 SMALL, BLOCK, BITMAP_BITS = 6, 512, 1 << 24
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 
 
@@ -142,7 +142,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, k1 and k2 (the set's key), bands, slots (a byte of each signature slot)."""
     common.bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, slots binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common.lean(_sketch), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, slots binary")
 
 
 def _agreement(pairs: DataFrame, slots: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def _agreement(pairs: DataFrame, slots: DataFrame) -> DataFrame:
             ok = pa.array(same >= MIN_SLOTS)
             yield pa.RecordBatch.from_arrays([t.column("a").filter(ok), t.column("b").filter(ok), pa.array(same, pa.int32()).filter(ok)], names=["a", "b", "agree"])
 
-    return pairs.join(sa, "a").join(sb, "b").mapInArrow(run, "a long, b long, agree int")
+    return pairs.join(sa, "a").join(sb, "b").mapInArrow(common.lean(run), "a long, b long, agree int")
 
 
 def _candidate_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def _candidate_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     own = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("rep is not null")
     own = own.withColumn("bit", bit)
-    return own.mapInArrow(run, "rep long, shingles array<long>").join(ids, "rep", "left_semi").dropDuplicates(["rep"])
+    return own.mapInArrow(common.lean(run), "rep long, shingles array<long>").join(ids, "rep", "left_semi").dropDuplicates(["rep"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:

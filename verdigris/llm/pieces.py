@@ -10,7 +10,7 @@ place and the step, so a row's segmentation does not depend on partitions, batch
 
 Weights: pieces have ranks, not probabilities, so a piece weighs rank^-THETA; larger THETA prefers
 long frequent pieces more. A worker keeps the lattices of the first units it meets, up to a bound; all
-others, and all units of over MEMO_CHARS, are built when met. A unit of over MEMO_CHARS, such as a text without spaces, is first cut at the places that no
+others, and all units of over MEMO_CHARS, are built when met. What it keeps goes when it is given a task of another step. A unit of over MEMO_CHARS, such as a text without spaces, is first cut at the places that no
 piece spans in it, which are nearly all places of a script that the vocabulary spells by characters. What stays long is filtered together
 with others of about one length, padded, a block of places at a time. Walking is vectorised over all units of a slice of texts.
 
@@ -366,13 +366,11 @@ def decode_flat(ids: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]
     return v.flat[at], n
 
 
-_SAMPLERS: dict[tuple, Sampler] = {}
-
-
 def sampler(path: str, theta: float) -> Sampler:
-    if (path, theta) not in _SAMPLERS:
-        _SAMPLERS[path, theta] = Sampler(Vocabulary(path, theta))
-    return _SAMPLERS[path, theta]
+    held = common.kept("pieces")
+    if (path, theta) not in held:
+        held[path, theta] = Sampler(Vocabulary(path, theta))
+    return held[path, theta]
 
 
 def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -432,7 +430,7 @@ def _with_ids(docs: DataFrame, path: str, theta: float, seed: int, key: str, col
             keys = b.column(drawn).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             yield pa.RecordBatch.from_arrays(more(b, _sampled(s, b.column("text").to_pylist(), keys), s), names=[n for n, _ in columns])
 
-    return keyed.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in columns))
+    return keyed.mapInArrow(common.lean(run, "pieces"), ", ".join(f"`{n}` {t}" for n, t in columns))
 
 
 def encode(docs: DataFrame, model_path: str, theta: float = THETA, seed: int = 0, key: str = "doc_id", decoded: str | None = None) -> DataFrame:
@@ -459,7 +457,7 @@ def decode(encoded: DataFrame, model_path: str, out: str = "decoded") -> DataFra
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in cols], pa.array(_texts(b.column("ids"), v), pa.string())], names=[*cols, out])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name in cols)
-    return encoded.mapInArrow(run, f"{ddl}, `{out}` string")
+    return encoded.mapInArrow(common.lean(run, "pieces"), f"{ddl}, `{out}` string")
 
 
 def round_trip(docs: DataFrame, model_path: str, theta: float = THETA, seed: int = 0) -> DataFrame:
