@@ -11,7 +11,7 @@ import pytest
 
 from verdigris.functions import batches
 from verdigris.llm import neardup, pieces
-from verdigris.operators import dictionary, textsearch
+from verdigris.operators import dictionary, pages, textsearch
 from verdigris.operators import elements as el
 
 
@@ -63,6 +63,12 @@ def test_page_trees_hold_a_slice(spark, tasks):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= batches.BATCH_ROWS
 
 
+def test_listings_hold_a_slice(spark, tasks):
+    pages.listing_rows(spark.createDataFrame([(1, "u", "")], "page_id int, url string, html string"), keep=("page_id",))
+    row = "<tr>" + "<td><a class='f_title' href='/d?id=1'>t</a></td>" * 5 + "</tr>"
+    grows_little(tasks[-1], {"page_id": [1], "url": ["u"], "_html": [f"<table>{row * 5}</table>"]}, 300)
+
+
 def test_a_task_drops_what_other_steps_keep(spark, tasks):
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
